@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provmill.llm.common import table
+from provmill.llm import digests, simhash
+from provmill.llm.common import table, written
+from provmill.llm.decontaminate import contamination
 from provmill.llm.token_counts import token_counts
 
 
@@ -21,12 +24,43 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of all documents, of their edits and of their neighbours.
+
+    Exact digests are alike (1) or not (0).
+    """
+    documents = table(spark, sf_dir, "documents")
+    rows = written(digests.edited_texts(documents), "edited")
+    collisions = written(digests.colliding(documents), "colliding")
+    for fingerprint, wide in (("fingerprint", "wide"), ("edited_fingerprint", "edited_wide"), ("next_fingerprint", "next_wide")):
+        rows = digests.resolve(rows, collisions, fingerprint, wide)
+    same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
+    groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    return rows.join(groups, "fingerprint").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"), "group_id", "group_size"
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words found in all documents."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents for the byte-level vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_simhash": op5_simhash,
     "op8_token_counts": op8_token_counts,
 }
 
