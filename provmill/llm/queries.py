@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provmill.llm import digests, simhash
-from provmill.llm.common import table, written
+from provmill.llm import digests, language, packing, simhash, toxicity
+from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.token_counts import token_counts
 
@@ -24,6 +24,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity grade of all documents; learned from a sample of the labelled ones."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of all documents, of their edits and of their neighbours.
 
@@ -41,6 +47,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 4096."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words found in all documents."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
@@ -52,15 +63,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; learned from those whose remainder isn't 1."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    model = language.train(documents.where("not held_out"))
+    return language.predict(documents, model, keep=("doc_id", "held_out"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents for the byte-level vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
+    "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
 }
 
