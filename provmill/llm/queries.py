@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provmill.llm import digests, language, packing, simhash, toxicity
+from provmill.llm import digests, language, lattice_lm, packing, simhash, toxicity
 from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.token_counts import token_counts
@@ -75,6 +75,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents; learned from those whose remainder isn't 0."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 10) == 0)
+    return lattice_lm.scores(documents, tokenizer("piece_bpe_32k.model"), kind="lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
+    "op9_lattice_lm": op9_lattice_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
