@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provmill.llm import digests, language, lattice_lm, packing, simhash, toxicity
+from provmill.llm import digests, html_text, language, lattice_lm, packing, simhash, toxicity, warc
 from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.token_counts import token_counts
@@ -63,6 +63,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; learned from those whose remainder isn't 1."""
     documents = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
@@ -81,15 +86,22 @@ def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scores(documents, tokenizer("piece_bpe_32k.model"), kind="lang")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_html_text": op6_html_text,
     "op7_language": op7_language,
     "op8_token_counts": op8_token_counts,
     "op9_lattice_lm": op9_lattice_lm,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
