@@ -70,7 +70,7 @@ def closure_by_levels(steps: DataFrame, heads: DataFrame, most_levels: int = 1_0
     links = edges(step_index(steps)).select("path_id", "child", "parent").checkpoint()
     seen = frontier = heads.where("head is not null").select("path_id", F.col("head").alias("step_id")).distinct().checkpoint()
     for _ in range(most_levels):
-        step = frontier.join(links, (frontier.path_id == links.path_id) & (frontier.step_id == links.child)).select(links.path_id, F.col("parent").alias("step_id")).distinct()
+        step = frontier.withColumnRenamed("step_id", "child").join(links, ["path_id", "child"]).select("path_id", F.col("parent").alias("step_id")).distinct()
         frontier = step.join(seen, ["path_id", "step_id"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
@@ -155,7 +155,7 @@ def children(steps: DataFrame) -> DataFrame:
 
 def trunk_ancestors(steps: DataFrame, heads: DataFrame) -> DataFrame:
     """ancestors() of paths that are one chain in order of pos: a comparison, no closure."""
-    at = steps.join(heads, (steps.path_id == heads.path_id) & (steps.step_id == heads.head)).select(steps.path_id, F.col("pos").alias("__at"))
+    at = steps.join(heads.select("path_id", F.col("head").alias("step_id")), ["path_id", "step_id"]).select("path_id", F.col("pos").alias("__at"))
     return steps.join(at, "path_id").where("pos <= __at").drop("__at")
 
 
