@@ -208,9 +208,13 @@ SCOPES = ("author", "reviewer", "witness", "ci", "release")
 
 def strict_findings(documents: DataFrame) -> DataFrame:
     """(uri, path_id, step_id, finding): what the strict format forbids and parse() lets pass."""
-    p, s = scoped(paths(documents)), scoped(steps(documents))
+    from provmill.operators.dag import shared_dir
+
+    shared_dir(documents.sparkSession)  # the documents are parsed once for all rules
+    base_keys = F.map_keys(F.coalesce(_v("body", "$.path.base", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    inline = scoped(paths(documents)).where("ref_url is null").select("uri", "path_id", "head", "base_uri", base_keys.alias("base_keys")).checkpoint()
+    s = scoped(steps(documents)).select("uri", "path_id", "step_id", "parents", "actor", "ts", "change").checkpoint()
     none = F.lit(None).cast("string")
-    inline = p.where("ref_url is null")
     found = [
         inline.where("base_uri is null").select("uri", "path_id", none.alias("step_id"), F.lit("path without base").alias("finding")),
         s.where(~F.col("actor").rlike(ACTOR_RULE)).select("uri", "path_id", "step_id", F.lit("actor").alias("finding")),
@@ -219,7 +223,7 @@ def strict_findings(documents: DataFrame) -> DataFrame:
         s.groupBy("uri", "path_id", "step_id").count().where("count > 1").select("uri", "path_id", "step_id", F.lit("step id not unique").alias("finding")),
         inline.join(s.select("path_id", F.col("step_id").alias("head")), ["path_id", "head"], "left_anti").select("uri", "path_id", F.col("head").alias("step_id"), F.lit("head is no step").alias("finding")),
         s.select("uri", "path_id", "step_id", F.explode("parents").alias("p")).join(s.select("path_id", F.col("step_id").alias("p")).distinct(), ["path_id", "p"], "left_anti").select("uri", "path_id", "step_id", F.lit("parent is no step").alias("finding")),
-        inline.select("uri", "path_id", F.explode(F.map_keys(F.coalesce(_v("body", "$.path.base", "map<string,variant>"), F.create_map().cast("map<string,variant>")))).alias("k")).where("k not in ('uri', 'ref')").select("uri", "path_id", none.alias("step_id"), F.concat(F.lit("base key "), "k").alias("finding")),
+        inline.select("uri", "path_id", F.explode("base_keys").alias("k")).where("k not in ('uri', 'ref')").select("uri", "path_id", none.alias("step_id"), F.concat(F.lit("base key "), "k").alias("finding")),
     ]
     out = found[0]
     for f in found[1:]:
