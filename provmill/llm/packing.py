@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from provmill.llm.common import text_column, texts, written
 
 #: Units whose ids a worker remembers, and their longest length in characters.
-MOST_UNITS, LONGEST_UNIT = 700_000, 64
+MOST_UNITS, LONGEST_UNIT = 1_300_000, 64
+#: Marks that never share a token with a letter before them (fixed values; the apostrophe isn't one).
+_MARKS = ".,;:!?*$%#&|)]}\""
 
 
 class Encoder:
@@ -49,21 +51,50 @@ class Encoder:
         if "<|" not in text and (text.isascii() or not _beyond_latin(text)):
             text = text.lower()
         units = text.replace("\n", " ").split(" ")
-        missing = [u for u in {*units} if u not in self.ids]
+        known = self.ids
+        missing = {*units}.difference(known)
         if missing:
-            if len(self.ids) + len(missing) > MOST_UNITS:
-                self.ids = {"": b""}
-                missing = list({*units} - {""})
-            made = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-            long = {u: made.pop(u) for u in missing if len(u) > LONGEST_UNIT}
-            self.ids |= made
-            if long:
-                return b"".join(long[u] if u in long else self.ids[u] for u in units)
-        return b"".join(map(self.ids.__getitem__, units))
+            if len(known) + 2 * len(missing) > MOST_UNITS:
+                known = self.ids = {"": b""}
+                missing = {*units} - {""}
+            self.learn(missing)
+            long = [u for u in missing if len(u) > LONGEST_UNIT]
+            out = b"".join(map(known.__getitem__, units))
+            for u in long:
+                del known[u]
+            return out
+        return b"".join(map(known.__getitem__, units))
+
+    def learn(self, units: set[str]) -> None:
+        """A letter ends a token before a mark, so a word and the marks after it are looked up apart."""
+        known, apart, fresh = self.ids, [], set()
+        for u in units:
+            core = u.rstrip(_MARKS)
+            if core and core != u and core[-1].isalpha():
+                tail = u[len(core) :]
+                apart.append((u, core, tail))
+                if core not in known:
+                    fresh.add(core)
+                if tail not in known:
+                    fresh.add(tail)
+            else:
+                fresh.add(u)
+        fresh = list(fresh)
+        for u, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            known[u] = np.array(e.ids, "<u4").tobytes()
+        for u, core, tail in apart:
+            known[u] = known[core] + known[tail]
+        for u in fresh:
+            if len(u) > LONGEST_UNIT and u not in units:
+                del known[u]
 
 
 def _beyond_latin(text: str) -> bool:
-    return max(text) > "\xff"
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
 
 
 @lru_cache(2)
