@@ -90,8 +90,8 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         return {k: batch.column(i) for i, k in enumerate(keep)} | {"fingerprint": list(map(digest, forms)), "__wide": [hashlib.sha256(f).hexdigest()[:32] for f in forms]}
 
     each = written(arrow_map(df.select(*keep, text_column(df, text).alias("__text")), make, schema), "digests")
-    each = resolve(each, colliding(df, text), "fingerprint", "__wide")
-    groups = each.groupBy("fingerprint").agg(F.min(keep[0]).alias("group_id"), F.count("*").alias("group_size"))
+    each = written(resolve(each, colliding(df, text), "fingerprint", "__wide"), "resolved")
+    groups = written(each.groupBy("fingerprint").agg(F.min(keep[0]).alias("group_id"), F.count("*").alias("group_size")), "groups")
     return each.join(groups, "fingerprint").select(*keep, "fingerprint", "group_id", "group_size")
 
 

@@ -41,7 +41,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     for fingerprint, wide in (("fingerprint", "wide"), ("edited_fingerprint", "edited_wide"), ("next_fingerprint", "next_wide")):
         rows = digests.resolve(rows, collisions, fingerprint, wide)
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    rows = written(rows, "resolved")
+    groups = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")), "groups")  # with plain exchanges on both sides of the join a large group can be split
     return rows.join(groups, "fingerprint").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"), "group_id", "group_size"
     )
