@@ -215,7 +215,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     member = cut(least.join(found, F.col("fp") == F.col("node")).select("fp", "root", "least"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component"))
     grouped = member.join(lowest, "root").select("fp", "component")
-    classes = least.join(grouped, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    # with plain exchanges on both sides of the last join a large group can be split
+    classes = cut(least.join(grouped, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
     return each.join(classes, "fp").select(id, "fp", "component")
 
 
