@@ -52,6 +52,8 @@ MARK = "▁"
 
 #: Words whose lattices are laid out at once, and their letters.
 WORDS_AT_ONCE, LETTERS_AT_ONCE = 8192, 200_000
+#: Slots of the hash table that holds the trie of the pieces.
+SLOTS = 1 << 20
 #: Documents and bytes of a block.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 48_000_000
 
@@ -65,8 +67,8 @@ class Pieces:
         file = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = file.get_piece_size()
         self.byte = [0] * 256
-        self.trie: list[dict[str, int]] = [{}]
-        self.piece: list[int] = [-1]
+        trie: dict[tuple[int, str], int] = {}
+        pieces = [-1]
         usable = np.zeros(self.size, bool)
         for i in range(self.size):
             text = file.id_to_piece(i)
@@ -76,17 +78,42 @@ class Pieces:
             elif not (file.is_control(i) or file.is_unknown(i) or file.is_unused(i) or MARK in text[1:]):
                 node = 0
                 for c in text:
-                    node = self.trie[node].setdefault(c, len(self.trie))
-                    if node == len(self.trie):
-                        self.trie.append({})
-                        self.piece.append(-1)
-                self.piece[node] = i
+                    node = trie.setdefault((node, c), len(pieces))
+                    if node == len(pieces):
+                        pieces.append(-1)
+                pieces[node] = i
                 usable[i] = True
+        #: Of each trie node its piece, or -1; the trie itself by node and letter, hashed.
+        self.piece = np.array(pieces, np.int64)
+        self.slot_key, self.slot_node = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
+        keys = np.array([node << 21 | ord(c) for node, c in trie], np.int64)
+        for key, slot, node in zip(keys.tolist(), _slot(keys).tolist(), trie.values(), strict=True):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) % SLOTS
+            self.slot_key[slot], self.slot_node[slot] = key, node
         rank = np.cumsum(usable)
         first = np.where(usable, 1.0 / (rank + 10), 0)
         self.first = first / first.sum()
         self.usable = usable
 
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The trie node after each node and letter; 0 for none."""
+        keys = nodes << 21 | letters
+        slots = _slot(keys)
+        out = np.zeros(len(keys), np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            there = self.slot_key[slots[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.slot_node[slots[left[hit]]]
+            left = left[~hit & (there >= 0)]
+            slots[left] = (slots[left] + 1) % SLOTS
+        return out
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
 
 @lru_cache(2)
 def _pieces(path: str) -> Pieces:
@@ -97,85 +124,79 @@ class Lattice:
     """All segmentations of some words, as arcs between letter positions."""
 
     def __init__(self, pieces: Pieces, words: list[str]) -> None:
-        trie, piece = pieces.trie, pieces.piece
-        spelled: dict[str, int] = {}
-        starts: list[int] = []
-        ends: list[int] = []
-        ids: list[int] = []
-        self.base = []
-        at = 0
-        level: list[int] = []
-        for w in words:
-            marked = MARK + w
-            n = len(marked)
-            self.base.append(at)
-            level.extend(range(n + 1))
-            for i in range(n):
-                node, alone = 0, False
-                for j in range(i, n):
-                    node = trie[node].get(marked[j])
-                    if node is None:
-                        break
-                    found = piece[node]
-                    if found >= 0:
-                        starts.append(at + i)
-                        ends.append(at + j + 1)
-                        ids.append(found)
-                        alone = alone or j == i
-                if not alone:
-                    starts.append(at + i)
-                    ends.append(at + i + 1)
-                    ids.append(spelled.setdefault(marked[i], len(spelled) + pieces.size))
-            at += n + 1
-        self.pieces, self.nodes = pieces, at
-        self.base = np.array(self.base, np.int64)
-        self.last = np.append(self.base[1:], at) - 1
-        self.level = np.array(level, np.int64)
-        self.starts, self.ends, self.ids = (np.array(x, np.int64) for x in (starts, ends, ids))
-        self.spelled = [[pieces.byte[b] for b in c.encode()] for c in spelled]
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.pieces, self.nodes = pieces, int((lengths + 1).sum())
+        self.last = np.cumsum(lengths + 1) - 1
+        self.base = self.last - lengths
+        self.level = np.arange(self.nodes) - np.repeat(self.base, lengths + 1)
+        # a letter leads on from each node but the last of a word, which has 0, as no piece has
+        letters = np.frombuffer("".join(f"{MARK}{w}\0" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        inner = np.ones(self.nodes, bool)
+        inner[self.last] = False
+        at, node, n = np.flatnonzero(inner), None, 0
+        starts, ends, ids, self.spelled = [], [], [], []
+        while len(at):
+            node = pieces.step(np.zeros(len(at), np.int64) if node is None else node, letters[at + n])
+            n += 1
+            piece = pieces.piece[node]
+            found = piece >= 0
+            starts.append(at[found])
+            ends.append(at[found] + n)
+            ids.append(piece[found])
+            if n == 1:
+                alone = at[~found]
+                spelled, which = np.unique(letters[alone], return_inverse=True)
+                starts.append(alone)
+                ends.append(alone + 1)
+                ids.append(which + pieces.size)
+                self.spelled = [[pieces.byte[b] for b in chr(c).encode()] for c in spelled.tolist()]
+            at, node = at[node > 0], node[node > 0]
+        self.starts, self.ends, self.ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, ends, ids))
+        self.plans: dict[bool, tuple] = {}
         self.weight = np.empty(0)
 
     def weigh(self, log_p: np.ndarray) -> Lattice:
-        """Set the weights of the arcs by those of the pieces."""
-        self.weight = np.concatenate([log_p, [log_p[b].sum() for b in self.spelled]])[self.ids] if self.spelled else log_p[self.ids]
+        """Set the weights of the arcs by those of the pieces: for one class, or (pieces in rows) several at once."""
+        spelled = [log_p[b].sum(axis=0) for b in self.spelled]
+        self.weight = (np.concatenate([log_p, spelled]) if spelled else log_p)[self.ids]
         return self
 
-    def _sweep(self, source: np.ndarray, target: np.ndarray, order_of: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Log sums over all ways from the start nodes, level by level."""
-        total = np.full(self.nodes, -np.inf)
-        total[start] = 0
-        order = np.lexsort((target, order_of[target]))
-        source, target, weight = source[order], target[order], self.weight[order]
-        first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))  # of each node's arcs
-        node = target[first]
-        step = order_of[node]
-        cuts = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(node))
-        stop = np.append(first, len(target))
+    def _plan(self, back: bool) -> tuple:
+        """The arcs in the order in which a sweep meets them; the same for all weights."""
+        if back not in self.plans:
+            source, target, step_of = (self.ends, self.starts, np.repeat(self.last - self.base, self.last - self.base + 1) - self.level) if back else (self.starts, self.ends, self.level)
+            order = np.argsort(step_of[target] * self.nodes + target, kind="stable")
+            source, target = source[order], target[order]
+            first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))  # of each node's arcs
+            node = target[first]
+            step = step_of[node]
+            cuts = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(node))
+            self.plans[back] = order, source, first, node, cuts, np.append(first, len(target)), np.diff(np.append(first, len(target)))
+        return self.plans[back]
+
+    def _sweep(self, back: bool) -> np.ndarray:
+        """Log sums over all ways from the words' starts (or back from their ends), level by level."""
+        order, source, first, node, cuts, stop, size = self._plan(back)
+        total = np.full((self.nodes, *self.weight.shape[1:]), -np.inf)
+        total[self.last if back else self.base] = 0
+        weight = self.weight[order]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             lo, hi = stop[a], stop[b]
             value = total[source[lo:hi]] + weight[lo:hi]
             bounds = first[a:b] - lo
-            peak = np.maximum.reduceat(value, bounds)
-            size = np.diff(np.append(bounds, hi - lo))
-            total[node[a:b]] = peak + np.log(np.add.reduceat(np.exp(value - np.repeat(peak, size)), bounds))
+            peak = np.maximum.reduceat(value, bounds, axis=0)
+            value -= np.repeat(peak, size[a:b], axis=0)
+            total[node[a:b]] = peak + np.log(np.add.reduceat(np.exp(value), bounds, axis=0))
         return total
 
-    def forward(self) -> np.ndarray:
-        return self._sweep(self.starts, self.ends, self.level, self.base)
-
     def log_probability(self) -> np.ndarray:
-        """Natural log probability of each word."""
-        return self.forward()[self.last]
+        """Natural log probability of each word; a column for each class."""
+        return self._sweep(False)[self.last]
 
     def expected(self, times: np.ndarray) -> np.ndarray:
-        """Expected occurrences of each piece, the words occurring so many times."""
-        ahead = self.forward()
-        # the same recursion from the ends: levels count down from each word's last
-        length = self.last - self.base
-        down = np.repeat(length, length + 1) - self.level
-        back = self._sweep(self.ends, self.starts, down, self.last)
-        of = np.repeat(np.arange(len(self.base)), length + 1)
-        word = of[self.starts]
+        """Expected occurrences of each piece, the words occurring so many times; for the weights of one class."""
+        ahead, back = self._sweep(False), self._sweep(True)
+        word = np.repeat(np.arange(len(self.base)), self.last - self.base + 1)[self.starts]
         share = np.exp(ahead[self.starts] + self.weight + back[self.ends] - ahead[self.last][word]) * times[word]
         counts = np.bincount(self.ids, share, self.pieces.size + len(self.spelled))
         out = counts[: self.pieces.size].copy()
@@ -323,10 +344,10 @@ def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
         pieces = _pieces(vocabulary)
         for batch in batches:
             out = np.zeros((batch.num_rows, kinds))
+            used = np.flatnonzero(per_kind > 0) if ends else np.arange(kinds)
+            weights = np.ascontiguousarray(shared.value[used].T)
             for at, lattice in lattices(pieces, batch.column(0).to_pylist()):
-                for k in range(kinds):
-                    if per_kind[k] or not ends:
-                        out[at, k] = lattice.weigh(shared.value[k]).log_probability()
+                out[np.ix_(at, used)] = lattice.weigh(weights).log_probability()
             c = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(kinds)])
             with np.errstate(divide="ignore"):
                 whole_word = np.log(np.where(c > 0, c - discount, 0) / np.maximum(size, 1))
