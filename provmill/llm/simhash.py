@@ -220,16 +220,23 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     return each.join(classes, "fp").select(id, "fp", "component")
 
 
-def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
     """The rows of ``df`` that stay when one row of each class is kept: the one with the least id.
 
-    Of rows that share the least id one stays.
+    Null ids come last; of rows with equal ids the one with the least
+    fingerprint stays, then the one with the least digest of its text.  Of rows
+    with the same id and text any one stays.
     """
-    classes = cut(near_duplicates(df, id, text, **how))
-    keep = classes.where(F.col(id).eqNullSafe(F.col("component"))).select(F.col(id).alias("__id")).distinct()
-    kept = df.join(keep, F.col(id).eqNullSafe(F.col("__id"))).drop("__id")
-    repeated = classes.groupBy(id).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id]) if repeated else kept
+    digest = F.unhex(F.md5(text_column(df, text).cast("binary")))  # id and text name a row's class; the id alone doesn't
+    each = cut(fingerprints(df.withColumn("__digest", digest), text, (id, "__digest"), words, seed))
+    first = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "fp", F.col("__digest").alias("digest")))
+    heads = cut(each.groupBy("fp").agg(first.alias("head")))
+    found = components(links(heads, distance))
+    stays = heads.join(found, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("class")).agg(F.min("head").alias("head"))
+    keep = cut(stays.select(F.col("head.id").alias("__id"), F.col("head.digest").alias("__kept")))
+    kept = df.withColumn("__digest", digest).join(keep, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))).drop("__id", "__kept")
+    repeated = each.groupBy(id, "__digest").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([id, "__digest"]) if repeated else kept).drop("__digest")
 
 
 def hex_fingerprint(column):

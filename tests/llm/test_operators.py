@@ -185,6 +185,15 @@ def test_near_duplicates_against_brute_force(spark, docs, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(c) for c in {c for _, c in found}) and kept.columns == docs.columns
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    alike = "one two three four five six"
+    rows = [(None, "the quick brown fox jumps over it"), (None, "an entirely different sentence about nothing"), (7, "a third text that is like no other"), (7, "and a fourth that has the same number"), (9, alike), (None, alike), (8, alike), (7, alike), (7, alike)]
+    fps = {t: simhash.majority(simhash.shingle_hashes(t)) for _, t in rows}
+    assert all((fps[a] ^ fps[b]).bit_count() > 4 for a in fps for b in fps if a < b)
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([*rows[:4], (7, alike)], key=str)
+
+
 def test_a_split_cell_finds_the_same_links():
     rng = np.random.default_rng(0)
     fps = np.unique(np.uint64(0xABC) << np.uint64(52) | rng.integers(0, 1 << 12, 300, dtype=np.uint64) << np.uint64(5))
