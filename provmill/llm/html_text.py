@@ -5,7 +5,9 @@ a line with the characters it has and the tags read since the line before.  The
 ratios are smoothed with a Gaussian; lines above a threshold drawn from their
 spread are content.  The smallest element that holds almost all content is the
 article, and all its blocks are taken, the short ones too, but for those in
-elements that are marked as something else.
+elements that are something else by their tag or by a whole name in their
+attributes.  A word that is only part of a name, or that has other meanings,
+lowers a line's ratio, and the threshold decides.
 """
 
 from __future__ import annotations
@@ -27,33 +29,60 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold the article's text.
 ASIDE = frozenset("head title script style noscript template nav footer aside form button select textarea svg iframe object canvas menu dialog".split())
-#: Words in class, id, role or data-role that mark an element as something else.
+#: Words in class, id, role, data-role or aria-label that may mark an element as something else.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager sidebar side rail widget widgets footer masthead comment comments commentlist respond replies reply disqus discussion social share sharing related recommended recommendations toolbar search login complementary contentinfo".split()
 )
+#: Those of them that alone are a name of something else; the others have other meanings too.
+NAMES = frozenset("ad ads advert adverts advertisement adbox sponsored gdpr newsletter signup paywall nav navbar navigation menubar breadcrumb breadcrumbs pagination pager sidebar footer masthead comments commentlist disqus toolbar complementary contentinfo".split())
+#: Words that with a mark make up a name.
+PLACES = frozenset("site page main left right top bottom global primary secondary post article container wrapper box block list area section links bar buttons form".split())
+#: What roles make an element something else.
+ROLES = frozenset("navigation complementary contentinfo search banner menu menubar toolbar alert alertdialog dialog".split())
+#: What a mark leaves of a line's ratio.
+LOWERED = 0.5
 #: What an open p ends before.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul dd dt td th tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MARKED = ("class", "id", "role", "data-role", "aria-label")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPREAD = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _is_marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _is_name(words: list[str]) -> bool:
+    """Whether a whole token names something else: nothing but marks and places, and a sure mark or several."""
+    marks = [w for w in words if w in MARKS]
+    return bool(marks) and (len(marks) > 1 or not NAMES.isdisjoint(marks)) and all(w in MARKS or w in PLACES for w in words)
+
+
+def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """2 if the element is something else, 1 if it may be, 0 if nothing says so."""
+    mark = 0
     for name, value in attrs:
-        if name in _MARKED and value and not MARKS.isdisjoint(_SPLIT.split(_SPREAD.sub(" ", value).lower())):
-            return True
         if name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return 2
+        if name not in _MARKED or not value:
+            continue
+        if name == "role" and not ROLES.isdisjoint(value.lower().split()):
+            return 2
+        if name == "id" and tag in HEADINGS:
+            continue  # made from the heading's words
+        for token in [value] if name == "aria-label" else value.split():
+            words = [w for w in _SPLIT.split(_SPREAD.sub(" ", token).lower()) if w]
+            if _is_name(words):
+                return 2
+            if not MARKS.isdisjoint(words):
+                mark = 1
+    return mark
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, characters, tags since the line before, marked as something else, elements open)."""
+    """Collects lines: (text, characters, tags since the line before, mark, elements open)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, whether it or what it is in is something else
+        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, int, int]] = []  # name, number, the greatest mark of it and what it is in
         self.names = [""]
         self.data: list[str] = []
         self.tags = 0
@@ -64,7 +93,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.data).split())
             self.data = []
             if text:
-                self.lines.append((text, len(text), self.tags, bool(self.stack) and self.stack[-1][2], tuple(s[1] for s in self.stack if s[0] not in INLINE)))
+                self.lines.append((text, len(text), self.tags, self.stack[-1][2] if self.stack else 0, tuple(s[1] for s in self.stack if s[0] not in INLINE)))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -91,12 +120,15 @@ class _Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        above = bool(self.stack) and self.stack[-1][2]
-        odd = above or tag in ASIDE or tag == "header" and not any(s[0] == "article" for s in self.stack) or tag not in ("html", "body", "article", "main") and _is_marked(attrs)
-        if odd and not above:
+        above = self.stack[-1][2] if self.stack else 0
+        if tag in ASIDE or tag == "header" and not any(s[0] == "article" for s in self.stack):
+            mark = 2
+        else:
+            mark = max(above, 0 if tag in ("html", "body", "article", "main") else _mark(tag, attrs))
+        if mark != above:
             self.flush_block()
         self.names.append(tag)
-        self.stack.append((tag, len(self.names) - 1, odd))
+        self.stack.append((tag, len(self.names) - 1, mark))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -104,7 +136,7 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def close_to(self, i: int) -> None:
-        if any(s[0] not in INLINE for s in self.stack[i:]) or self.stack[i][2] != (i > 0 and self.stack[i - 1][2]):
+        if any(s[0] not in INLINE for s in self.stack[i:]) or self.stack[i][2] != (self.stack[i - 1][2] if i else 0):
             self.flush_block()
         del self.stack[i:]
 
@@ -140,7 +172,7 @@ def main_text(html: str, share: float = 0.9, sigma: float = 1.0) -> str:
     lines, names = parser.lines, parser.names
     if not lines:
         return ""
-    ratio = np.array([0.0 if odd else n / max(1, tags) for _, n, tags, odd, _ in lines])
+    ratio = np.array([(1.0, LOWERED, 0.0)[mark] * n / max(1, tags) for _, n, tags, mark, _ in lines])
     level = smooth(ratio, sigma)
     size = np.array([n for _, n, *_ in lines])
     content = (level > 0.5 * level.std()) & (ratio > 0)
@@ -165,7 +197,7 @@ def main_text(html: str, share: float = 0.9, sigma: float = 1.0) -> str:
     else:
         if article and names[article] not in ("div", "section", "body", "html", "main", "article"):  # a block or a list of the article
             article = next((e for e in reversed(up) if names[e] in ("div", "section", "td", "body", "html")), 0)
-    return "\n".join(text for text, _, _, odd, path in lines if not odd and (not article or article in path))
+    return "\n".join(text for (text, _, _, mark, path), taken in zip(lines, content, strict=True) if (taken or not mark) and (not article or article in path))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

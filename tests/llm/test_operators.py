@@ -341,6 +341,17 @@ def test_main_text(spark, none):
     assert html_text.extract(pages.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("frame", ["<main><article>{}</article></main>", "<div>{}</div>", "{}"])
+def test_marks_alone_drop_no_text(frame):
+    say = "This is a sentence of the article that is {} and is as long as all the others are."
+    blocks = ['<p>{}</p>', '<section id="discussion"><h2 id="search">A heading</h2><p>{}</p></section>', '<div class="side-effects">{}</div>', '<h2 id="notice-of-changes">Another</h2><p class="alert">{}</p>', '<section aria-label="Related work"><p>{}</p></section>', '<p>{}</p>']
+    page = "".join(b.format(say.format(i)) for i, b in enumerate(blocks))
+    other = '<div class="left-sidebar"><p>Long text of the sidebar that has nothing to do with it, nothing at all.</p></div><div class="ad"><p>Buy it now! Buy it now! Buy it now! Buy it now! Buy it now!</p></div><ul class="share"><li>a<li>b<li>c<li>d<li>e<li>f</ul>'
+    want = [say.format(0), "A heading", say.format(1), say.format(2), "Another", say.format(3), say.format(4), say.format(5)]
+    got = html_text.main_text(f"<html><body>{frame.format(page)}{other}</body></html>").split("\n")
+    assert got[: len(want)] == want and set(got[len(want) :]) <= set("abcdef")
+
+
 @pytest.mark.parametrize("split", ["16m", "2k"])
 def test_archives(spark, split):
     inner = warc.record(999, "u", "inner payload", "X" * 32, "response", None, "d") + "\r\n"
