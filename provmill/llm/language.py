@@ -122,6 +122,7 @@ class Scorer:
         if None in rows:
             if self.used + len(words) > len(self.scores):
                 self.forget()
+                rows = list(map(self.row.get, words))  # the numbers looked up before are void
             total = np.zeros(self.scores.shape[1])
             for i, r in enumerate(rows):
                 if r is None:

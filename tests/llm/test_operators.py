@@ -375,3 +375,16 @@ def test_archives_of_odd_rows(spark):
     got = sorted(map(str, (tuple(r)[:1] + tuple(r)[3:] for r in warc.round_trip(df, least_bytes=2).collect())))
     assert got == sorted(map(str, [(None, "response", None), (1, "response", None), (1, "response", None), (2, "response", None)]))
     assert warc.round_trip(df.where("page_id < 0")).count() == 0
+
+
+def test_forgetting_words_changes_no_score(spark):
+    model = language.train(spark.createDataFrame([(i, *TRAIN[i % 3]) for i in range(30)], "doc_id long, lang string, text string"))
+    text = "hundkatze hundkatze hundkatze chiens"
+    want = language.Scorer(model).predict(text)
+    for seen in ("hundkatze", "hundkatze tierhund", "tierhund hundkatze katzehund"):
+        small = language.Scorer(model)
+        small.MOST = 5
+        small.forget()
+        small.predict(seen)
+        got = small.predict(text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-6)
