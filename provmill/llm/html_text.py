@@ -3,7 +3,8 @@
 The standard library's parser streams a page's events.  Every block of text is
 a line with the characters it has and the tags read since the line before.  The
 ratios are smoothed with a Gaussian; lines above a threshold drawn from their
-spread are content.  The smallest element that holds almost all content is the
+spread are content, wherever they are.  An article or main element that holds
+almost all content, else the smallest element that holds all of it, is the
 article, and all its blocks are taken, the short ones too, but for those in
 elements that are something else by their tag or by a whole name in their
 attributes.  A word that is only part of a name, or that has other meanings,
@@ -184,20 +185,25 @@ def main_text(html: str, share: float = 0.9, sigma: float = 1.0) -> str:
     for i in np.flatnonzero(content):
         for element in lines[i][4]:
             held[element] = held.get(element, 0) + int(size[i])
-    enough = share * size[content].sum()
-    order = [e for e, n in held.items() if n >= enough]
-    article = max(order, default=0)  # elements are numbered as they open, so the last is the innermost
-    path = next((ln[4] for ln in lines if article in ln[4]), ())
-    up = path[: path.index(article) + 1] if article in path else ()
+    all_chars = int(size[content].sum())
+
+    def innermost(least: float) -> tuple[int, tuple[int, ...]]:
+        """The last element to open that holds so many characters of content, and those it is in with itself."""
+        found = max((e for e, n in held.items() if n >= least), default=0)
+        path = next((ln[4] for ln in lines if found in ln[4]), ())
+        return found, path[: path.index(found) + 1] if found in path else ()
+
+    _, up = innermost(share * all_chars)
     for kind in ("article", "main"):
         outer = [e for e in up if names[e] == kind]
         if outer:
             article = outer[0]
             break
     else:
+        article, up = innermost(all_chars)
         if article and names[article] not in ("div", "section", "body", "html", "main", "article"):  # a block or a list of the article
             article = next((e for e in reversed(up) if names[e] in ("div", "section", "td", "body", "html")), 0)
-    return "\n".join(text for (text, _, _, mark, path), taken in zip(lines, content, strict=True) if (taken or not mark) and (not article or article in path))
+    return "\n".join(text for (text, _, _, mark, path), taken in zip(lines, content, strict=True) if taken or not mark and (not article or article in path))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

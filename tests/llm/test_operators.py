@@ -352,6 +352,12 @@ def test_marks_alone_drop_no_text(frame):
     assert got[: len(want)] == want and set(got[len(want) :]) <= set("abcdef")
 
 
+def test_all_content_is_taken_beside_a_long_block():
+    short, long = "A lead of the article that is a sentence or two in length, like this.", "word " * 400
+    for page in ("<div class=lead>{}</div><div class=body>{}</div>", "<div>{}</div><div>{}</div>", "<div><p>{}</p></div><article><p>{}</p></article>", "<main><div>{}</div><div>{}</div></main>"):
+        assert html_text.main_text(f"<html><body>{page.format(short, long)}</body></html>") == f"{short}\n{long.strip()}"
+
+
 @pytest.mark.parametrize("split", ["16m", "2k"])
 def test_archives(spark, split):
     inner = warc.record(999, "u", "inner payload", "X" * 32, "response", None, "d") + "\r\n"
