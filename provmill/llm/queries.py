@@ -37,7 +37,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     documents = table(spark, sf_dir, "documents")
     rows = written(digests.edited_texts(documents), "edited")
-    collisions = written(digests.colliding(documents), "colliding")
+    collisions = written(digests.colliding(documents, rows.select("fingerprint")), "colliding")
     for fingerprint, wide in (("fingerprint", "wide"), ("edited_fingerprint", "edited_wide"), ("next_fingerprint", "next_wide")):
         rows = digests.resolve(rows, collisions, fingerprint, wide)
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
