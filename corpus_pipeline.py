@@ -9,17 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from provmill.llm import language, packing, simhash, toxicity
 from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.queries import tokenizer
 
-#: A document goes if its language is less certain than this.
-LEAST_CONFIDENCE = 0.4
+#: A document goes if its words aren't likelier of one language than of all others together.
+LEAST_CONFIDENCE = 0.5
 #: A document goes if it is toxic with at least this probability.
 MOST_TOXIC = 0.5
 
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE_WORDS = 5
+
 
 def _judged(docs: DataFrame, judge: Callable[..., DataFrame], keep_if: str) -> DataFrame:
     """The rows of ``docs`` that ``judge`` lets stay; its result columns can't clash with theirs."""
@@ -34,8 +38,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Learned from the documents whose remainder isn't 1, as in the query.
     """
-    model = language.train(docs.where(crc_mod("doc_id", 3) != 1))
-    return _judged(docs, lambda d, **how: language.predict(d, model, **how), f"lang_pred <> '{language.UNKNOWN}' and score >= {LEAST_CONFIDENCE}")
+    model = language.train(docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(True))))
+    return _judged(docs, lambda d, **how: language.predict(d, model, **how), f"lang_pred <> '{language.UNKNOWN}' and confidence >= {LEAST_CONFIDENCE}")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +49,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
-    return simhash.representatives(docs).select(*docs.columns)
+    """Of each class of near-duplicates the document with the least id stays; shingles have five words."""
+    return simhash.representatives(docs, words=SHINGLE_WORDS).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

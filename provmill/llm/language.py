@@ -1,9 +1,14 @@
 """Language identification: words first, then ever shorter character n-grams.
 
-A word that the model knows is scored by its relative frequency in each
-language.  Any other word is scored by the mean over its n-grams, of the
-longest order of which the model knows one.  A text's scores are the sums over
-its words; their softmax is the confidence.
+A word that the model knows is scored by its log frequency in each language.
+Any other word is scored by the mean over its n-grams, of the longest order of
+which the model knows one.  A text's scores are the sums over its words; their
+softmax is the score, the softmax of their means over the words the confidence.
+
+Frequencies are smoothed so that languages with much and with little training
+text compare: each is drawn towards one background that all share, with the
+weight of ``prior`` units.  A language that has seen little stays close to the
+background and gains nothing from what it hasn't seen.
 """
 
 from __future__ import annotations
@@ -17,11 +22,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provmill.llm.common import arrow_map, text_column, texts
+from provmill.llm.common import arrow_map, remembered, text_column, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 _numbers = count()
@@ -31,12 +37,12 @@ UNKNOWN = "und"
 
 @dataclass
 class Model:
-    """Bounded tables: at most ``words`` words and ``grams`` n-grams a language."""
+    """Words and n-grams of the sample with their scores; a column of scores for each language."""
 
     langs: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    scores: np.ndarray  # log relative frequencies: a row for each word and n-gram, a column for each language
+    scores: np.ndarray  # a row for each word and n-gram
     orders: tuple[int, ...]
 
 
@@ -62,34 +68,49 @@ def _counted(rows: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     return rows.mapInArrow(tally, "lang string, order int, unit string, n long").groupBy("lang", "order", "unit").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id", rows: int = 6000, words: int = 30_000, grams: int = 30_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1), most_languages: int = 250) -> Model:
+def smoothed(counts: np.ndarray, prior: float) -> np.ndarray:
+    """Log frequencies of the units of one order; rows are units, columns languages.
+
+    Each language's frequencies are first drawn towards the pooled ones; the
+    mean of what results is the background that they are then drawn towards.
+    """
+    sizes = counts.sum(axis=0)
+    pooled = counts.sum(axis=1, keepdims=True) / max(1, sizes.sum())
+    background = ((counts + prior * pooled) / (sizes + prior)).mean(axis=1, keepdims=True)
+    return np.log((counts + prior * background) / (sizes + prior))
+
+
+def train(df: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id", rows: int = 6000, orders: tuple[int, ...] = (5, 4, 3, 2, 1), prior: float = 1000.0) -> Model:
     """Fit on about ``rows`` labelled rows: those with the lowest hashes of their ids.
 
-    The sample's size doesn't depend on the table's, and neither does the
-    model's.  Rows without a language or text are left out; languages beyond
-    the ``most_languages`` most frequent aren't learned.
+    The sample's size doesn't depend on the table's.  All languages, words and
+    n-grams of the sample are learned; the model's table has one number for each
+    unit and language.  Rows without a language or text are left out; a null id
+    counts as an id.
     """
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = labelled.count()
     share = min(1.0, rows / n) if n else 1.0
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(1_000_003)) < math.ceil(share * 1_000_003)).select(F.col(lang).cast("string").alias("lang"), text_column(df, text).alias("__text"))
-    best = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "unit")
-    top = _counted(sample, orders).withColumn("all", F.sum("n").over(Window.partitionBy("lang", "order"))).withColumn("k", F.row_number().over(best)).where(F.when(F.col("order") == 0, F.col("k") <= words).otherwise(F.col("k") <= grams))
-    found = top.select("lang", "order", "unit", "n", "all").toPandas()
-    totals = found[found["order"] == 1].groupby("lang")["all"].first().sort_values(ascending=False, kind="stable")
-    langs = sorted(totals.index[:most_languages])
-    found = found[found["lang"].isin(langs)]
-    at = {x: i for i, x in enumerate(langs)}
-    number: dict[tuple[int, str], int] = {}
-    for key in zip(found["order"].tolist(), found["unit"].tolist(), strict=True):
-        number.setdefault(key, len(number))
-    counts = np.full((len(number), max(1, len(langs))), 0.5)
-    counts[[number[k] for k in zip(found["order"].tolist(), found["unit"].tolist(), strict=True)], [at[x] for x in found["lang"]]] += found["n"].to_numpy()
-    size = np.ones((max([0, *orders]) + 1, max(1, len(langs))))
-    for (x, k), value in found.groupby(["lang", "order"])["all"].first().items():
-        size[k, at[x]] += value
-    scores = np.log(counts) - np.log(size)[[k for k, _ in number]] if number else counts
-    return Model(langs, {u: i for (k, u), i in number.items() if not k}, {u: i for (k, u), i in number.items() if k}, scores.astype(np.float32), orders)
+    place = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(1_000_003))
+    sample = labelled.where(place < math.ceil(share * 1_000_003)).select(F.col(lang).cast("string").alias("lang"), text_column(df, text).alias("__text"))
+    found = _counted(sample, orders).orderBy("order", "unit", "lang").toArrow()
+    order = found["order"].to_numpy()
+    unit = found["unit"].combine_chunks()
+    langs = sorted(set(found["lang"].unique().to_pylist()))
+    at = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy()
+    new = np.append(True, (order[1:] != order[:-1]) | pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False))[: len(found)]
+    counts = np.zeros((int(new.sum()), max(1, len(langs))), np.float64)
+    np.add.at(counts, (np.cumsum(new) - 1, at), found["n"].to_numpy().astype(np.float64))
+    order, names = order[new], unit.filter(pa.array(new)).to_pylist()
+    del found, unit, at
+    scores = np.zeros(counts.shape, np.float32)
+    for k in (0, *orders):
+        of = order == k
+        if of.any():
+            scores[of] = smoothed(counts[of], prior)
+    # words come first: order 0
+    n_words = int((order == 0).sum())
+    return Model(langs, dict(zip(names[:n_words], range(n_words), strict=True)), dict(zip(names[n_words:], range(n_words, len(names)), strict=True)), scores, orders)
 
 
 class Scorer:
@@ -114,16 +135,17 @@ class Scorer:
                 return self.model.scores[found].mean(axis=0)
         return np.zeros(self.model.scores.shape[1], np.float32)
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Language, score and confidence."""
         words = _WORD.findall(text.lower())
         if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         rows = list(map(self.row.get, words))
+        total = np.zeros(self.scores.shape[1])
         if None in rows:
             if self.used + len(words) > len(self.scores):
                 self.forget()
                 rows = list(map(self.row.get, words))  # the numbers looked up before are void
-            total = np.zeros(self.scores.shape[1])
             for i, r in enumerate(rows):
                 if r is None:
                     word = words[i]
@@ -139,38 +161,29 @@ class Scorer:
                             self.used += 1
                     rows[i] = r
             rows = [r for r in rows if r >= 0]
-        else:
-            total = np.zeros(self.scores.shape[1])
         if rows:
             total = total + self.scores[rows].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
-
-
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, shared) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
+        behind = total - total[best]
+        return self.model.langs[best], float(1 / np.exp(behind).sum()), float(1 / np.exp(behind / len(words)).sum())
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred and score (0 to 1) of each row, from the text alone.
+    """``keep``, lang_pred, score and confidence (0 to 1) of each row, from the text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every
-    text if the model has learned nothing; of languages with equal scores the
-    first by name is taken.
+    ``score`` is how certain the language of the whole text is, so it nears 1
+    with the text's length; ``confidence`` is the same of a word of the text,
+    whatever its length.  Null texts and texts without a letter are ``und`` with
+    both 0, as is every text if the model has learned nothing; of languages with
+    equal scores the first by name is taken.
     """
     sc = df.sparkSession.sparkContext
-    shared, key = sc.broadcast(model), f"{sc.applicationId}-{next(_numbers)}"
-    schema = T.StructType([df.schema[k] for k in keep]).add("lang_pred", "string").add("score", "double")
+    shared, key = sc.broadcast(model), f"language-{sc.applicationId}-{next(_numbers)}"
+    schema = T.StructType([df.schema[k] for k in keep]).add("lang_pred", "string").add("score", "double").add("confidence", "double")
 
     def make(batch: pa.RecordBatch) -> dict:
-        scorer = _scorer(key, shared)
+        scorer = remembered(key, lambda: Scorer(shared.value))
         found = [scorer.predict(t) for t in texts(batch, "__text")]
-        return {k: batch.column(i) for i, k in enumerate(keep)} | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        return {k: batch.column(i) for i, k in enumerate(keep)} | dict(zip(("lang_pred", "score", "confidence"), map(list, zip(*found, strict=True)), strict=True))
 
     return arrow_map(df.select(*keep, text_column(df, text).alias("__text")), make, schema)

@@ -71,7 +71,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; learned from those whose remainder isn't 1."""
-    documents = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
     model = language.train(documents.where("not held_out"))
     return language.predict(documents, model, keep=("doc_id", "held_out"))
 
