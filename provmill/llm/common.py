@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +60,32 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: tuple = (None, None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library does so by itself
+
+
+def remembered(key, make: Callable[[], object]):
+    """What a worker keeps between batches: the one thing made for the key asked for last.
+
+    Workers serve one operator after the other; a new key empties the slot, so
+    that tables of operators that are done don't add up in a worker's memory.
+    """
+    global _kept
+    if _kept[0] != key:
+        _kept = (None, None)
+        give_back()
+        _kept = (key, make())
+    return _kept[1]
+
+
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
     """mapInArrow where ``make`` turns a batch into a dict of whole columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from provmill.llm.common import cut
 
-#: Rounds needed grow with the logarithm of the longest path; this many would do for any table that can be stored.
+#: Rounds needed grow with the logarithm of the longest path; beyond this many something is wrong.
 MOST_ROUNDS = 60
 
 
@@ -42,5 +42,7 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -3,8 +3,8 @@
 A text becomes its words with one space around each, so that a window of words
 is a byte string and occurs as words exactly if it occurs as bytes.  The search
 looks at the last block of a position as long as the shortest pattern: a shift
-table says how far the next possible position is; where it says none, the
-position's bytes select a bucket of patterns and comparison decides.
+table says how far the next possible position is; where it says none, the hash
+of the position's suffix selects a bucket of patterns and comparison decides.
 
 Patterns are searched in classes of like length, so that a short one doesn't
 shorten the shifts of the rest.
@@ -17,17 +17,20 @@ from collections.abc import Iterator
 from itertools import count
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provmill.llm.common import arrow_map, text_column, texts
+from provmill.llm.common import arrow_map, remembered, text_column, texts
 
 #: Word bytes: 0-9, a-z (from A-Z too) and all of 0x80 and above; the rest separates (fixed values).
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 #: Windows searched for in one pass over the documents; more are searched in further passes.
 WINDOWS_A_PASS = 30_000
+#: Bytes of the suffix that selects a bucket; what stands before them in a window tells few more apart.
+SUFFIX = 24
 #: Least lengths of the classes of patterns.
 CLASSES = (48, 32, 16, 8, 0)
 
@@ -51,24 +54,25 @@ class WuManber:
         self.least = m = min(map(len, patterns))
         self.block = b = max(1, min(8, m // 3))
         self.far = m - b + 1
+        self.suffix = min(m, SUFFIX)
         self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[bytes]] = {}
+        self.bucket: dict[int, list[bytes]] = {}
         for p in patterns:
             for end in range(b, m + 1):
                 key = p[end - b : end]
                 self.shift[key] = min(self.shift.get(key, self.far), m - end)
-            self.bucket.setdefault(p[:m], []).append(p)
+            self.bucket.setdefault(xxhash.xxh3_64_intdigest(p[m - self.suffix : m]), []).append(p)
 
     def find(self, text: bytes) -> Iterator[tuple[int, bytes]]:
         """(start, pattern) of each occurrence."""
-        m, b, far, shift, bucket = self.least, self.block, self.far, self.shift.get, self.bucket.get
+        m, b, far, shift, bucket, suffix, digest = self.least, self.block, self.far, self.shift.get, self.bucket.get, self.suffix, xxhash.xxh3_64_intdigest
         end, n = m, len(text)
         while end <= n:
             jump = shift(text[end - b : end], far)
             if jump:
                 end += jump
                 continue
-            for p in bucket(text[end - m : end], ()):
+            for p in bucket(digest(text[end - suffix : end]), ()):
                 if text.startswith(p, end - m):
                     yield end - m, p
             end += 1
@@ -113,17 +117,6 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-_compiled: dict[int, Matcher] = {}
-
-
-def _matcher(shared) -> Matcher:
-    """Compiled once in each worker."""
-    if shared.id not in _compiled:
-        _compiled.clear()
-        _compiled[shared.id] = Matcher(shared.value)
-    return _compiled[shared.id]
-
-
 class _Shared:
     """A broadcast with a number that tells passes apart in a worker that serves several."""
 
@@ -170,7 +163,7 @@ def contamination(
 
     def search(shared, last: bool):
         def make(batch: pa.RecordBatch) -> dict:
-            matcher, n = _matcher(shared), len(keep)
+            matcher, n = remembered(shared.id, lambda: Matcher(shared.value)), len(keep)
             sizes, spans, items = [], [], []
             before = zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True)
             for t, (had_spans, had_items) in zip(texts(batch, "__text"), before, strict=True):

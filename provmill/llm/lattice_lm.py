@@ -33,7 +33,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provmill.llm.common import text_column, texts, written
+from provmill.llm.common import remembered, text_column, texts, written
 
 #: Upper-case letters to lower case, the six ASCII blanks to a space (fixed values).
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -115,9 +114,8 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
-@lru_cache(2)
 def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return remembered(("pieces", path), lambda: Pieces(path))
 
 
 class Lattice:
@@ -303,20 +301,21 @@ def fit(words: DataFrame, vocabulary: str, kinds: int, rounds: int, prior: float
     return np.log(np.maximum(p, 1e-300))
 
 
-def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", held_out: str = "held_out", kind: str | None = None, most_kinds: int = 8, rounds: int = 2) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", held_out: str = "held_out", kind: str | None = None, rounds: int = 2) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of each row.
 
     Rows whose ``held_out`` is true aren't learned from (null counts as false).
-    ``kind`` names a column with the class of the training rows; the most
-    frequent ``most_kinds`` - 1 are told apart, others and null are one class.
+    ``kind`` names a column with the class of the training rows; all classes are
+    told apart, null is one too, and the words' table has a column for each.
     Null and empty texts are the end token alone.  base_score is the smoothed
-    word model, score the lattice model, both as log10 probabilities of the
-    text's tokens and end; a text's words are what its blanks separate, with
+    word model, lattice_score the lattice of the vocabulary's pieces alone,
+    score the lattice with its arcs over whole words, all as log10 probabilities
+    of the text's tokens and end; a text's words are what its blanks separate, with
     A-Z in lower case.  An empty table gives an empty result.
     """
     spark = df.sparkSession
     df = df.withColumn("__h", F.coalesce(F.col(held_out), F.lit(False)))
-    named = [r[0] for r in df.where(F.col(kind).isNotNull() & ~F.col("__h")).groupBy(F.col(kind).alias("k")).count().orderBy(F.desc("count"), "k").limit(most_kinds - 1).collect()] if kind else []
+    named = [r[0] for r in df.where(F.col(kind).isNotNull() & ~F.col("__h")).select(F.col(kind).alias("k")).distinct().orderBy("k").collect()] if kind else []
     number = F.lit(len(named))
     for i, value in enumerate(named):
         number = F.when(F.col(kind) == F.lit(value), i).otherwise(number)
@@ -339,6 +338,8 @@ def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
     with np.errstate(divide="ignore"):
         share = np.log10(per_kind / ends) if ends else np.full(kinds, -math.log10(kinds))
         end_lp = np.where(per_kind > 0, np.log10(np.maximum(per_kind - discount, 0) / np.maximum(size, 1)), math.log10(0.5))
+    end_share = np.where(per_kind > 0, np.minimum(per_kind / np.maximum(size, 1), 0.5), 0.5)  # of the tokens that the lattice alone draws
+    ends_lp = np.concatenate([end_lp, np.log10(end_share)])
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary)
@@ -351,13 +352,13 @@ def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
             c = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(kinds)])
             with np.errstate(divide="ignore"):
                 whole_word = np.log(np.where(c > 0, c - discount, 0) / np.maximum(size, 1))
-            out = np.logaddexp(whole_word, np.log(spare) + out) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(axis=1)), pa.array([r.tobytes() for r in out.astype("<f8")], pa.binary())], names=["word", "c", "lp"])
+            out = np.hstack([np.logaddexp(whole_word, np.log(spare) + out), np.log1p(-end_share) + out]) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(axis=1)), pa.array([r.tobytes() for r in out.astype("<f4")], pa.binary())], names=["word", "c", "lp"])
 
     scored = words.select("word", *names).mapInArrow(score_words, "word string, c long, lp binary")
     answers = in_blocks.drop(*names).join(scored, "word").select("block", "at", "c", "lp", *(F.lit(None).cast(documents.schema[x].dataType).alias(x) for x in ("id", "held_out", "size", "body")))
     asked = documents.select("block", *(F.lit(None).cast(answers.schema[x].dataType).alias(x) for x in ("at", "c", "lp")), "id", "held_out", "size", "body")
-    out = T.StructType([T.StructField(id, df.schema[id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([T.StructField(id, df.schema[id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("lattice_score", T.DoubleType())])
     whole = n + 0.1 * (v + 1)
     base_of = lambda c: np.log10((c + 0.1) / whole)
 
@@ -387,20 +388,22 @@ def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
                 is_word = part.column(1).is_valid().to_numpy(zero_copy_only=False)
                 k = int(is_word.sum())
                 if k:
-                    held.append((part.column(2).slice(0, k).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(part.column(3).slice(0, k).to_pylist()), "<f8").reshape(k, kinds)))
+                    held.append((part.column(2).slice(0, k).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(part.column(3).slice(0, k).to_pylist()), "<f4").reshape(k, 2 * kinds).astype(np.float64)))
                 rest = part.slice(k)
                 if not rest.num_rows:
                     continue
                 if table is None:
-                    table = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0), np.empty((0, kinds))]
+                    table = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0), np.empty((0, 2 * kinds))]
                     known, base, lp = table[0] > 0, base_of(table[0]), table[1]
                 rows = []
                 for body in rest.column(7):
                     raw = np.frombuffer(unpack(body.as_py()), "<u4")
                     at, times = np.cumsum(raw[: len(raw) // 2], dtype=np.int64), raw[len(raw) // 2 :].astype(np.float64)
-                    rows.append((int(times[known[at]].sum()) + (ends > 0), times @ base[at] + end_base, mixed(times @ lp[at] + end_lp)) if len(at) else (int(ends > 0), end_base, mixed(end_lp)))
+                    both = times @ lp[at] + ends_lp if len(at) else ends_lp
+                    rows.append((int(times[known[at]].sum() if len(at) else 0) + (ends > 0), (times @ base[at] if len(at) else 0) + end_base, mixed(both[:kinds]), mixed(both[kinds:])))
                 size = rest.column(6).to_numpy(zero_copy_only=False)
-                cols = [rest.column(4), rest.column(5), size + 1, [r[0] for r in rows], np.full(len(rows), n), [r[1] for r in rows], [r[2] for r in rows]]
+                cols = [rest.column(4), rest.column(5), size + 1, [r[0] for r in rows], np.full(len(rows), n), [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return answers.unionAll(asked).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("at")).mapInArrow(total, out)
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.select("block").distinct().count())  # about a block a task
+    return answers.unionAll(asked).repartition(many, "block").sortWithinPartitions("block", F.asc_nulls_last("at")).mapInArrow(total, out)

@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provmill.llm.common import text_column, texts, written
+from provmill.llm.common import remembered, text_column, texts, written
 
-#: Units whose ids a worker remembers, and their longest length in characters.
-MOST_UNITS, LONGEST_UNIT = 1_300_000, 64
+#: Units whose ids a worker remembers, and their longest length in characters: some 120 MB.
+MOST_UNITS, LONGEST_UNIT = 600_000, 64
 #: Marks that never share a token with a letter before them (fixed values; the apostrophe isn't one).
 _MARKS = ".,;:!?*$%#&|)]}\""
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit integers.
+    """Token ids of whole texts, as unsigned 32-bit integers (little-endian, as the machines that Spark runs on).
 
     White space ends every token of a vocabulary that drops it, so a text's ids
     are those of its words; the library encodes each word once.
@@ -44,7 +44,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        normalizer = self.library.normalizer
+        self.normal = normalizer.normalize_str if normalizer else str
         self.ids: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # what was known when half of the bound was reached last
 
     def encode(self, text: str) -> bytes:
         # ASCII and Latin-1 letters have one lower-case form whatever stands beside them
@@ -54,9 +57,13 @@ class Encoder:
         known = self.ids
         missing = {*units}.difference(known)
         if missing:
-            if len(known) + 2 * len(missing) > MOST_UNITS:
-                known = self.ids = {"": b""}
-                missing = {*units} - {""}
+            if len(known) + 2 * len(missing) > MOST_UNITS // 2:
+                self.before, known = known, {"": b""}
+                self.ids, missing = known, {*units} - {""}
+            again = self.before.keys() & missing
+            for u in again:
+                known[u] = self.before[u]
+            missing -= again
             self.learn(missing)
             long = [u for u in missing if len(u) > LONGEST_UNIT]
             out = b"".join(map(known.__getitem__, units))
@@ -66,11 +73,15 @@ class Encoder:
         return b"".join(map(known.__getitem__, units))
 
     def learn(self, units: set[str]) -> None:
-        """A letter ends a token before a mark, so a word and the marks after it are looked up apart."""
+        """A letter ends a token before a mark, so a word and the marks after it are looked up apart.
+
+        What counts is the letter as the library normalises it: some become a
+        letter and a combining mark, which shares a token with what follows.
+        """
         known, apart, fresh = self.ids, [], set()
         for u in units:
             core = u.rstrip(_MARKS)
-            if core and core != u and core[-1].isalpha():
+            if core and core != u and core[-1].isalpha() and (core[-1] <= "ÿ" or self.normal(core)[-1:].isalpha()):
                 tail = u[len(core) :]
                 apart.append((u, core, tail))
                 if core not in known:
@@ -81,7 +92,7 @@ class Encoder:
                 fresh.add(u)
         fresh = list(fresh)
         for u, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[u] = np.array(e.ids, "<u4").tobytes()
+            known[u] = array("I", e.ids).tobytes()
         for u, core, tail in apart:
             known[u] = known[core] + known[tail]
         for u in fresh:
@@ -97,11 +108,6 @@ def _beyond_latin(text: str) -> bool:
     return False
 
 
-@lru_cache(2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def pieces(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each piece of each row's ids and ``end_id``.
 
@@ -114,7 +120,7 @@ def pieces(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, encoder, width = to_arrow_schema(schema), _encoder(vocabulary), 4 * capacity
+        arrow, encoder, width = to_arrow_schema(schema), remembered(("encoder", vocabulary), lambda: Encoder(vocabulary)), 4 * capacity
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(texts(batch, "__text")):

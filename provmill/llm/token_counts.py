@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provmill.llm.common import arrow_map, text_column, texts
+from provmill.llm.common import arrow_map, remembered, text_column, texts
 
 #: Characters of the Unicode property White_Space (fixed values).
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -290,11 +290,6 @@ class Counter:
         return len(parts) - 1 + sum(map(self.segment, parts))
 
 
-@lru_cache(2)
-def _counter(path: str, chunk: int) -> Counter:
-    return Counter(path, chunk)
-
-
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512, chunk: int = CHUNK) -> DataFrame:
     """``keep``, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row.
 
@@ -306,7 +301,7 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple
     keys = tuple(keep)
 
     def make(batch: pa.RecordBatch) -> dict:
-        counter = _counter(vocabulary, chunk)
+        counter = remembered(("counter", vocabulary, chunk), lambda: Counter(vocabulary, chunk))
         sizes, counts = [], []
         for t in texts(batch, "__text"):
             sizes.append(len(t.encode()))

@@ -5,8 +5,10 @@ all thresholds: P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1 < ..., and the
 severity that is reported is the expected grade, the sum of these over k.
 
 Labels are 0 or 1.  The grades above 0 are quantile bands, over the labelled
-toxic rows, of the density of strongly toxic features; with one band the model
-is a plain logistic regression.
+toxic rows, of the density of strongly toxic features (those found in a share
+of the toxic rows that is over ten times their share of the clean ones); with
+one band the model is a plain logistic regression.  So a severity above 1 says
+how densely a text is toxic, not how grave a reader would find it.
 
 Features are words and their first letters (so that inflected forms share
 one), chosen by how strongly presence and label go together.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provmill.llm.common import arrow_map, text_column, texts, written
+from provmill.llm.common import arrow_map, cut, remembered, text_column, texts, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _numbers = count()
@@ -113,7 +115,7 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """Fit on about ``rows`` labelled documents: those with the lowest hashes of their ids.
 
     Null ids and labels are left out; of several labels of a document the
-    highest counts.  None if the sample doesn't have rows of both kinds.
+    highest counts, of several texts of an id the last in order.  None if the sample doesn't have rows of both kinds.
     """
     spark = df.sparkSession
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.max((F.col(label) > 0).cast("int")).alias("__y"))
@@ -121,7 +123,8 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     share = min(1.0, rows / n) if n else 1.0
     # bounded by ``rows``, whatever the size of the labels
     chosen = known.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_003)) < math.ceil(share * 1_000_003))
-    sample = df.select(F.col(id).alias("__id"), text_column(df, text).alias("__text")).join(F.broadcast(chosen), "__id").select("__y", "__text")
+    sample = df.select(F.col(id).alias("__id"), text_column(df, text).alias("__text")).join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.first("__y").alias("__y"), F.max("__text").alias("__text")).select("__y", "__text")
+    sample = cut(sample)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +146,9 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     total, present = all_toxic + all_clean, a + b
     # the chi-square statistic of presence and label
     odd = total * F.pow(a * (all_clean - b) - b * (all_toxic - a), 2) / (all_toxic * all_clean * present * (total - present + 0.5))
-    chosen_features = [r["f"] for r in seen.where("f <> '' and clean + toxic >= 3").withColumn("odd", odd).where("odd > 6.6").orderBy(F.desc("odd"), "f").limit(features).collect()]
-    strong = {r["f"] for r in seen.where(F.col("f").isin(chosen_features[:500]) & (a / all_toxic > 10 * (b + 0.5) / all_clean)).select("f").collect()} if chosen_features else set()
+    strong = a / all_toxic > 10 * (b + 0.5) / all_clean
+    best = seen.where("f <> '' and clean + toxic >= 3").withColumn("odd", odd).where("odd > 6.6").orderBy(F.desc("odd"), "f").limit(features).select("f", strong.alias("strong")).collect()
+    chosen_features = [r["f"] for r in best]
     index = {f: i for i, f in enumerate(chosen_features)}
     if not index:
         return None
@@ -162,7 +166,7 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     cols = np.concatenate([np.asarray(x, np.int64) for x in rows_["at"]]) if sum(size) else np.empty(0, np.int64)
     raw = np.concatenate([np.asarray(x, np.float64) for x in rows_["n"]]) if sum(size) else np.empty(0)
     y = rows_["y"].to_numpy()
-    is_strong = np.array([f in strong for f in chosen_features], float)
+    is_strong = np.array([r["strong"] for r in best], float)
     density = np.bincount(row, raw * is_strong[cols], len(rows_)) / np.maximum(1, rows_["words"].to_numpy())
     cuts = np.unique(np.quantile(density[y == 1], [k / bands for k in range(1, bands)])) if bands > 1 else np.empty(0)
     grades = np.where(y == 1, 1 + np.searchsorted(cuts, density, side="left"), 0)
@@ -172,16 +176,6 @@ def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(index, weights, thresholds)
 
 
-_extractors: dict[str, Extractor] = {}
-
-
-def _extractor(key: str, shared) -> Extractor:
-    if key not in _extractors:
-        _extractors.clear()
-        _extractors[key] = Extractor(shared.value.features)
-    return _extractors[key]
-
-
 def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: float = 0.5) -> DataFrame:
     """``keep``, expected_severity (0 to K), p_toxic (probability of any grade above 0) and toxic (p_toxic > limit) of each row.
 
@@ -189,7 +183,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
     Without a model (no labelled rows of both kinds) all are 0 and not toxic.
     """
     sc = df.sparkSession.sparkContext
-    shared, key = sc.broadcast(model), f"{sc.applicationId}-{next(_numbers)}"
+    shared, key = sc.broadcast(model), f"toxicity-{sc.applicationId}-{next(_numbers)}"
     schema = T.StructType([df.schema[k] for k in keep]).add("expected_severity", "double").add("p_toxic", "double").add("toxic", "boolean")
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -198,7 +192,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
         if model is None:
             zero = np.zeros(batch.num_rows)
             return out | {"expected_severity": zero, "p_toxic": zero, "toxic": zero > 0}
-        get, w = _extractor(key, shared), model.weights
+        get, w = remembered(key, lambda: Extractor(model.features)), model.weights
         margin = np.array([sum(w[i] * math.log1p(n) for i, n in sorted(get.counts(t)[0].items())) for t in texts(batch, "__text")])
         above = model.above(margin)
         return out | {"expected_severity": above.sum(axis=1), "p_toxic": above[:, 0], "toxic": above[:, 0] > limit}

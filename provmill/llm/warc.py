@@ -179,6 +179,8 @@ def reachable(candidates: DataFrame, most_rounds: int = 40) -> DataFrame:
         n = grown
         onward = jump.select("file", F.col("start").alias("to"), F.col("to").alias("after"))
         jump = cut(jump.join(onward, ["file", "to"], "left").select("file", "start", F.coalesce("after", "to").alias("to")))
+    else:
+        raise RuntimeError(f"chains not followed to their ends after {most_rounds} rounds")
     marked = own.join(seen.withColumn("entry", F.lit(True)), ["file", "start"], "left").select("file", "split", "start", "succ", F.coalesce("entry", F.lit(False)).alias("entry"))
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
