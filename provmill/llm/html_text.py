@@ -2,19 +2,25 @@
 
 The standard library's parser streams a page's events.  Every block of text is
 a line with the characters it has and the tags read since the line before.  The
-ratios are smoothed with a Gaussian; lines above a threshold drawn from their
-spread are content, wherever they are.  An article or main element that holds
-almost all content, else the smallest element that holds all of it, is the
-article, and all its blocks are taken, the short ones too, but for those in
-elements that are something else by their tag or by a whole name in their
-attributes.  A word that is only part of a name, or that has other meanings,
-lowers a line's ratio, and the threshold decides.
+ratios, weighted by what the elements around a line say about it, are smoothed
+with a Gaussian; lines above a threshold drawn from their spread are content,
+wherever they are.  The outermost article or main element that holds almost all
+content, else the smallest element that does, is the article, and all its blocks
+are taken, the short ones too, but for those in elements that are something
+else.
+
+An element is something else by its tag or by a whole name in its attributes.
+A word that is only part of a name, or that has other meanings, halves a line's
+ratio, and the threshold decides.  A name says nothing on an element that has
+the page's article in it: one that holds a heading of the first order, an
+article or main element, or nine tenths of the page's text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,8 +46,8 @@ NAMES = frozenset("ad ads advert adverts advertisement adbox sponsored gdpr news
 PLACES = frozenset("site page main left right top bottom global primary secondary post article container wrapper box block list area section links bar buttons form".split())
 #: What roles make an element something else.
 ROLES = frozenset("navigation complementary contentinfo search banner menu menubar toolbar alert alertdialog dialog".split())
-#: What a mark leaves of a line's ratio.
-LOWERED = 0.5
+#: What a line's mark leaves of its ratio: nothing said, something else perhaps, something else.
+WEIGHTS = (1.0, 0.5, 0.0)
 #: What an open p ends before.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul dd dt td th tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -78,84 +84,109 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, characters, tags since the line before, mark, elements open)."""
+    """Collects lines (text, characters, tags since the line before, innermost element) and the tree of elements, each with a number above its parent's."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, int]] = []  # name, number, the greatest mark of it and what it is in
-        self.names = [""]
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.names, self.parent, self.marks = [""], [0], [0]  # the page itself
+        self.named = [False]  # marked by a name, not by the tag
+        self.stack = [0]
+        self.open: Counter = Counter()
         self.data: list[str] = []
         self.tags = 0
-        self.body = False
 
     def flush_block(self) -> None:
         if self.data:
             text = " ".join("".join(self.data).split())
             self.data = []
             if text:
-                self.lines.append((text, len(text), self.tags, self.stack[-1][2] if self.stack else 0, tuple(s[1] for s in self.stack if s[0] not in INLINE)))
+                self.lines.append((text, len(text), self.tags, self.stack[-1]))
                 self.tags = 0
 
+    def name(self, i: int) -> str:
+        return self.names[self.stack[i]]
+
+    def nearest(self, wanted: tuple[str, ...], stop) -> int:
+        """Place in the stack of the innermost open element of a name, 0 if there is none before one to stop at."""
+        if any(self.open[w] for w in wanted):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.name(i) in wanted:
+                    return i
+                if stop(self.name(i)):
+                    break
+        return 0
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
             self.data.append(" ")
             return
-        if tag in ENDS_P:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
-                    self.close_to(i)
-                    break
-                if self.stack[i][0] not in INLINE:
-                    break
+        if tag in ENDS_P and (i := self.nearest(("p",), lambda name: name not in INLINE)):
+            self.close_to(i)
         if tag not in INLINE:
             self.flush_block()
         if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):  # end tags of these may be left out
             scope = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",)}.get(tag, ("table",) if tag == "tr" else ("tr", "table"))
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag or {self.stack[i][0], tag} == {"dd", "dt"} or {self.stack[i][0], tag} == {"td", "th"}:
-                    self.close_to(i)
-                    break
-                if self.stack[i][0] in scope:
-                    break
+            same = ("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,)
+            if i := self.nearest(same, lambda name: name in scope):
+                self.close_to(i)
         if tag in VOID:
             return
-        above = self.stack[-1][2] if self.stack else 0
-        if tag in ASIDE or tag == "header" and not any(s[0] == "article" for s in self.stack):
-            mark = 2
-        else:
-            mark = max(above, 0 if tag in ("html", "body", "article", "main") else _mark(tag, attrs))
-        if mark != above:
+        by_tag = tag in ASIDE or tag == "header" and not self.open["article"]
+        mark = 2 if by_tag else 0 if tag in ("html", "body", "article", "main") else _mark(tag, attrs)
+        if mark:
             self.flush_block()
         self.names.append(tag)
-        self.stack.append((tag, len(self.names) - 1, mark))
+        self.parent.append(self.stack[-1])
+        self.marks.append(mark)
+        self.named.append(mark == 2 and (not by_tag or tag == "form"))
+        self.stack.append(len(self.names) - 1)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1][0] == tag:
+        if tag not in VOID and self.name(-1) == tag:
             self.handle_endtag(tag)
 
     def close_to(self, i: int) -> None:
-        if any(s[0] not in INLINE for s in self.stack[i:]) or self.stack[i][2] != (self.stack[i - 1][2] if i else 0):
+        if any(self.names[e] not in INLINE or self.marks[e] for e in self.stack[i:]):
             self.flush_block()
+        for e in self.stack[i:]:
+            self.open[self.names[e]] -= 1
         del self.stack[i:]
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.close_to(i)
-                return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
-                return  # a stray end tag
-        if tag not in INLINE:
+        if i := self.nearest((tag,), lambda name: tag in INLINE and name not in INLINE):
+            self.close_to(i)
+        elif tag not in INLINE:
             self.flush_block()
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][0] in ("script", "style", "title", "template", "noscript")):
+        if self.name(-1) not in ("script", "style", "title", "template", "noscript"):
             self.data.append(data)
 
+    def up(self, values: list[int]) -> list[int]:
+        """Of each element the sum of the values of all that it holds, itself included."""
+        out = list(values)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def weighed(self) -> list[int]:
+        """Of each element the greatest mark of it and what it is in; names on what has the article in it don't count."""
+        chars = [0] * len(self.names)
+        for _, n, _, e in self.lines:
+            chars[e] += n
+        held, heads = self.up(chars), self.up([int(name in ("h1", "article", "main")) for name in self.names])
+        out = [0] * len(self.names)
+        for e in range(1, len(out)):
+            about = heads[e] or self.names[e] != "form" and not self.named[e] or held[e] >= 0.9 * held[0]
+            own = 0 if self.named[e] and about else self.marks[e]
+            out[e] = max(out[self.parent[e]], own)
+        return out
+
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian weights within two sigma; at the ends of those that are there."""
@@ -170,40 +201,40 @@ def main_text(html: str, share: float = 0.9, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.flush_block()
-    lines, names = parser.lines, parser.names
+    lines, names, parent = parser.lines, parser.names, parser.parent
     if not lines:
         return ""
-    ratio = np.array([(1.0, LOWERED, 0.0)[mark] * n / max(1, tags) for _, n, tags, mark, _ in lines])
+    marks = parser.weighed()
+    ratio = np.array([WEIGHTS[marks[e]] * n / max(1, tags) for _, n, tags, e in lines])
     level = smooth(ratio, sigma)
-    size = np.array([n for _, n, *_ in lines])
     content = (level > 0.5 * level.std()) & (ratio > 0)
     if not content.any():
         content = ratio > 0
     if not content.any():
         return ""
-    held: dict[int, int] = {}
-    for i in np.flatnonzero(content):
-        for element in lines[i][4]:
-            held[element] = held.get(element, 0) + int(size[i])
-    all_chars = int(size[content].sum())
-
-    def innermost(least: float) -> tuple[int, tuple[int, ...]]:
-        """The last element to open that holds so many characters of content, and those it is in with itself."""
-        found = max((e for e, n in held.items() if n >= least), default=0)
-        path = next((ln[4] for ln in lines if found in ln[4]), ())
-        return found, path[: path.index(found) + 1] if found in path else ()
-
-    _, up = innermost(share * all_chars)
-    for kind in ("article", "main"):
-        outer = [e for e in up if names[e] == kind]
-        if outer:
-            article = outer[0]
-            break
-    else:
-        article, up = innermost(all_chars)
-        if article and names[article] not in ("div", "section", "body", "html", "main", "article"):  # a block or a list of the article
-            article = next((e for e in reversed(up) if names[e] in ("div", "section", "td", "body", "html")), 0)
-    return "\n".join(text for (text, _, _, mark, path), taken in zip(lines, content, strict=True) if taken or not mark and (not article or article in path))
+    own = [0] * len(names)
+    for i in np.flatnonzero(content).tolist():
+        own[lines[i][3]] += lines[i][1]
+    held = parser.up(own)
+
+    def innermost(least: float) -> int:
+        """The last element to open that holds so many characters of content."""
+        return max(e for e, n in enumerate(held) if n >= least)
+
+    outer: dict[str, int] = {}
+    e = innermost(share * held[0])
+    while e:
+        if names[e] in ("article", "main"):
+            outer[names[e]] = e
+        e = parent[e]
+    article = outer.get("article", outer.get("main", 0)) or innermost(share * held[0])
+    if names[article] not in ("div", "section", "td", "body", "html", "main", "article"):  # a block or a list of the article
+        while article and names[article] not in ("div", "section", "td", "body", "html"):
+            article = parent[article]
+    inside = [False] * len(names)
+    for e in range(len(names)):
+        inside[e] = e == article or e > 0 and inside[parent[e]]
+    return "\n".join(text for (text, _, _, e), taken in zip(lines, content.tolist(), strict=True) if taken or not marks[e] and inside[e])
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -105,4 +105,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": f"""
+    WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    cut AS (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS body FROM cut),
+    docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, CAST([] AS VARCHAR[])) AS w FROM documents),
+    places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+    spots AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS body FROM places),
+    found AS (SELECT doc_id, spots.n, i, item FROM spots JOIN windows ON windows.n = spots.n AND windows.body = spots.body),
+    words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op10_warc": """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, unhex(sha1(coalesce(html, ''))) AS d FROM pages),
+    g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda b: get_bit(CAST(d AS BIT), CAST(5 * k + b AS INTEGER)) << CAST(4 - b AS INTEGER)))::INTEGER, 1)), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM p JOIN g USING (h)""",
+}

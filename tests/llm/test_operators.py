@@ -71,10 +71,17 @@ def test_digests(spark, docs, none):
     assert digests.canonical("  Ｔhe  CAT ") == b"the cat"
 
 
-def test_colliding_digests_are_told_apart(spark, docs, monkeypatch):
-    hit = spark.createDataFrame([("f",)], "fingerprint string")
-    rows = spark.createDataFrame([("f", "w1"), ("f", "w2"), ("g", "w3")], "fp string, w string")
-    assert sorted(r.fp for r in digests.resolve(rows, hit, "fp", "w").collect()) == ["f-w1", "f-w2", "g"]
+def test_colliding_digests_are_told_apart(spark):
+    """With a digest that tells only lengths, bytes decide."""
+    rows = [(1, "aa"), (2, "bb"), (3, " aa "), (4, "c"), (5, None), (6, "dddd"), (7, "BB"), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = digests.fingerprints(df, digest=lambda form: f"{len(form):032x}").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.fingerprint, set()).add(r.doc_id)
+        assert r.group_size == sum(digests.canonical(t or "") == digests.canonical(dict(rows)[r.doc_id] or "") for _, t in rows)
+    assert sorted(map(sorted, groups.values())) == [[1, 3], [2, 7], [4], [5, 8], [6]]
+    assert {r.doc_id: r.group_id for r in got} == {1: 1, 3: 1, 2: 2, 7: 2, 4: 4, 5: 5, 8: 5, 6: 6}
 
 
 @pytest.mark.parametrize("parts", [1, 2, 5])
@@ -246,6 +253,31 @@ def test_packing_is_tight(spark):
         packing.pack(spark.createDataFrame([(1, 0, 101)], "doc_id long, piece int, length long"), capacity=100)
 
 
+def test_a_letter_and_a_mark_have_the_ids_of_the_library():
+    """All letters up to U+FFFF that normalisation may change, before and after marks, and random texts."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    odd = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.normalize("NFC", c.lower()) != c or c in "\u0130\u0958\u09dc\u0a33\u0b5c"]
+    tests = [t for c in odd if not 0xD800 <= ord(c) < 0xE000 for t in (c + "!", f"a{c}.", f"a!{c}b", f"{c}\u0301;")]
+    rng = random.Random(5)
+    tests += ["".join(rng.choice(["a", "é", "e\u0301", "\u0130", "क़", ".", "'", "s", " ", "\n", "12", '"', "Σ", "ß", "<|x|>", "日"]) for _ in range(rng.randint(1, 20))) for _ in range(10_000)]
+    want = library.encode_batch_fast(tests, add_special_tokens=False)
+    assert [t for t, w in zip(tests, want, strict=True) if encoder.encode(t) != np.array(w.ids, "<u4").tobytes()] == []
+
+
+def test_forgetting_units_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_UNITS", 20)
+    path = tokenizer("word_bpe_49k.json")
+    small, rng = packing.Encoder(path), random.Random(8)
+    for _ in range(300):
+        text = " ".join(rng.choice(["one", "two,", "three", "four.", "five", "six", "seven!", "eight", "x" * 70]) for _ in range(rng.randint(0, 14)))
+        assert small.encode(text) == np.array(small.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 TRAIN = [("en", "the cat and the dog are here with the other animals"), ("de", "der hund und die katze sind hier mit den anderen tieren"), ("fr", "le chien et le chat sont ici avec les autres animaux")]
 
 
@@ -265,6 +297,91 @@ def test_language(spark, docs, none):
     assert small.predict("hundkatze katzehund tierhund hierhund denhund")[0] == "de"
 
 
+def test_language_scores_against_brute_force(spark):
+    rows = [(i, *TRAIN[i % 3]) for i in range(9)] + [(9, "fi", "kissa ja koira")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), orders=(3, 2, 1), prior=50.0)
+    langs = sorted({lang for _, lang, _ in rows})
+    counts = {k: {x: {} for x in langs} for k in (0, 3, 2, 1)}
+    for _, lang, text in rows:
+        for w in text.split():
+            for k, units in {0: [w], **{k: [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)] for k in (3, 2, 1)}}.items():
+                for u in units:
+                    counts[k][lang][u] = counts[k][lang].get(u, 0) + 1
+
+    def of(k, unit, lang):
+        """None where no language has the unit."""
+        c, n = {x: counts[k][x].get(unit, 0) for x in langs}, {x: sum(counts[k][x].values()) for x in langs}
+        if not any(c.values()):
+            return None
+        pooled = sum(c.values()) / sum(n.values())
+        shared = sum((c[x] + 50 * pooled) / (n[x] + 50) for x in langs) / len(langs)
+        return math.log((c[lang] + 50 * shared) / (n[lang] + 50))
+
+    def word(w, lang):
+        if of(0, w, lang) is not None:
+            return of(0, w, lang)
+        for k in (3, 2, 1):
+            found = [s for i in range(len(w) + 3 - k) if (s := of(k, f" {w} "[i : i + k], lang)) is not None]
+            if found:
+                return sum(found) / len(found)
+        return 0.0
+
+    scorer = language.Scorer(model)
+    for text in ("the cat", "hundkatze", "koira", "zq the", "Les Tieren, kissat 12 other", "ooo"):
+        words = [w.strip(",") for w in text.lower().split() if not w.isdigit()]
+        total = {x: sum(word(w, x) for w in words) for x in langs}
+        best = max(langs, key=lambda x: total[x])
+        lang, score, confidence = scorer.predict(text)
+        assert lang == best and score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), rel=1e-4)
+        assert confidence == pytest.approx(1 / sum(math.exp((v - total[best]) / len(words)) for v in total.values()), rel=1e-4)
+
+
+@pytest.mark.parametrize("few", [1, 3, 10])
+def test_a_language_of_little_text_takes_no_others(spark, few):
+    rng = random.Random(few)
+    words = {"aa": [f"{a}{b}r" for a in "bcdfg" for b in "aeiou"], "bb": [f"{a}{b}n" for a in "klmps" for b in "aeiou"], "cc": [f"{a}{b}" for a in "vwxyz" for b in "aeiou"]}
+    say = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(lang, say(lang, 30)) for lang, n in (("aa", 200), ("bb", 100), ("cc", few)) for _ in range(n)]
+    model = language.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    scorer = language.Scorer(model)
+    assert all(scorer.predict(say(lang, n))[0] == lang for lang in words for n in (3, 10, 50) for _ in range(30))
+
+
+def test_all_languages_are_learned(spark):
+    model = language.train(spark.createDataFrame([(None, f"l{i:03}", f"w{chr(97 + i % 26)}{chr(97 + i // 26)} common") for i in range(300)], "doc_id long, lang string, text string"))
+    assert len(model.langs) == 300 and language.Scorer(model).predict("wcb")[0] == "l028"
+
+
+def test_ordinal_fit_goes_to_the_best_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    x = rng.random((200, 3))
+    grades = np.searchsorted([0.8, 1.6], x @ [2.0, -1.0, 1.0] + rng.normal(0, 0.3, 200))
+    rows, cols = np.divmod(np.arange(600), 3)
+    w, t = toxicity._fit((rows, cols, x.ravel()), 200, 3, grades, 2, 1e-3, 3000)
+
+    def loss(w, t):
+        s = np.column_stack([np.ones(200), *(1 / (1 + np.exp(-(x @ w - k))) for k in t), np.zeros(200)])
+        return -np.log(s[np.arange(200), grades] - s[np.arange(200), grades + 1]).mean() + 0.5e-3 * (w @ w)
+
+    best = loss(w, t)
+    assert t[0] < t[1]
+    for k in range(5):
+        for step in (-0.05, 0.05):
+            at = np.concatenate([w, t])
+            at[k] += step
+            assert loss(at[:3], at[3:]) > best
+    model = toxicity.Model({}, w, t)
+    above = model.above(x @ w)
+    p = np.column_stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]])
+    assert (p > 0).all() and above.sum(axis=1) == pytest.approx(p @ [0, 1, 2])
+
+
+def test_repeated_ids_of_labelled_documents(spark):
+    d = spark.createDataFrame([(1, f"foul{i} words") for i in range(200)] + [(i, f"plain text {i}") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    assert toxicity.train(d, labels) is None or toxicity.score(d, toxicity.train(d, labels)).count() == 238
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(6)
     plain = [f"word{i}" for i in range(200)]
@@ -321,6 +438,52 @@ def test_language_model(spark, docs, none):
     assert {r.train_tokens for r in unseen} == {0} and {r.n_known for r in unseen} == {0}
 
 
+def test_text_scores_against_brute_force(spark):
+    """Everything from its definition but the fitted weights of the pieces."""
+    path = tokenizer("piece_bpe_32k.model")
+    rows = [(1, "the cat the", "en", False), (2, "le chat", "fr", False), (3, "The dog", "en", True), (4, "", None, False), (5, "zebra the chat", None, True)]
+    got = {r.doc_id: r for r in lattice_lm.scores(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean"), path, kind="lang").collect()}
+    kinds = ["en", "fr", None]
+    train = {k: [t.lower().split() for _, t, lang, h in rows if not h and lang == k] for k in kinds}
+    everything = [w for texts in train.values() for t in texts for w in t]
+    n, v = len(everything) + 3, len(set(everything)) + 1
+    words = spark.createDataFrame([(w, *(sum(t.count(w) for t in train[k]) for k in kinds)) for w in {w for _, t, _, _ in rows for w in t.lower().split()}], "word string, c0 long, c1 long, c2 long")
+    log_p = lattice_lm.fit(words, path, 3, 2)
+    pieces = lattice_lm._pieces(path)
+
+    def plain(w, k):
+        return float(lattice_lm.Lattice(pieces, [w]).weigh(log_p[k]).log_probability()[0])
+
+    for i, text, _, _ in rows:
+        tokens = text.lower().split()
+        base = sum(math.log10((everything.count(w) + 0.1) / (n + 0.1 * (v + 1))) for w in tokens) + math.log10(3.1 / (n + 0.1 * (v + 1)))
+        full, alone = [], []
+        for k, kind in enumerate(kinds):
+            counts = {}
+            for t in train[kind]:
+                for w in t:
+                    counts[w] = counts.get(w, 0) + 1
+            size, ends = sum(counts.values()) + len(train[kind]), len(train[kind])
+            once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+            d = (once + 0.5) / (once + 2 * twice + 1)
+            spare = d * (len(counts) + 1) / size
+            p_end = min(ends / size, 0.5)
+            a, b = math.log10((ends - d) / size), math.log10(p_end)
+            for w in tokens:
+                a += math.log10((max(0, counts.get(w, 0) - d) if w in counts else 0) / size + spare * math.exp(plain(w, k)))
+                b += math.log10(1 - p_end) + plain(w, k) / math.log(10)
+            full.append(10**a / 3)
+            alone.append(10**b / 3)
+        assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(math.log10(sum(full)), rel=1e-4) and got[i].lattice_score == pytest.approx(math.log10(sum(alone)), rel=1e-4)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens) + 1, sum(w in everything for w in tokens) + 1, n)
+
+
+def test_no_class_is_left_out(spark):
+    rows = [(i, f"word{i} text", f"k{i}", False) for i in range(12)]
+    got = lattice_lm.scores(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out boolean"), tokenizer("piece_bpe_32k.model"), kind="lang", rounds=1).collect()
+    assert len(got) == 12 and max(r.score for r in got) == pytest.approx(min(r.score for r in got), abs=1.5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="<p>x</p>";</script></head><body>
 <header><h1>Site name</h1></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
 <div class="cookie-banner">We use cookies to make this site better for you and everyone.</div>
@@ -394,3 +557,36 @@ def test_forgetting_words_changes_no_score(spark):
         small.predict(seen)
         got = small.predict(text)
         assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-6)
+
+
+SAY = "This is a sentence of the article that is as long as all the others are, more or less."
+
+
+@pytest.mark.parametrize("names", ["content has-sidebar", "layout no-ads", "sticky-header with-footer-widgets", "social-story", "sidebar", "comments"])
+def test_names_on_what_holds_the_article_drop_nothing(names):
+    page = f'<html><body><nav><a href=x>Home</a></nav><div class="{names}"><h1>Title</h1><p>{SAY}</p><h2 id="search">Find</h2><p>{SAY}</p></div><footer>c 2024 and more</footer></body></html>'
+    assert html_text.main_text(page) == f"Title\n{SAY}\nFind\n{SAY}"
+    form = f"<html><body><form><nav><a>Home</a></nav><div><p>{SAY}</p><p>{SAY} {SAY} {SAY}</p></div></form></body></html>"
+    assert html_text.main_text(form) == f"{SAY}\n{SAY} {SAY} {SAY}"
+
+
+def test_the_ratio_decides_where_nothing_is_named(monkeypatch):
+    """Link lists and lines around the text have no names here."""
+    links = "".join(f"<div><a href=/{i}><b>Link {i}</b></a></div>" for i in range(8))
+    page = f"<html><body><div>{links}</div><div><h1>Title</h1>{f'<p>{SAY} {SAY}</p>' * 6}<p>Short.</p></div><div>{links}</div></body></html>"
+    want = "\n".join(["Title", *[f"{SAY} {SAY}"] * 6, "Short."])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "smooth", lambda values, sigma=1.0: np.where(values > 0, 1.0, 0.0))
+    assert html_text.main_text(page) != want
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>", "<div><b>hello <li>", "<b>x<i>"):
+        took = []
+        for n in (5_000, 40_000):
+            start = time.process_time()
+            html_text.main_text(unit * n + f"<p>{SAY}")
+            took.append(time.process_time() - start)
+        assert took[1] < 24 * took[0] + 0.5
