@@ -54,7 +54,7 @@ WORDS_AT_ONCE, LETTERS_AT_ONCE = 8192, 200_000
 #: Slots of the hash table that holds the trie of the pieces.
 SLOTS = 1 << 20
 #: Documents and bytes of a block.
-BLOCK_ROWS, BLOCK_BYTES = 10_000, 48_000_000
+BLOCK_ROWS, BLOCK_BYTES = 10_000, 24_000_000
 
 
 class Pieces:
@@ -405,5 +405,7 @@ def scores(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
                 cols = [rest.column(4), rest.column(5), size + 1, [r[0] for r in rows], np.full(len(rows), n), [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.select("block").distinct().count())  # about a block a task
-    return answers.unionAll(asked).repartition(many, "block").sortWithinPartitions("block", F.asc_nulls_last("at")).mapInArrow(total, out)
+    # a block a task, whatever the number of blocks
+    tasks, most = documents.agg(F.coalesce(F.max(F.shiftright("block", 32)), F.lit(0)) + 1, F.coalesce(F.max(F.col("block").bitwiseAND(0xFFFFFFFF)), F.lit(0)) + 1).first()
+    place = F.shiftright("block", 32) * most + F.col("block").bitwiseAND(0xFFFFFFFF)
+    return answers.unionAll(asked).repartitionById(tasks * most, place.cast("int")).sortWithinPartitions("block", F.asc_nulls_last("at")).mapInArrow(total, out)
