@@ -10,14 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PATH = ("path_id",)
 
-#: Paths of more steps than this are closed level by level over the whole cluster, not in one task's memory.
-STEPS_IN_A_TASK = 2_000_000
+#: Paths of more steps than this are closed over the whole cluster, as a task holds a path's ids in memory; the result is the same.
+STEPS_IN_A_TASK = 1_000_000
 
 
 def edges(steps: DataFrame) -> DataFrame:
@@ -30,52 +33,146 @@ def step_index(steps: DataFrame) -> DataFrame:
     return steps.groupBy("path_id", "step_id").agg(F.max_by(F.struct(*[c for c in steps.columns if c not in ("path_id", "step_id")]), "pos").alias("step")).select("path_id", "step_id", "step.*")
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by path; a row with a null pos is a head."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    out: tuple[list, list] = [], []
-    for path, run in groupby(rows, key=lambda r: r[0]):
-        last: dict[str, tuple[int, list]] = {}
-        stack = []
-        for _, step, parents, pos in run:
-            if pos is None:
-                stack.append(step)
-            elif step not in last or pos >= last[step][0]:
-                last[step] = pos, parents or []
-        seen = set()
-        while stack:
-            step = stack.pop()
-            if step is not None and step not in seen:
-                seen.add(step)
-                stack.extend(last[step][1] if step in last else ())
-        out[0].extend([path] * len(seen))
-        out[1].extend(seen)
-        if len(out[0]) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["path_id", "step_id"])
-            out = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["path_id", "step_id"])
+def _closed(last: dict, heads: list) -> set:
+    """What the heads descend from, themselves included; ``last`` has the parents of each step."""
+    seen: set = set()
+    stack = list(heads)
+    while stack:
+        step = stack.pop()
+        if step is not None and step not in seen:
+            seen.add(step)
+            stack.extend(last.get(step) or ())
+    return seen
+
+
+def _paths(batches: Iterator[pa.RecordBatch], at: dict[str, int]) -> Iterator[tuple[str | None, list[pa.RecordBatch], dict, list]]:
+    """(path, its step rows, parents by step, heads) one after the other; rows come sorted by path, heads first, then by pos."""
+
+    def runs():
+        for batch in batches:
+            names = np.array([*batch.column(at["path_id"]).to_pylist(), ""], object)[:-1]
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y > x:
+                    yield names[x], batch.slice(x, y - x)
+
+    for path, run in groupby(runs(), key=lambda r: r[0]):
+        held, last, heads = [], {}, []
+        for _, part in run:
+            n = pc.sum(part.column(at["__head"])).as_py() or 0
+            heads += part.column(at["step_id"]).slice(0, n).to_pylist()
+            rows = part.slice(n)
+            if rows.num_rows:
+                held.append(rows)
+                last.update(zip(rows.column(at["step_id"]).to_pylist(), rows.column(at["parents"]).to_pylist(), strict=True))
+        yield path, held, last, heads
+
+
+def _gathered(steps: DataFrame, heads: DataFrame) -> DataFrame:
+    """Steps and heads in one shuffle by path.
+
+    Dealt by a hash of the path: a union of sides that were joined by path
+    before would count as dealt already, and loses that when Spark replans it.
+    """
+    given = heads.select("path_id", F.col("head").alias("step_id"), F.lit(True).alias("__head"))
+    rows = steps.withColumn("__head", F.lit(False)).unionByName(given, allowMissingColumns=True)
+    return rows.repartition(F.xxhash64("path_id")).sortWithinPartitions("path_id", F.desc("__head"), "pos")
 
 
 def closure_in_tasks(steps: DataFrame, heads: DataFrame) -> DataFrame:
     """One shuffle by path; each task searches its paths one after the other."""
-    kind = steps.schema["pos"].dataType
-    given = heads.select("path_id", F.col("head").alias("step_id"), F.lit(None).cast("array<string>").alias("parents"), F.lit(None).cast(kind).alias("pos"))
-    rows = steps.select("path_id", "step_id", "parents", "pos").unionByName(given)
-    return rows.repartition("path_id").sortWithinPartitions("path_id").mapInArrow(_search, "path_id string, step_id string")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, _, last, tips in _paths(batches, {"path_id": 0, "step_id": 1, "parents": 2, "pos": 3, "__head": 4}):
+            seen = _closed(last, tips)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(seen), pa.string()), pa.array(list(seen), pa.string())], names=["path_id", "step_id"])
+
+    return _gathered(steps.select("path_id", "step_id", "parents", "pos"), heads).mapInArrow(_joined(search), "path_id string, step_id string")
+
+
+def marked_in_tasks(steps: DataFrame, heads: DataFrame) -> DataFrame:
+    """marked() by one shuffle: a task searches its paths and returns their rows."""
+    kept = steps.columns
+    schema = T.StructType([*steps.schema.fields, T.StructField("active", T.BooleanType()), T.StructField("active_parents", T.ArrayType(T.BooleanType())), T.StructField("headed", T.BooleanType())])
+    at = {name: i for i, name in enumerate([*kept, "__head"])}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for _, held, last, tips in _paths(batches, at):
+            seen = _closed(last, tips)
+            headed = any(t is not None for t in tips)
+            for rows in held:
+                active = [s in seen for s in rows.column(at["step_id"]).to_pylist()]
+                parents = [None if p is None else [x in seen for x in p] for p in rows.column(at["parents"]).to_pylist()]
+                cols = [rows.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(active, pa.bool_()), pa.array(parents, pa.list_(pa.bool_())), pa.array([headed] * len(active), pa.bool_())], schema=arrow)
+
+    return _gathered(steps, heads).mapInArrow(_joined(search), schema)
 
-def closure_by_levels(steps: DataFrame, heads: DataFrame, most_levels: int = 1_000_000) -> DataFrame:
-    """One round of joins a level; no path has to fit a task."""
+
+def _joined(search):
+    """Small batches of a search put together, so that many short paths don't make many short batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in search(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def closure_by_levels(steps: DataFrame, heads: DataFrame) -> DataFrame:
+    """The closure by joins over the whole cluster; no path has to fit a task.
+
+    First parents make a forest, in which pointers that double their reach find
+    all ancestors of a step in as many joins as the logarithm of the number of
+    steps.  Other parents are followed in rounds: as many as there are of them
+    on the way that has fewest.
+    """
     shared_dir(steps.sparkSession)
-    links = edges(step_index(steps)).select("path_id", "child", "parent").checkpoint()
-    seen = frontier = heads.where("head is not null").select("path_id", F.col("head").alias("step_id")).distinct().checkpoint()
-    for _ in range(most_levels):
-        step = frontier.withColumnRenamed("step_id", "child").join(links, ["path_id", "child"]).select("path_id", F.col("parent").alias("step_id")).distinct()
-        frontier = step.join(seen, ["path_id", "step_id"], "left_anti").checkpoint()
-        if frontier.isEmpty():
+    links = edges(step_index(steps)).select("path_id", "child", "parent", "ord").checkpoint()
+    first = links.where("ord = 0").select("path_id", F.col("child").alias("step_id"), F.col("parent").alias("to"))
+    others = links.where("ord > 0").select("path_id", F.col("child").alias("step_id"), "parent")
+    longest = links.groupBy("path_id").count().agg(F.max("count")).first()[0] or 0
+    jumps, reach = [first], 1
+    while reach < longest:
+        onward = jumps[-1].select("path_id", F.col("step_id").alias("to"), F.col("to").alias("further"))
+        jump = jumps[-1].join(onward, ["path_id", "to"]).select("path_id", "step_id", F.col("further").alias("to")).checkpoint()
+        if jump.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
+        jumps.append(jump)
+        reach *= 2
+    key = ["path_id", "step_id"]
+    frontier = heads.where("head is not null").select("path_id", F.col("head").alias("step_id")).distinct().checkpoint()
+    seen: list[DataFrame] = []
+    while not frontier.isEmpty():
+        up = frontier
+        for jump in jumps:
+            up = up.unionByName(up.join(jump, key).select("path_id", F.col("to").alias("step_id"))).distinct().checkpoint()
+        for part in seen:
+            up = up.join(part, key, "left_anti")
+        seen.append(up.checkpoint())
+        frontier = seen[-1].join(others, key).select("path_id", F.col("parent").alias("step_id")).distinct()
+        for part in seen:
+            frontier = frontier.join(part, key, "left_anti")
+        frontier = frontier.checkpoint()
+        if len(seen) > 8:  # one table in place of many
+            whole = seen[0]
+            for part in seen[1:]:
+                whole = whole.unionByName(part)
+            seen = [whole.checkpoint()]
+    out = frontier  # empty
+    for part in seen:
+        out = out.unionByName(part)
+    return out
 
 
 def closure_by_cte(steps: DataFrame, heads: DataFrame, levels: int = 1000) -> DataFrame:
@@ -90,25 +187,46 @@ def closure_by_cte(steps: DataFrame, heads: DataFrame, levels: int = 1000) -> Da
     )
 
 
+def _large(steps: DataFrame, most_steps: int) -> DataFrame | None:
+    """(path_id) of paths with more steps, or None if there is none; the count reads no other column."""
+    large = steps.groupBy("path_id").count().where(F.col("count") > most_steps).select("path_id")
+    return None if large.isEmpty() else large
+
+
 def ancestor_ids(steps: DataFrame, heads: DataFrame, most_steps: int = STEPS_IN_A_TASK) -> DataFrame:
     """(path_id, step_id): what each head descends from, itself included.
 
     A head or parent that is no step is part of it too; cycles end.  Paths too
-    large for a task are closed level by level.
+    large for a task are closed over the whole cluster.
     """
-    large = steps.groupBy("path_id").count().where(F.col("count") > most_steps).select("path_id")
-    names = [r[0] for r in large.limit(1000).collect()]
-    if not names:
+    large = _large(steps, most_steps)
+    if large is None:
         return closure_in_tasks(steps, heads)
-    is_large = F.col("path_id").isin(names) if len(names) < 1000 else None
-    if is_large is None:
-        return closure_by_levels(steps, heads)
-    return closure_in_tasks(steps.where(~is_large), heads.where(~is_large)).unionByName(closure_by_levels(steps.where(is_large), heads.where(is_large)))
+    of = lambda rows, how: rows.join(large, "path_id", how)
+    return closure_in_tasks(of(steps, "left_anti"), of(heads, "left_anti")).unionByName(closure_by_levels(of(steps, "left_semi"), of(heads, "left_semi")))
+
+
+def marked(steps: DataFrame, heads: DataFrame, most_steps: int = STEPS_IN_A_TASK) -> DataFrame:
+    """``steps`` with active (a head descends from it), active_parents (the same of each parent) and headed (its path has a head)."""
+    large = _large(steps, most_steps)
+    if large is None:
+        return marked_in_tasks(steps, heads)
+    of = lambda rows, how: rows.join(large, "path_id", how)
+    some, tips = of(steps, "left_semi"), of(heads, "left_semi").where("head is not null")
+    on = closure_by_levels(some, tips)
+    links = some.select("path_id", "step_id", "pos", F.posexplode("parents").alias("__ord", "__parent"))
+    known = links.join(on.select("path_id", F.col("step_id").alias("__parent"), F.lit(True).alias("__on")), ["path_id", "__parent"], "left")
+    flags = F.transform(F.array_sort(F.collect_list(F.struct("__ord", F.coalesce("__on", F.lit(False)).alias("on")))), lambda x: x["on"])
+    parents = known.groupBy("path_id", "step_id", "pos").agg(flags.alias("active_parents"))
+    out = some.join(on.withColumn("active", F.lit(True)), ["path_id", "step_id"], "left").join(parents, ["path_id", "step_id", "pos"], "left").join(tips.select("path_id", F.lit(True).alias("headed")).distinct(), "path_id", "left")
+    none = F.when(F.col("parents").isNotNull(), F.array().cast("array<boolean>"))
+    out = out.select(*steps.columns, F.coalesce("active", F.lit(False)).alias("active"), F.coalesce("active_parents", none).alias("active_parents"), F.coalesce("headed", F.lit(False)).alias("headed"))
+    return marked_in_tasks(of(steps, "left_anti"), of(heads, "left_anti")).unionByName(out)
 
 
 def ancestors(steps: DataFrame, heads: DataFrame) -> DataFrame:
     """The steps that a head descends from, the head included."""
-    return steps.join(ancestor_ids(steps, heads), ["path_id", "step_id"], "left_semi")
+    return marked(steps, heads).where("active").select(*steps.columns)
 
 
 def dead_ends(steps: DataFrame, heads: DataFrame, need_head: bool = False) -> DataFrame:
@@ -116,10 +234,17 @@ def dead_ends(steps: DataFrame, heads: DataFrame, need_head: bool = False) -> Da
 
     A path without any head has none, or raises if ``need_head``.
     """
-    headed = heads.where("head is not null").select("path_id").distinct()
-    if need_head and not steps.join(headed, "path_id", "left_anti").isEmpty():
-        raise ValueError("a path has no head")
-    return steps.join(headed, "path_id", "left_semi").join(ancestor_ids(steps, heads), ["path_id", "step_id"], "left_anti")
+    if need_head:
+        bare = headless(steps, heads).select("path_id").first()
+        if bare:
+            raise ValueError(f"path {bare[0]} has no head")
+    return marked(steps, heads).where("headed and not active").select(*steps.columns)
+
+
+def headless(steps: DataFrame, heads: DataFrame) -> DataFrame:
+    """(path_id, n_steps) of paths without a head, for which nothing can be a dead end."""
+    known = heads.where("head is not null").select("path_id").distinct()
+    return steps.groupBy("path_id").agg(F.count("*").alias("n_steps")).join(known, "path_id", "left_anti")
 
 
 def roots(steps: DataFrame) -> DataFrame:
@@ -136,10 +261,9 @@ def graph_roots(steps: DataFrame, scope: str = "graph_id") -> DataFrame:
 
 def active_edges(steps: DataFrame, heads: DataFrame) -> DataFrame:
     """edges() with active: both ends are in the head's closure."""
-    on = ancestor_ids(steps, heads)
-    of = lambda side: on.select("path_id", F.col("step_id").alias(side), F.lit(True).alias(f"__{side}"))
-    both = edges(steps).join(of("child"), ["path_id", "child"], "left").join(of("parent"), ["path_id", "parent"], "left")
-    return both.select("path_id", "child", "parent", "ord", (F.col("__child").isNotNull() & F.col("__parent").isNotNull()).alias("active"))
+    rows = marked(steps.select("path_id", "step_id", "parents", "pos"), heads)
+    each = rows.select("path_id", F.col("step_id").alias("child"), "active", F.posexplode(F.arrays_zip("parents", "active_parents")).alias("ord", "__p"))
+    return each.select("path_id", "child", F.col("__p.parents").alias("parent"), "ord", (F.col("active") & F.col("__p.active_parents")).alias("active"))
 
 
 def degrees(steps: DataFrame) -> DataFrame:

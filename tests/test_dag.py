@@ -57,6 +57,28 @@ def test_plans_agree(spark):
     assert len(ids(dag.ancestors(steps, heads))) + len(ids(dag.dead_ends(steps, heads))) == len(rows)
 
 
+def test_marks_agree_with_closures(spark):
+    rng = random.Random(9)
+    rows = [(f"p{p}", i, f"s{i % 17}", sorted({f"s{rng.randrange(20)}" for _ in range(rng.randint(0, 3))})) for p in range(5) for i in range(20)]
+    steps, heads = frame(spark, rows), spark.createDataFrame([(f"p{p}", h) for p in range(4) for h in ("s3", "s9" if p else None)], "path_id string, head string")
+    on = set(ids(dag.ancestor_ids(steps, heads)))
+    for most in (1000, 10):  # in tasks, and over the cluster
+        got = dag.marked(steps, heads, most_steps=most).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.active == ((r.path_id, r.step_id) in on) and r.headed == (r.path_id != "p4")
+            assert r.active_parents == [(r.path_id, x) in on for x in r.parents]
+    assert [tuple(r) for r in dag.headless(steps, heads).collect()] == [("p4", 20)]
+
+
+def test_a_long_path_over_the_cluster(spark):
+    n = 100_000
+    steps = spark.range(n).select(F.lit("p").alias("path_id"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("s"), "id").alias("step_id"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("s"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    heads = spark.createDataFrame([("p", f"s{n - 10}")], "path_id string, head string")
+    assert dag.ancestor_ids(steps, heads, most_steps=1000).count() == n - 9
+    assert dag.ancestors(steps, heads).count() == n - 9
+
+
 def test_filters_keep_steps_with_equal_ids(spark):
     rows = [("p", 0, "s", "human:a", "2024-01-01T10:00:00Z", "f"), ("p", 1, "s", "agent:b", "2024-01-01T12:00:00Z", "g"), ("p", 2, "t", "human:a", "2024-01-01T14:00:00Z", "g")]
     steps = spark.createDataFrame(rows, "path_id string, pos int, step_id string, actor string, ts string, artifact string")
