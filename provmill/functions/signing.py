@@ -68,3 +68,18 @@ def canonical(raw: pd.Series) -> pd.Series:
 def payload_digest(raw: Column | str) -> Column:
     """SHA-256 (hexadecimal) of the canonical form."""
     return F.sha2(canonical(F.col(raw) if isinstance(raw, str) else raw).cast("binary"), 256)
+
+
+def step_payload(step: Column, change: Column) -> Column:
+    """What an author signs of a step; both are JSON objects."""
+    return F.concat(F.lit('{"change":'), change, F.lit(',"step":'), step, F.lit("}"))
+
+
+def path_payload(path: Column, step_ids: Column) -> Column:
+    """What an author signs of a path: the path object (JSON) and the ids of its steps in order (an array)."""
+    return F.concat(F.lit('{"path":'), path, F.lit(',"step_ids":'), F.to_json(step_ids), F.lit("}"))
+
+
+def review_payload(path_id: Column, head: Column, reviewed_at: Column) -> Column:
+    """What a reviewer signs: the path, its head at that time, and the time."""
+    return F.to_json(F.struct(head.alias("head"), path_id.alias("path_id"), reviewed_at.alias("reviewed_at")))

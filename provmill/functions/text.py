@@ -178,6 +178,12 @@ def branch_spec(s: Column | str) -> Column:
     return F.struct(F.substring_index(s, ":", 1).alias("name"), F.when(F.contains(s, F.lit(":")), F.regexp_replace(s, r"^[^:]*:", "")).alias("start"))
 
 
+def branch_start(spec: Column | str) -> Column:
+    """Where a branch_spec() starts: HEAD at its front stands for the branch."""
+    spec = _col(spec)
+    return F.when(F.startswith(spec["start"], F.lit("HEAD")), F.concat(spec["name"], F.substr(spec["start"], F.lit(5)))).otherwise(spec["start"])
+
+
 def glob_to_regex(pattern: str) -> str:
     """A glob over URLs: * within a segment, ** over segments, ? one character."""
     import re
@@ -191,3 +197,16 @@ def glob_to_regex(pattern: str) -> str:
         out += {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i]))
         i += 1
     return f"^{out}$"
+
+
+def path_link(path: Column | str, step: Column | str | None = None) -> Column:
+    """A reference to a path, or to a step of it."""
+    out = F.concat(F.lit("path:"), _col(path))
+    return out if step is None else F.concat(out, F.lit("/"), _col(step))
+
+
+def parse_link(href: Column | str) -> Column:
+    """STRUCT<path, step> of such a reference; step is null without one, all of it for other links."""
+    rule = r"^[a-z]*path:([^/]+)(?:/(.+))?$"
+    href = _col(href)
+    return F.when(href.rlike(rule), F.struct(F.regexp_extract(href, rule, 1).alias("path"), F.nullif(F.regexp_extract(href, rule, 2), F.lit("")).alias("step")))

@@ -54,7 +54,8 @@ def turns(entries: DataFrame) -> DataFrame:
     # calls and late results of one id in order; with ids that are unique, the first later result
     several = calls.groupBy("path_id", "id").count().where("count > 1")
     later = late.withColumn("id", F.col("r.id"))
-    joined = calls.where("inline is null").join(later, ["path_id", "id"]).where("__pos > pos")
+    once = calls.where("inline is null").join(several, ["path_id", "id"], "left_anti")  # so that no id joins several calls with several results
+    joined = once.join(later, ["path_id", "id"]).where("__pos > pos")
     unique = joined.groupBy("path_id", "pos", "call_pos").agg(F.min_by("r", F.struct("__pos", "__ord")).alias("late"))
     by_join = calls.join(unique, ["path_id", "pos", "call_pos"], "left")
     repeated = calls.join(several, ["path_id", "id"], "left_semi").select("path_id", "id", F.lit(0).alias("kind"), "pos", F.col("call_pos").alias("ord"), F.col("inline").isNotNull().alias("done"), F.lit(None).cast("struct<id:string,content:string,is_error:boolean>").alias("r"))
@@ -118,13 +119,41 @@ def views(turns: DataFrame) -> DataFrame:
 
 
 def chain_metadata(metadata: DataFrame, first_ids: DataFrame) -> DataFrame:
-    """head, message_count, started_at, last_activity, n_segments of each chain; segments without times don't reset the bounds."""
+    """head, message_count, started_at, last_activity, n_segments, first_segment of each chain; segments without times don't reset the bounds."""
+    return _chain_of(metadata, first_ids).groupBy("head").agg(F.sum("message_count").alias("message_count"), F.min("started_at").alias("started_at"), F.max("last_activity").alias("last_activity"), F.count("*").alias("n_segments"), F.min_by("segment", "ord").alias("first_segment"))
+
+
+def _chain_of(metadata: DataFrame, first_ids: DataFrame) -> DataFrame:
+    """Metadata of segments with the head of their chain and their place in it."""
     key = lambda c: F.concat_ws("/", "project", c)
     segments = metadata.select(key("segment").alias("segment"), "message_count", "started_at", "last_activity")
     known = segments.select(F.col("segment").alias("pred"))
     links = K.links(first_ids.select(key("segment").alias("segment"), key("session_id").alias("session_id"))).join(known, "pred", "left_semi")
-    chain = K.chains(segments, links)
-    return chain.join(segments, "segment").groupBy("head").agg(F.sum("message_count").alias("message_count"), F.min("started_at").alias("started_at"), F.max("last_activity").alias("last_activity"), F.count("*").alias("n_segments"))
+    return K.chains(segments, links).join(segments, "segment")
+
+
+def merged_bounds(entries: DataFrame, metadata: DataFrame, first_ids: DataFrame) -> DataFrame:
+    """head, started_at and last_activity of each chain, as a merged conversation has them.
+
+    started_at is that of the first segment that has one, or of an earlier entry
+    that is kept; last_activity that of the last segment that has one.
+    ``entries`` are those of chained_entries().
+    """
+    chain = _chain_of(metadata, first_ids)
+    of = chain.groupBy("head").agg(F.min_by("started_at", F.when(F.col("started_at").isNotNull(), F.col("ord"))).alias("first"), F.max_by("last_activity", F.when(F.col("last_activity").isNotNull(), F.col("ord"))).alias("last_activity"))
+    kept = entries.groupBy(F.col("path_id").alias("head")).agg(F.min("at").alias("earliest"))
+    return of.join(kept, "head", "left").select("head", F.least("first", "earliest").alias("started_at"), "last_activity")
+
+
+def conversation_messages(entries: DataFrame, role: str) -> DataFrame:
+    """Entries whose kind and whose message's role both are ``role``."""
+    return entries.where((F.col("type") == role) & (F.col("role") == role))
+
+
+def find_conversations(entries: DataFrame, search: str) -> DataFrame:
+    """(path_id, last_activity) of conversations with ``search`` in an entry, the latest first, those without times last."""
+    hit = with_text(entries, search).select("path_id").distinct()
+    return entries.join(hit, "path_id", "left_semi").groupBy("path_id").agg(F.max("at").alias("last_activity")).orderBy(F.desc_nulls_last("last_activity"), "path_id")
 
 
 def errors(entries: DataFrame) -> DataFrame:

@@ -76,3 +76,25 @@ def first_touch(calls: DataFrame) -> DataFrame:
 def recent(rows: DataFrame, n: int, instant: str, tie: str) -> DataFrame:
     """The n latest rows; earlier rows first among equals."""
     return rows.orderBy(F.desc_nulls_last(instant), F.asc(tie)).limit(n)
+
+
+def latest_first(rows: DataFrame, instant: str, tie: str, n: int) -> DataFrame:
+    """The n latest rows with place, counted from 1; rows without a time come last."""
+    best = recent(rows, n, instant, tie)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(instant), F.asc(tie))).cast("long"))
+
+
+def summaries(steps: DataFrame) -> DataFrame:
+    """(path_id, n_steps, last_pos) of each session."""
+    return steps.groupBy("path_id").agg(F.count("*").alias("n_steps"), F.max("pos").cast("long").alias("last_pos"))
+
+
+def seen_and_last(rows: DataFrame, seen: str, last: str) -> DataFrame:
+    """(path_id, seen_count, last_id): how many values of a column there are, and the last of another."""
+    return rows.groupBy("path_id").agg(F.count_distinct(seen).alias("seen_count"), F.max_by(last, "pos").alias("last_id"))
+
+
+def step_labels(rows: DataFrame, id: str = "step_id") -> DataFrame:
+    """(path_id, id, label): step-001 and so on, in order of pos."""
+    n = F.row_number().over(Window.partitionBy("path_id").orderBy("pos")).cast("string")
+    return rows.select("path_id", id, F.concat(F.lit("step-"), F.lpad(n, F.greatest(F.length(n), F.lit(3)), "0")).alias("label"))

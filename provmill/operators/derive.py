@@ -118,7 +118,7 @@ def commit_steps(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 def graph_identity(branches: DataFrame) -> DataFrame:
     """(repo, graph_id, title) of branches: repo, name."""
-    names = F.array_sort(F.collect_list("name"))
+    names = F.transform(F.array_sort(F.collect_list("name")), lambda x: x.cast("string"))
     named = branches.groupBy("repo").agg(names.alias("n"))
     few = F.concat(F.lit("graph-"), F.array_join(F.transform("n", lambda x: F.replace(x, F.lit("/"), F.lit("-"))), "-"))
     many = F.concat(F.lit("graph-"), F.size("n").cast("string"), F.lit("-branches"))

@@ -9,9 +9,32 @@ from provmill.functions import text as X
 from provmill.operators import dag
 from provmill.operators import steps as S
 
-#: Fixed values of drawings.
+#: Colours of dead ends and of clusters in turn, and attributes of nodes and edges (fixed values of the format).
 DEAD_COLOUR = "#ffcccc"
-FILLS = ("#f0f8ff", "#fff8f0", "#f0fff0", "#fff0f5", "#f5f0ff", "#fffff0")
+FILLS = ("#e3f2fd", "#e8f5e9", "#fff3e0", "#f3e5f5", "#e0f7fa", "#fce4ec")
+NODE = '  node [shape=box, style=rounded, fontname="Helvetica"];'
+ON, OFF = 'color="#333333", penwidth=2', 'color="#cccccc", style=dashed'
+REF = 'shape=note, style=filled, fillcolor="#ffffcc"'
+
+
+def cluster_number(pos: Column | str) -> Column:
+    """Which of the colours the cluster at a place of its graph has."""
+    return F.pmod(F.col(pos) if isinstance(pos, str) else pos, F.lit(len(FILLS)))
+
+
+def cluster_fill(pos: Column | str) -> Column:
+    """The colour of the cluster at a place of its graph."""
+    return F.element_at(F.array(*map(F.lit, FILLS)), cluster_number(pos).cast("int") + 1)
+
+
+def step_lines(steps: DataFrame, timestamps: bool = False, files: bool = True) -> DataFrame:
+    """(path_id, step_id, section, ord, line) of the drawing of each step alone: its node and what leads to it."""
+    key = ["path_id", "step_id"]
+    fixed = lambda section, *text: steps.select(*key, F.lit(section).alias("section"), F.posexplode(F.array(*map(F.lit, text))).alias("ord", "line"))
+    node = F.concat(F.lit("  "), quoted("step_id"), F.lit(" [label="), label(steps, timestamps, files), F.lit(', fillcolor="'), X.actor_color("actor"), F.lit('", style="rounded,filled"];'))
+    nodes = steps.select(*key, F.lit(1).alias("section"), F.lit(0).alias("ord"), node.alias("line"))
+    links = steps.select(*key, F.lit(2).alias("section"), F.posexplode("parents").alias("ord", "__p")).select(*key, "section", "ord", F.concat(F.lit("  "), quoted("__p"), F.lit(" -> "), quoted("step_id"), F.lit(";")).alias("line"))
+    return fixed(0, "digraph provenance {", "  rankdir=TB;", NODE, "").unionByName(nodes).unionByName(links).unionByName(fixed(3, "}"))
 
 
 def label(steps: DataFrame, timestamps: bool = False, files: bool = True) -> Column:
@@ -42,7 +65,7 @@ def path_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, fil
     on = dag.ancestor_ids(steps, paths.select("path_id", "head")).withColumn("active", F.lit(True))
     known = steps.join(on, ["path_id", "step_id"], "left").join(paths.select("path_id", "head", "base_uri"), "path_id")
     fixed = lambda section, *text: paths.select("path_id", F.lit(section).alias("section"), F.posexplode(F.array(*map(F.lit, text))).alias("ord", "line"))
-    out = [fixed(0, "digraph provenance {", "  rankdir=TB;", '  node [shape=box, style=rounded, fontname="Helvetica"];', '  edge [color="#666666"];', "  splines=ortho;", "")]
+    out = [fixed(0, "digraph provenance {", "  rankdir=TB;", NODE, '  edge [color="#666666"];', "  splines=ortho;", "")]
     title = paths.where("title is not null").select("path_id", F.lit(1).alias("section"), F.posexplode(F.array(F.lit('  labelloc="t";'), F.concat(F.lit("  label="), quoted("title"), F.lit(";")), F.lit("  fontsize=16;"), F.lit('  fontname="Helvetica-Bold";'), F.lit(""))).alias("ord", "line"))
     small = X.prefix(F.coalesce("base_ref", F.lit("")), 8)
     base_label = F.concat(F.lit('<<b>BASE</b><br/><font point-size="10">'), X.escape_html("base_uri"), F.lit('</font><br/><font point-size="9" color="#666666">'), X.escape_html(small), F.lit("</font>>"))
@@ -54,7 +77,7 @@ def path_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, fil
     node = F.concat(F.lit("  "), quoted("step_id"), F.lit(" [label="), label(steps, timestamps, files), F.lit(', fillcolor="'), colour, F.lit('", style="'), style, F.lit('", penwidth='), F.when(is_head, "3").otherwise("1"), F.lit("];"))
     nodes = known.select("path_id", F.lit(3).alias("section"), F.col("pos").alias("ord"), node.alias("line"))
     child_pos = steps.select("path_id", F.col("step_id").alias("child"), "pos")
-    link = F.concat(F.lit("  "), quoted("parent"), F.lit(" -> "), quoted("child"), F.lit(" ["), F.when(F.col("active"), 'color="#333333", penwidth=2').otherwise('color="#cccccc", style=dashed'), F.lit("];"))
+    link = F.concat(F.lit("  "), quoted("parent"), F.lit(" -> "), quoted("child"), F.lit(" ["), F.when(F.col("active"), ON).otherwise(OFF), F.lit("];"))
     links = dag.active_edges(steps, paths.select("path_id", "head")).join(child_pos, ["path_id", "child"]).select("path_id", F.lit(5).alias("section"), (F.col("pos") * 1000 + F.col("ord")).alias("ord"), link.alias("line"))
     roots = known.where("size(parents) = 0 and base_uri is not null").select("path_id", F.lit(5).alias("section"), (F.col("pos") * 1000).alias("ord"), F.concat(F.lit('  "__base__" -> '), quoted("step_id"), F.lit(";")).alias("line"))
     legend = ["", "  // Legend", "  subgraph cluster_legend {", '    label="Legend";', '    fontname="Helvetica-Bold";', "    style=filled;", '    fillcolor="#f8f8f8";', '    node [shape=box, style="rounded,filled", width=0.9, fontname="Helvetica", fontsize=10];']
@@ -89,21 +112,21 @@ def graph_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, fi
     on = dag.ancestor_ids(steps, inline.select("path_id", "head")).withColumn("active", F.lit(True))
     known = steps.join(on, ["path_id", "step_id"], "left").join(inline.select("path_id", "head", "title", "path_pos").withColumnRenamed("path_pos", "__p"), "path_id")
     at = lambda offset: (F.col("path_pos") * 10 + offset + 10).cast("long").alias("section")
-    clusters = inline.select("graph_id", at(0), F.posexplode(F.array(F.concat(F.lit("  subgraph cluster_"), F.col("path_pos").cast("string"), F.lit(" {")), F.concat(F.lit("    label="), quoted(F.coalesce("title", "path_id")), F.lit(";")), F.lit("    style=filled;"), F.concat(F.lit('    fillcolor="'), F.element_at(F.array(*map(F.lit, FILLS)), F.pmod("path_pos", F.lit(6)) + 1), F.lit('";')))).alias("ord", "line"))
+    clusters = inline.select("graph_id", at(0), F.posexplode(F.array(F.concat(F.lit("  subgraph cluster_"), F.col("path_pos").cast("string"), F.lit(" {")), F.concat(F.lit("    label="), quoted(F.coalesce("title", "path_id")), F.lit(";")), F.lit('    fontname="Helvetica-Bold";'), F.lit("    style=filled;"), F.concat(F.lit('    fillcolor="'), cluster_fill("path_pos"), F.lit('";')), F.lit("    margin=12;"), F.lit(""))).alias("ord", "line"))
     ends = inline.select("graph_id", at(2), F.lit(0).alias("ord"), F.lit("  }").alias("line"))
     is_head, is_dead = F.col("step_id") == F.col("head"), F.col("active").isNull() & F.lit(dead)
     colour = F.when(~is_head & is_dead, DEAD_COLOUR).otherwise(X.actor_color("actor"))
     style = F.when(is_head, "rounded,filled,bold").when(is_dead, "rounded,filled,dashed").otherwise("rounded,filled")
-    nodes = known.select("graph_id", at(1), F.col("pos").alias("ord"), F.concat(F.lit("    "), node_id(F.col("path_id"), F.col("step_id")), F.lit(" [label="), label(steps, timestamps, files), F.lit(', fillcolor="'), colour, F.lit('", style="'), style, F.lit('"];')).alias("line"))
+    nodes = known.select("graph_id", at(1), F.col("pos").alias("ord"), F.concat(F.lit("    "), node_id(F.col("path_id"), F.col("step_id")), F.lit(" [label="), label(steps, timestamps, files), F.lit(', fillcolor="'), colour, F.lit('", style="'), style, F.lit('", penwidth='), F.when(is_head, "3").otherwise("1"), F.lit("];")).alias("line"))
     late = lambda: F.lit(1_000_000_000).cast("long").alias("section")
-    links = dag.edges(steps).join(steps.select("path_id", F.col("step_id").alias("parent")).distinct(), ["path_id", "parent"], "left_semi").join(steps.select("path_id", "graph_id", F.col("step_id").alias("child"), "pos"), ["path_id", "child"])
-    links = links.select("graph_id", late(), (F.col("pos") * 1000 + F.col("ord")).alias("ord"), F.concat(F.lit("  "), node_id(F.col("path_id"), F.col("parent")), F.lit(" -> "), node_id(F.col("path_id"), F.col("child")), F.lit(";")).alias("line"))
+    links = dag.active_edges(steps, inline.select("path_id", "head")).join(steps.select("path_id", F.col("step_id").alias("parent")).distinct(), ["path_id", "parent"], "left_semi").join(steps.select("path_id", "graph_id", F.col("step_id").alias("child"), "pos"), ["path_id", "child"])
+    links = links.select("graph_id", late(), (F.col("pos") * 1000 + F.col("ord")).alias("ord"), F.concat(F.lit("  "), node_id(F.col("path_id"), F.col("parent")), F.lit(" -> "), node_id(F.col("path_id"), F.col("child")), F.lit(" ["), F.when(F.col("active"), ON).otherwise(OFF), F.lit("];")).alias("line"))
     based = S.base_steps(inline.where("base_ref is not null").select("graph_id", "path_id", "base_ref"), steps.where("revision is not null")).where("base_step is not null")
     origin = steps.where("revision is not null").groupBy("graph_id", F.col("step_id").alias("base_step")).agg(F.max_by("path_id", F.struct("path_pos", "pos")).alias("from_path"))
     roots = dag.roots(steps).select("path_id", "step_id", "pos")
-    cross = based.join(origin, ["graph_id", "base_step"]).join(roots, "path_id").where("from_path <> path_id").select("graph_id", (F.lit(1_000_000_001)).cast("long").alias("section"), F.col("pos").alias("ord"), F.concat(F.lit("  "), node_id(F.col("from_path"), F.col("base_step")), F.lit(" -> "), node_id(F.col("path_id"), F.col("step_id")), F.lit(' [style=dashed, label="branches"];')).alias("line"))
-    refs = paths.where("ref_url is not null").select("graph_id", at(0), F.lit(0).alias("ord"), F.concat(F.lit('  "ref_'), F.col("path_pos").cast("string"), F.lit('" [label='), quoted("ref_url"), F.lit(", shape=note];")).alias("line"))
-    out = fixed(0, "digraph provenance {", "  rankdir=TB;", "  compound=true;", "  newrank=true;", '  node [shape=box, style=rounded, fontname="Helvetica"];', '  edge [color="#333333"];', "  splines=ortho;", "")
+    cross = based.join(origin, ["graph_id", "base_step"]).join(roots, "path_id").where("from_path <> path_id").select("graph_id", (F.lit(1_000_000_001)).cast("long").alias("section"), F.col("pos").alias("ord"), F.concat(F.lit("  "), node_id(F.col("from_path"), F.col("base_step")), F.lit(" -> "), node_id(F.col("path_id"), F.col("step_id")), F.lit(f" [{ON}];")).alias("line"))
+    refs = paths.where("ref_url is not null").select("graph_id", at(0), F.lit(0).alias("ord"), F.concat(F.lit('  "ref_'), F.col("path_pos").cast("string"), F.lit('" [label=<<b>$ref</b><br/><font point-size="9">'), X.escape_html("ref_url"), F.lit(f"</font>>, {REF}];")).alias("line"))
+    out = fixed(0, "digraph provenance {", "  rankdir=TB;", "  compound=true;", "  newrank=true;", NODE, '  edge [color="#333333"];', "  splines=ortho;", "")
     for part in (clusters, nodes, ends, links, cross, refs, fixed(2_000_000_000, "}")):
         out = out.unionByName(part)
     return out

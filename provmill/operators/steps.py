@@ -6,7 +6,7 @@ column of its own; both forms are served.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provmill.functions import text as X
@@ -139,10 +139,68 @@ def base_steps(paths: DataFrame, steps: DataFrame) -> DataFrame:
     """(path_id, base_step): the step whose revision a path's base names: exactly, else by its first eight characters; of several the last.
 
     ``paths``: graph_id, path_id, base_ref; ``steps``: graph_id, path_id, path_pos, pos, step_id, revision.
+    Both meet in one shuffle by graph and prefix.
     """
-    at = F.struct("path_pos", "pos")
-    exact = steps.groupBy("graph_id", "revision").agg(F.max_by("step_id", at).alias("__exact"))
-    short = steps.groupBy("graph_id", X.prefix("revision", 8).alias("__short")).agg(F.max_by("step_id", at).alias("__near"))
-    asked = paths.withColumn("__short", X.prefix("base_ref", 8))
-    found = asked.join(exact.withColumnRenamed("revision", "base_ref"), ["graph_id", "base_ref"], "left").join(short, ["graph_id", "__short"], "left")
-    return found.select("graph_id", "path_id", F.coalesce("__exact", "__near").alias("base_step"))
+    none = F.lit(None).cast("string")
+    bare = paths.where("base_ref is null").select("graph_id", "path_id", none.alias("base_step"))
+    asked = paths.where("base_ref is not null").select("graph_id", "path_id", F.col("base_ref").alias("revision"), F.lit(True).alias("__asked"))
+    known = steps.where("revision is not null").groupBy("graph_id", "revision").agg(F.max(F.struct("path_pos", "pos", "step_id")).alias("__at"))
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("__short", X.prefix("revision", 8))
+    exact = F.max("__at").over(Window.partitionBy("graph_id", "__short", "revision"))
+    near = F.max("__at").over(Window.partitionBy("graph_id", "__short"))
+    found = both.select("graph_id", "path_id", "__asked", F.coalesce(exact, near)["step_id"].alias("base_step")).where("__asked")
+    return found.select("graph_id", "path_id", "base_step").unionByName(bare)
+
+
+def related_paths(steps: DataFrame, links: DataFrame) -> DataFrame:
+    """(path_id, rel, other) of paths that have a change in common; ``links`` are those of correlate().
+
+    A path that an agent worked on produces one whose every step has a revision,
+    and that one is produced-by it; where this isn't so, or is so both ways,
+    each complements the other.
+    """
+    kind = steps.groupBy("path_id").agg(F.max(F.startswith("actor", F.lit("agent:"))).alias("agent"), F.min(F.col("revision").isNotNull()).alias("vcs"))
+    of = lambda p: kind.select(F.col("path_id").alias(f"{p}_path"), F.col("agent").alias(f"{p}_agent"), F.col("vcs").alias(f"{p}_vcs"))
+    pairs = links.select("a_path", "b_path").distinct().join(of("a"), "a_path").join(of("b"), "b_path")
+    forth, back = F.expr("a_agent and b_vcs"), F.expr("b_agent and a_vcs")
+    rel = F.when(forth & ~back, "produces").when(back & ~forth, "produced-by").otherwise("complements")
+    other = F.when(forth & ~back, "produced-by").when(back & ~forth, "produces").otherwise("complements")
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a_path").alias("path_id"), rel.alias("rel"), F.col("b_path").alias("other")), F.struct(F.col("b_path").alias("path_id"), other.alias("rel"), F.col("a_path").alias("other")))).alias("w"))
+    return ways.select("w.*")
+
+
+def correlated_graphs(paths: DataFrame, relations: DataFrame) -> DataFrame:
+    """(graph_id, rel, href): the mark of each graph that has related paths, once."""
+    return paths.join(relations.select("path_id").distinct(), "path_id", "left_semi").select("graph_id").distinct().withColumns({"rel": F.lit("correlates"), "href": F.lit("self")})
+
+
+def by_priority(rows: DataFrame, key: str, name: str, order: tuple[str, ...], other: bool = False) -> DataFrame:
+    """(key, name): of a key's names the one that stands first in ``order``; with ``other`` any name counts, those not in it last."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(name))
+    place = F.when(rank > 0, rank).otherwise(len(order) + 1)
+    some = rows if other else rows.where(F.col(name).isin(*order))
+    return some.groupBy(key).agg(F.min_by(name, F.struct(place, F.col(name))).alias(name))
+
+
+def heads_of(steps: DataFrame, *keys: str) -> DataFrame:
+    """keys, n_steps and head (the last step) of each path."""
+    return steps.groupBy(*keys).agg(F.count("*").alias("n_steps"), F.max_by("step_id", "pos").alias("head"))
+
+
+def distinct_union(*parts: DataFrame) -> DataFrame:
+    """The different rows of all parts; columns go by name."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def parent_steps(steps: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
+    """edges with columns of the parent, named parent_<column>; edges to what is no step are left out."""
+    known = steps.select("path_id", F.col("step_id").alias("parent"), *(F.col(c).alias(f"parent_{c}") for c in columns))
+    return edges.join(known, ["path_id", "parent"])
+
+
+def without(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """The different rows whose keys ``others`` doesn't have."""
+    return rows.distinct().join(others, list(keys), "left_anti")

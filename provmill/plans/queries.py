@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provmill.functions import text as X
+from provmill.operators import assembly, dag, derive, render
 from provmill.operators import conversations as C
-from provmill.operators import dag
 from provmill.operators import steps as S
 from provmill.plans import adapters as A
 from provmill.plans.adapters import CLOSURE_SQL, EVENT_STEPS_SQL, ORDER_STEPS_SQL, TURNS_SQL, table
+from provmill.sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,8 +57,14 @@ def dag_02_dead_ends(spark, d):
 
 @query(f"{_STEPS} SELECT path_id, count(*) AS n_steps FROM steps WHERE path_id NOT IN (SELECT path_id FROM heads) GROUP BY path_id")
 def dag_03_headless(spark, d):
-    steps, heads = _events(spark, d)
-    return steps.join(heads, "path_id", "left_anti").groupBy("path_id").agg(F.count("*").alias("n_steps"))
+    return dag.headless(*_events(spark, d))
+
+
+@query(f"{_STEPS} SELECT path_id, count(*) AS n_steps FROM steps GROUP BY path_id HAVING count(*) FILTER (WHERE event_type = 'signup' AND artifact = 'k/7') = 0")
+def dag_03_headless_of_signups(spark, d):
+    """A path's head is its last sign-up on one artifact; most have none."""
+    steps = A.event_steps(spark, d)
+    return dag.headless(steps, steps.where("event_type = 'signup' and artifact = 'k/7'").groupBy("path_id").agg(F.max_by("step_id", "pos").alias("head")))
 
 
 @query(
@@ -88,8 +95,7 @@ def dag_08_fork_merge_degree(spark, d):
 
 @query(f"{_STEPS} SELECT path_id, arg_min(event_type, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) AS first_kind FROM steps WHERE event_type <> 'error' GROUP BY path_id")
 def dag_11_by_priority(spark, d):
-    rank = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 3).otherwise(4)
-    return A.event_steps(spark, d).where("event_type <> 'error'").groupBy("path_id").agg(F.min_by("event_type", rank).alias("first_kind"))
+    return S.by_priority(A.event_steps(spark, d).where("event_type <> 'error'"), "path_id", "event_type", ("purchase", "signup", "click"), other=True).withColumnRenamed("event_type", "first_kind")
 
 
 @query(f"{_STEPS} SELECT e.path_id, e.parent AS step_id, e.child FROM edges e")
@@ -100,7 +106,7 @@ def j_08_children(spark, d):
 @query(f"{_STEPS} SELECT e.path_id, e.child, e.parent, p.actor AS parent_actor FROM edges e JOIN steps p ON p.path_id = e.path_id AND p.step_id = e.parent")
 def j_01_parent_step(spark, d):
     steps = A.event_steps(spark, d)
-    return dag.edges(steps).join(steps.select("path_id", F.col("step_id").alias("parent"), F.col("actor").alias("parent_actor")), ["path_id", "parent"]).select("path_id", "child", "parent", "parent_actor")
+    return S.parent_steps(steps, dag.edges(steps), "actor").select("path_id", "child", "parent", "parent_actor")
 
 
 # filters
@@ -143,12 +149,18 @@ def flt_08_by_role(spark, d):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'purchase'")
 def flt_09_by_type(spark, d):
-    return table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "event_type")
+    return logs.by_type(table(spark, d, "events").withColumn("type", F.col("event_type")), "purchase").select("event_id", "event_type")
 
 
 @query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-04 00:00:00'")
 def flt_10_instants(spark, d):
-    return table(spark, d, "events").where("ts between timestamp_ntz'2024-01-03 00:00:00' and timestamp_ntz'2024-01-04 00:00:00'").select("event_id")
+    return logs.between(table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")), "2024-01-03 00:00:00", "2024-01-04 00:00:00").select("event_id")
+
+
+def _history(spark, d):
+    """Events as lines of a history; a user is a project."""
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000")
+    return table(spark, d, "events").select("event_id", "event_type", F.col("props").alias("display"), ms.alias("timestamp"), F.col("user_id").cast("string").alias("project"), F.col("event_type").alias("session_id"))
 
 
 @query(f"{_TURNS} SELECT path_id, turn_id FROM turns WHERE contains(lower(text), 'tion the')")
@@ -158,18 +170,17 @@ def flt_12_contains_text(spark, d):
 
 @query("SELECT event_id FROM events WHERE user_id = 7")
 def flt_14_by_project(spark, d):
-    return table(spark, d, "events").where("user_id = 7").select("event_id")
+    return logs.history_of(_history(spark, d), project="7").select("event_id")
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 BETWEEN 1704240000000 AND 1704326400000")
 def flt_15_history_range(spark, d):
-    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000")
-    return table(spark, d, "events").select("event_id", ms.alias("ms")).where("ms between 1704240000000 and 1704326400000")
+    return logs.history_of(_history(spark, d), start=1704240000000, end=1704326400000).select("event_id", F.col("timestamp").alias("ms"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE contains(lower(props), '\"k\": 1')")
 def flt_16_history_text(spark, d):
-    return table(spark, d, "events").where(F.contains(F.lower("props"), F.lower(F.lit('"K": 1')))).select("event_id", "event_type")
+    return logs.history_of(_history(spark, d), search='"K": 1').select("event_id", "event_type")
 
 
 @query(f"{_TURNS} SELECT path_id, turn_id, role FROM turns WHERE path_id IN (SELECT path_id FROM turns WHERE contains(lower(text), 'tion the'))")
@@ -242,7 +253,12 @@ def agg_08_title(spark, d):
     SELECT CAST(chain AS VARCHAR) AS head, CAST(sum(n) AS BIGINT) AS message_count, strftime(min(a), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(max(b), '%Y-%m-%dT%H:%M:%SZ') AS last_activity, min(user_id) AS first_segment FROM m GROUP BY chain"""
 )
 def agg_09_chain_metadata(spark, d):
-    return table(spark, d, "events").groupBy((F.col("user_id") % 50).cast("string").alias("head")).agg(F.count("*").alias("message_count"), A.iso(F.min("ts")).alias("started_at"), A.iso(F.max("ts")).alias("last_activity"), F.min("user_id").alias("first_segment"))
+    """A user's events are a segment, which continues that of the user with a number less by fifty."""
+    none = F.lit(None).cast("string")
+    metadata = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("message_count"), F.min("ts").alias("started_at"), F.max("ts").alias("last_activity")).withColumns({"project": none, "segment": F.col("user_id").cast("string")})
+    first = metadata.where("user_id >= 50").select("project", "segment", (F.col("user_id") - 50).cast("string").alias("session_id"))
+    m = assembly.chain_metadata(metadata, first)
+    return m.select("head", "message_count", A.iso("started_at").alias("started_at"), A.iso("last_activity").alias("last_activity"), F.col("first_segment").cast("long").alias("first_segment"))
 
 
 @query(f"{_STEPS} SELECT actor, arg_min(path_id, (CAST(path_id AS BIGINT), pos)) AS path_id, arg_min(step_id, (CAST(path_id AS BIGINT), pos)) AS step_id FROM steps GROUP BY actor")
@@ -253,20 +269,20 @@ def agg_12_first_definition(spark, d):
 
 @query(f"{_STEPS} SELECT path_id, count(*) AS n_steps, max(pos) AS last_pos FROM steps GROUP BY path_id")
 def agg_13_session_summary(spark, d):
-    return A.event_steps(spark, d).groupBy("path_id").agg(F.count("*").alias("n_steps"), F.max("pos").cast("long").alias("last_pos"))
+    return C.summaries(A.event_steps(spark, d))
 
 
 @query("""SELECT c_custkey AS graph, CASE WHEN count(*) <= 3 THEN 'graph-' || string_agg(CAST(o_orderkey AS VARCHAR), '-' ORDER BY o_orderkey) ELSE 'graph-' || CAST(count(*) AS VARCHAR) || '-branches' END AS graph_id
     FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def agg_15_graph_id(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    few = F.concat(F.lit("graph-"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), "-"))
-    return orders.join(table(spark, d, "customer").select("c_custkey"), "c_custkey").groupBy(F.col("c_custkey").alias("graph")).agg(F.when(F.count("*") <= 3, few).otherwise(F.concat(F.lit("graph-"), F.count("*").cast("string"), F.lit("-branches"))).alias("graph_id"))
+    known = orders.join(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("repo"), F.col("o_orderkey").alias("name"))
+    return derive.graph_identity(known).select(F.col("repo").alias("graph"), "graph_id")
 
 
 @query(f"{_STEPS} SELECT path_id, count(DISTINCT artifact) AS seen_count, arg_max(step_id, pos) AS last_id FROM steps GROUP BY path_id")
 def agg_16_seen_and_last(spark, d):
-    return A.event_steps(spark, d).groupBy("path_id").agg(F.count_distinct("artifact").alias("seen_count"), F.max_by("step_id", "pos").alias("last_id"))
+    return C.seen_and_last(A.event_steps(spark, d), "artifact", "step_id")
 
 
 # windows
@@ -293,8 +309,7 @@ def w_03_turns_since(spark, d):
 
 @query(f"{_STEPS} SELECT path_id, step_id, 'step-' || lpad(CAST(row_number() OVER (PARTITION BY path_id ORDER BY pos) AS VARCHAR), 3, '0') AS label FROM steps WHERE event_type <> 'error'")
 def w_04_step_counter(spark, d):
-    n = F.row_number().over(Window.partitionBy("path_id").orderBy("pos")).cast("string")
-    return A.event_steps(spark, d).where("event_type <> 'error'").select("path_id", "step_id", F.concat(F.lit("step-"), F.lpad(n, 3, "0")).alias("label"))
+    return C.step_labels(A.event_steps(spark, d).where("event_type <> 'error'"))
 
 
 @query(f"{_STEPS} SELECT path_id, step_id, artifact FROM steps QUALIFY row_number() OVER (PARTITION BY path_id, artifact ORDER BY pos) = 1")
@@ -302,14 +317,10 @@ def w_05_dedup_first(spark, d):
     return C.first_seen(A.event_steps(spark, d), ["path_id", "artifact"], ["pos"]).select("path_id", "step_id", "artifact")
 
 
-#: Colours of clusters in turn (fixed values).
-CLUSTER_COLOURS = ("#e3f2fd", "#e8f5e9", "#fff8e1", "#fce4ec", "#f3e5f5", "#e0f7fa")
-
-
 @query("SELECT o_custkey AS graph, o_orderkey AS path, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 6 AS colour FROM orders")
 def w_06_cluster_colour(spark, d):
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("path"), F.pmod(pos, F.lit(6)).cast("long").alias("colour"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("path"), render.cluster_number(pos).cast("long").alias("colour"))
 
 
 # order
@@ -322,8 +333,8 @@ def srt_01_recent(spark, d):
 
 @query("SELECT user_id, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS place FROM events GROUP BY user_id ORDER BY place LIMIT 100")
 def srt_02_by_last_activity(spark, d):
-    latest = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).orderBy(F.desc_nulls_last("last"), "user_id").limit(100)  # a top-100 report
-    return latest.select("user_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("last"), "user_id")).cast("long").alias("place"))
+    latest = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return C.latest_first(latest, "last", "user_id", 100).select("user_id", "place")  # a top-100 report
 
 
 @query("SELECT user_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 1")
@@ -353,12 +364,18 @@ def set_01_merge(spark, d):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS actor FROM events UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders")
 def set_02_union_distinct(spark, d):
-    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("actor")).union(table(spark, d, "orders").select(F.col("o_custkey").cast("string"))).distinct()
+    return S.distinct_union(table(spark, d, "events").select(F.col("user_id").cast("string").alias("actor")), table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("actor")))
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_03_except(spark, d):
-    return table(spark, d, "customer").select("c_custkey").distinct().join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return S.without(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(f"{_STEPS} SELECT path_id, artifact FROM steps EXCEPT SELECT path_id, artifact FROM steps WHERE event_type = 'view'")
+def set_03_never_viewed(spark, d):
+    steps = A.event_steps(spark, d)
+    return S.without(S.artifacts(steps), steps.where("event_type = 'view'").select("path_id", "artifact"), "path_id", "artifact")
 
 
 @query(f"{_STEPS} SELECT path_id, step_id FROM steps WHERE starts_with(actor, 'ci:') AND artifact IN ('k/3', 'k/4')")
@@ -370,7 +387,7 @@ def set_04_intersect(spark, d):
 
 @query(f"{_ORDERS} SELECT graph_id, path_id, count(*) AS n_steps, arg_max(step_id, pos) AS head FROM osteps GROUP BY ALL")
 def set_05_graph_of_paths(spark, d):
-    return A.order_steps(spark, d).groupBy("graph_id", "path_id").agg(F.count("*").alias("n_steps"), F.max_by("step_id", "pos").alias("head"))
+    return S.heads_of(A.order_steps(spark, d), "graph_id", "path_id")
 
 
 # joins
@@ -388,10 +405,10 @@ def j_05_base_revision(spark, d):
     return S.base_steps(paths, steps.join(paths.select("graph_id", "path_id", "path_pos"), ["graph_id", "path_id"]))
 
 
-@query(f"{_ORDERS} SELECT o.path_id, o.step_id, coalesce(s_name, split_part(o.supplier, ':', 2)) AS actor_name FROM osteps o LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON CAST(s_suppkey AS VARCHAR) = o.supplier".replace("split_part(o.supplier, ':', 2)", "o.supplier"))
+@query(f"{_ORDERS} SELECT o.path_id, o.step_id, coalesce(s_name, o.supplier) AS actor_name FROM osteps o LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = o.supplier")
 def j_07_resolve_actor(spark, d):
     steps = A.order_steps(spark, d).withColumn("actor", F.concat(F.lit("agent:"), F.col("supplier")))
-    defs = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("agent:"), F.col("s_suppkey").cast("string")).alias("actor"), F.col("s_name").alias("name"))
+    defs = table(spark, d, "supplier").select(F.concat(F.lit("agent:"), F.col("s_suppkey").cast("string")).alias("actor"), F.col("s_name").alias("name"))
     return S.resolve_actors(steps, defs).select("path_id", "step_id", "actor_name")
 
 

@@ -41,6 +41,34 @@ def token(variable: str = "GITHUB_TOKEN") -> str | None:
     return os.environ.get(variable) or None
 
 
+
+def git_patches(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, path, patch) of captures of ``git log -p --first-parent -m --format=%x1e%H``.
+
+    A patch starts with its first hunk; binary files and files without a hunk
+    have none.  A file's name is the new one, or the old one where it is gone.
+    """
+    raw = spark.read.option("lineSep", "\x1e").text(path).where(F.col("value").rlike(r"\S"))
+    sha = F.regexp_extract("value", r"^\s*([0-9a-f]+)", 1)
+    return patches(raw.select(sha.alias("sha"), "value"))
+
+
+def patches(raw: DataFrame) -> DataFrame:
+    """git_patches() of commits at hand: sha, value."""
+    parts = raw.select("sha", F.explode(F.slice(F.split("value", "(?m)^diff --git "), 2, 1_000_000)).alias("part"))
+    name = lambda mark, side: F.nullif(F.regexp_extract("part", rf"(?m)^{mark} {side}/(.*?)\t?$", 1), F.lit(""))
+    hunks = F.regexp_extract("part", r"(?ms)^(@@ .*)", 1)
+    return parts.select("sha", F.coalesce(name(r"\+\+\+", "b"), name("---", "a")).alias("path"), hunks.alias("patch")).where("patch <> '' and path is not null")
+
+
+def pull_request_list(raw: DataFrame) -> DataFrame:
+    """number, title, state, author, head_branch, base_branch, created_at, updated_at of captured pull requests (column raw, JSON)."""
+    g = lambda path, other: F.coalesce(F.get_json_object("raw", path), F.lit(other))
+    return raw.select(
+        g("$.number", "0").try_cast("long").alias("number"), g("$.title", "").alias("title"), g("$.state", "").alias("state"), g("$.user.login", "unknown").alias("author"), g("$.head.ref", "unknown").alias("head_branch"), g("$.base.ref", "unknown").alias("base_branch"), g("$.created_at", "").alias("created_at"), g("$.updated_at", "").alias("updated_at"),
+    )
+
+
 def default_branch(names: list[str]) -> str | None:
     """The first of main, master, trunk, develop that there is."""
     return next((n for n in ("main", "master", "trunk", "develop") if n in names), None)

@@ -158,7 +158,7 @@ def paths(documents: DataFrame) -> DataFrame:
 
 
 def steps(documents: DataFrame) -> DataFrame:
-    """Every step of every path: uri, graph_id, path_pos, path_id, pos, step_id, parents, actor, ts, change, intent, revision, refs.
+    """Every step of every path: uri, graph_id, path_pos, path_id, pos, step_id, parents, actor, ts, change, intent, revision, refs, meta (JSON text, whole).
 
     path_id is null for none; for operators that go by path, scoped() makes it
     unique over all documents.
@@ -167,7 +167,7 @@ def steps(documents: DataFrame) -> DataFrame:
     change = F.transform_values(_v("s", "$.change", "map<string,variant>"), lambda _, c: F.struct(_v(c, "$.raw", "string").alias("raw"), F.to_json(_v(c, "$.structural")).alias("structural")))
     return exploded.select(
         "uri", "graph_id", "path_pos", "path_id", "pos", _v("s", "$.step.id", "string").alias("step_id"), F.coalesce(_v("s", "$.step.parents", "array<string>"), F.array().cast("array<string>")).alias("parents"), _v("s", "$.step.actor", "string").alias("actor"), _v("s", "$.step.timestamp", "string").alias("ts"), change.alias("change"),
-        _v("s", "$.meta.intent", "string").alias("intent"), _v("s", "$.meta.source.revision", "string").alias("revision"), F.coalesce(_v("s", "$.meta.refs", REF), F.array().cast(REF)).alias("refs"),
+        _v("s", "$.meta.intent", "string").alias("intent"), _v("s", "$.meta.source.revision", "string").alias("revision"), F.coalesce(_v("s", "$.meta.refs", REF), F.array().cast(REF)).alias("refs"), F.to_json(_v("s", "$.meta")).alias("meta"),
     )
 
 
@@ -247,9 +247,104 @@ def missing_scopes(documents: DataFrame, required: tuple[str, ...]) -> DataFrame
     return p.select("uri", "path_id", lack.alias("missing")).where(F.size("missing") > 0)
 
 
+def _json(c: Column | str) -> Column:
+    """A string as JSON."""
+    return F.to_json((F.col(c) if isinstance(c, str) else c).cast("variant"))
+
+
+def _field(name: str, value: Column) -> Column:
+    """A field of an object; null where the value is."""
+    return F.concat(F.lit(f'"{name}":'), value)
+
+
+def _object(*fields: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def _meta(columns: list[str]) -> Column:
+    """A step's meta as it was read, else of the columns that derived steps have; null if there is nothing in it."""
+    if "meta" in columns:
+        return F.col("meta")
+    source = F.when(F.col("revision").isNotNull(), _object(_field("type", F.lit('"git"')), _field("revision", _json("revision"))))
+    refs = F.when(F.size("refs") > 0, F.to_json("refs")) if "refs" in columns else F.lit(None).cast("string")
+    return F.when(F.coalesce(F.col("intent"), F.col("revision"), refs).isNotNull(), _object(_field("intent", _json("intent")), _field("source", source), _field("refs", refs)))
+
+
+def step_json(rows: DataFrame) -> Column:
+    """One step as JSON: what was read, but for unknown keys outside meta; nulls and empty parents are left out."""
+    identity = _object(_field("id", _json("step_id")), _field("parents", F.when(F.size("parents") > 0, F.to_json("parents"))), _field("actor", _json("actor")), _field("timestamp", _json("ts")))
+    one = lambda e: F.concat(_json(e["key"]), F.lit(":"), _object(_field("raw", _json(e["value"]["raw"])), _field("structural", e["value"]["structural"])))
+    change = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys("change")), lambda k: one(F.struct(k.alias("key"), F.element_at("change", k).alias("value")))), ","), F.lit("}"))
+    return _object(_field("step", identity), _field("change", F.coalesce(change, F.lit("{}"))), _field("meta", _meta(rows.columns)))
+
+
+def _step_arrays(rows: DataFrame) -> DataFrame:
+    """(path_id, steps): the steps of each path as a JSON array in order."""
+    each = rows.select("path_id", "pos", step_json(rows).alias("j"))
+    return each.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "j"))), lambda x: x["j"]).alias("all")).select("path_id", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("steps"))
+
+
 def to_json(rows: DataFrame) -> DataFrame:
-    """(path_id, raw): the steps of each path as a JSON array in order; nulls and empty parts are left out."""
-    keep = lambda c: F.when(F.size(c) > 0, F.col(c))
-    identity = F.struct(F.col("step_id").alias("id"), keep("parents").alias("parents"), "actor", F.col("ts").alias("timestamp"))
-    step = F.struct(identity.alias("step"), F.col("change"))
-    return rows.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(step).alias("j")))), lambda x: x["j"]).alias("all")).select("path_id", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("raw"))
+    """(path_id, raw): the steps of each path as a JSON array in order; artifacts by name, nulls and empty parts left out."""
+    return _step_arrays(rows).select("path_id", F.col("steps").alias("raw"))
+
+
+def path_documents(paths: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path_id, raw): a Path document for each inline path.
+
+    ``paths``: path_id, head, base_uri, base_ref, title, and id, the name that
+    the document gets (path_id without it); paths without steps have none.
+    """
+    name = _json("id" if "id" in paths.columns else "path_id")
+    base = F.when(F.col("base_uri").isNotNull(), _object(_field("uri", _json("base_uri")), _field("ref", _json("base_ref"))))
+    meta = F.to_json(F.try_variant_get("body", "$.meta", "variant")) if "body" in paths.columns else F.when(F.col("title").isNotNull(), _object(_field("title", _json("title"))))
+    whole = paths.join(_step_arrays(rows), "path_id", "left")
+    inner = _object(_field("path", _object(_field("id", name), _field("base", base), _field("head", _json("head")))), _field("steps", F.coalesce("steps", F.lit("[]"))), _field("meta", meta))
+    return whole.select("path_id", F.concat(F.lit('{"Path":'), inner, F.lit("}")).alias("raw"))
+
+
+def pretty(raw: str) -> str:
+    """One collected document, indented."""
+    import json
+
+    return json.dumps(json.loads(raw), indent=2, ensure_ascii=False)
+
+
+# builders: rows with step_id, actor and ts become steps
+
+
+def new_steps(rows: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    change = F.create_map().cast("map<string,struct<raw:string,structural:string>>")
+    return rows.withColumns({"parents": F.array().cast("array<string>"), "change": change, "intent": none, "revision": none, "refs": F.array().cast(REF)})
+
+
+def with_parent(rows: DataFrame, parent: Column) -> DataFrame:
+    return rows.withColumn("parents", F.concat("parents", F.array(parent)))
+
+
+def with_raw_change(rows: DataFrame, artifact: Column, raw: Column) -> DataFrame:
+    """A change of an artifact that has one takes its place."""
+    new = F.create_map(artifact, F.struct(raw.alias("raw"), F.lit(None).cast("string").alias("structural")))
+    return rows.withColumn("change", F.map_concat(F.map_filter("change", lambda k, _: k != artifact), new))
+
+
+def with_intent(rows: DataFrame, intent: Column) -> DataFrame:
+    return rows.withColumn("intent", intent)
+
+
+def with_revision(rows: DataFrame, revision: Column) -> DataFrame:
+    return rows.withColumn("revision", revision)
+
+
+def first_match(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of each id asked for (uri, step_id) the first step of the document that has it."""
+    key = ["uri", "step_id"]
+    rest = [c for c in rows.columns if c not in key]
+    found = rows.join(ids.select(*key).distinct(), key, "left_semi")
+    return found.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("path_pos", "pos")).alias("__first")).select(*key, "__first.*")
+
+
+def head_of_step(rows: DataFrame, all_paths: DataFrame, ids: DataFrame) -> DataFrame:
+    """(uri, step_id, head): the head of the first path that has the step."""
+    return first_match(rows, ids).select("uri", "step_id", "path_pos").join(all_paths.select("uri", "path_pos", "head"), ["uri", "path_pos"]).select("uri", "step_id", "head")

@@ -151,11 +151,14 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     """display, timestamp (ms), project, session_id, pos; lines that can't be read are left out, a missing file is empty."""
     from pyspark.errors import AnalysisException
 
-    empty = spark.createDataFrame([], "display string, timestamp long, project string, session_id string, pos int")
     try:
-        raw = lines(spark, path)
+        return history_lines(lines(spark, path))
     except AnalysisException:
-        return empty
+        return spark.createDataFrame([], "display string, timestamp long, project string, session_id string, pos int")
+
+
+def history_lines(raw: DataFrame) -> DataFrame:
+    """history() of lines at hand: line_no, line."""
     v = raw.where(F.col("line").rlike(r"\S")).select(F.col("line_no").alias("pos"), F.try_parse_json("line").alias("v"))
     ok = _is(_v("v", "$.display"), "STRING") & _is(_v("v", "$.timestamp"), "BIGINT") & _optional(_v("v", "$.project"), "STRING") & _optional(_v("v", "$.sessionId"), "STRING")
     return v.where(ok).select(_v("v", "$.display", "string").alias("display"), _v("v", "$.timestamp", "bigint").alias("timestamp"), _text(F.col("v"), "$.project").alias("project"), _text(F.col("v"), "$.sessionId").alias("session_id"), "pos")
@@ -184,3 +187,59 @@ def summary(part: Column) -> Column:
 def positions(e: DataFrame) -> DataFrame:
     """Entries with pos: their place in the segment."""
     return e.withColumn("pos", F.row_number().over(Window.partitionBy("project", "segment").orderBy("line_no")) - 1)
+
+
+def projects(raw: DataFrame) -> DataFrame:
+    """(project) of all logs, each once."""
+    return raw.select("project").distinct()
+
+
+def segments(raw: DataFrame) -> DataFrame:
+    """(project, segment) of all logs, each once."""
+    return raw.select("project", "segment").distinct()
+
+
+def conversations(raw: DataFrame, first_ids: DataFrame) -> DataFrame:
+    """(project, segment) of the segments that continue no other one of their project."""
+    own = segments(raw)
+    known = own.select("project", F.col("segment").alias("session_id"))
+    later = first_ids.where("session_id <> '' and session_id <> segment").join(known, ["project", "session_id"], "left_semi").select("project", "segment")
+    return own.join(later, ["project", "segment"], "left_anti")
+
+
+def segment(raw: DataFrame, project: str, name: str) -> DataFrame:
+    """The lines of one segment, no chain followed."""
+    return raw.where((F.col("project") == project) & (F.col("segment") == name))
+
+
+def exists(raw: DataFrame, project: str, name: str | None = None) -> bool:
+    """Whether there is such a project, or such a segment of it."""
+    found = raw.where(F.col("project") == project)
+    return not (found if name is None else found.where(F.col("segment") == name)).isEmpty()
+
+
+def listing(metadata: DataFrame) -> DataFrame:
+    """Metadata, the latest first; segments without times last."""
+    return metadata.orderBy(F.desc_nulls_last("last_activity"), "project", "segment")
+
+
+def by_type(e: DataFrame, kind: str) -> DataFrame:
+    return e.where(F.col("type") == kind)
+
+
+def between(e: DataFrame, start: str, end: str) -> DataFrame:
+    """Entries with a readable time from start to end, both included."""
+    return e.where(F.col("at").between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))))
+
+
+def history_of(h: DataFrame, project: str | None = None, session: str | None = None, start: int | None = None, end: int | None = None, search: str | None = None) -> DataFrame:
+    """History lines of a project, a session, times (milliseconds, both ends included) and a text, whatever its case; null never matches."""
+    if project is not None:
+        h = h.where(F.col("project") == project)
+    if session is not None:
+        h = h.where(F.col("session_id") == session)
+    if start is not None:
+        h = h.where(F.col("timestamp") >= start)
+    if end is not None:
+        h = h.where(F.col("timestamp") <= end)
+    return h if search is None else h.where(F.contains(F.lower("display"), F.lower(F.lit(search))))

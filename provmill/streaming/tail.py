@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,8 +20,8 @@ from provmill.sources import logs
 def entries(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Entries of files as they arrive in ``folder``.
 
-    Files are read once, when they appear; a log that grows in place is brought
-    in as parts (as log shippers do).
+    Files are read once, when they appear, by Spark's own reader; logs that
+    grow in place are read by growing.stream().
     """
     reader = spark.readStream.option("wholetext", "true")
     if max_files:
@@ -44,13 +44,20 @@ def first_seen(stream: DataFrame, role: str | None = None, within: str | None =
 
 
 EVENT = "project string, segment string, event string, uuid string, role string, text string, call_id string, result string, is_error boolean"
-_STATE = "calls map<string,string>"
+_STATE = "calls map<string,array<string>>"
 
 
 def _events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Turns, updates of earlier turns by late results, and progress, in order of lines."""
-    calls: dict[str, str] = dict(state.get[0]) if state.exists else {}
-    rows = pd.concat(list(batches)).sort_values(["file", "line_no"])
+    calls: dict[str, list[str]] = {k: list(v) for k, v in (state.get[0] if state.exists else {}).items()}
+    out = _fold(key, pd.concat(list(batches)), calls)
+    state.update((calls,))
+    yield out
+
+
+def _fold(key: tuple, rows: pd.DataFrame, calls: dict[str, list[str]]) -> pd.DataFrame:
+    """``calls``: by id the turns whose call is open, the oldest first; a result goes to the newest."""
+    rows = rows.sort_values(["file", "line_no"])
     out = []
     for r in rows.to_dict("records"):
         results = list(r["tool_results"]) if r["tool_results"] is not None else []
@@ -58,17 +65,18 @@ def _events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             out.append((*key, "progress", r["uuid"], None, r["type"], None, None, None))
         elif r["role"] == "user" and not r["text"] and results:
             for x in results:
-                turn = calls.pop(x["id"], None)
-                if turn is not None:
-                    out.append((*key, "turn_updated", turn, None, None, x["id"], x["content"], bool(x["is_error"])))
+                open_ = calls.get(x["id"])
+                if open_:
+                    out.append((*key, "turn_updated", open_.pop(), None, None, x["id"], x["content"], bool(x["is_error"])))
+                    if not open_:
+                        del calls[x["id"]]
         else:
             answered = {x["id"] for x in results}
             for u in r["tool_uses"] if r["tool_uses"] is not None else []:
                 if u["id"] not in answered:
-                    calls[u["id"]] = r["uuid"]
+                    calls.setdefault(u["id"], []).append(r["uuid"])
             out.append((*key, "turn", r["uuid"], r["role"], r["text"], None, None, None))
-    state.update((calls,))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+    return pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
 
 
 def watch(stream: DataFrame) -> DataFrame:
@@ -77,6 +85,61 @@ def watch(stream: DataFrame) -> DataFrame:
     return rows.groupBy("project", "segment").applyInPandasWithState(_events, EVENT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def events(entries: DataFrame) -> DataFrame:
+    """watch() of entries that are all there."""
+    rows = entries.select("project", "segment", "file", "line_no", "uuid", "type", "has_message", "role", "text", "tool_uses", "tool_results")
+    return rows.groupBy("project", "segment").applyInPandas(lambda key, pdf: _fold(key, pdf, {}), EVENT)
+
+
+def as_turn(rows: DataFrame) -> DataFrame:
+    """Events that carry a turn: new ones and updates."""
+    return rows.where(F.col("event").isin("turn", "turn_updated"))
+
+
+def as_progress(rows: DataFrame) -> DataFrame:
+    """(project, segment, kind) of progress events."""
+    return rows.where("event = 'progress'").select("project", "segment", F.col("text").alias("kind"))
+
+
+def is_update() -> Column:
+    return F.col("event") == "turn_updated"
+
+
+def turn_id() -> Column:
+    """The turn of an event that carries one, else null."""
+    return F.when(F.col("event").isin("turn", "turn_updated"), F.col("uuid"))
+
+
 def rotations(first_ids: DataFrame) -> DataFrame:
     """(project, from_segment, to_segment) of segments that continue another, as progress events."""
-    return first_ids.where("session_id <> segment").select("project", F.col("session_id").alias("from_segment"), F.col("segment").alias("to_segment"))
+    return first_ids.where("session_id <> '' and session_id <> segment").select("project", F.col("session_id").alias("from_segment"), F.col("segment").alias("to_segment"))
+
+
+def rotation_events(stream: DataFrame) -> DataFrame:
+    """rotations() of a stream of entries, each once, when the first entry that carries another segment's id arrives; chains of several hops come hop by hop."""
+    return rotations(stream.select("project", "segment", "session_id").where("session_id <> segment").dropDuplicates(["project", "segment"]))
+
+
+# polls without a stream: what was seen is a table (uuid)
+
+
+def mark_seen(seen: DataFrame | None, entries: DataFrame) -> DataFrame:
+    """What was seen, and the entries besides."""
+    new = entries.select("uuid").distinct()
+    return new if seen is None else seen.unionByName(new).distinct()
+
+
+def seen_count(seen: DataFrame) -> int:
+    return seen.count()
+
+
+def poll(entries: DataFrame, seen: DataFrame | None = None, role: str | None = None) -> DataFrame:
+    """The entries that weren't seen before, the first of each uuid; of one role if that is given.
+
+    ``entries`` are whole conversations, so they are also the full state beside
+    this delta.  Entries of other roles don't come out; mark_seen() counts them.
+    """
+    first = Window.partitionBy("uuid").orderBy("segment", "line_no")
+    new = entries if seen is None else entries.join(seen, "uuid", "left_anti")
+    once = new.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    return once if role is None else once.where(F.col("role") == role)
