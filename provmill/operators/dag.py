@@ -283,6 +283,12 @@ def trunk_ancestors(steps: DataFrame, heads: DataFrame) -> DataFrame:
     return steps.join(at, "path_id").where("pos <= __at").drop("__at")
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder, so that what builds on them neither repeats their work nor carries their plan."""
+    shared_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def shared_dir(spark) -> str:
     """The folder for checkpoints: the cluster's, or a local one where none is set (local mode)."""
     sc = spark.sparkContext

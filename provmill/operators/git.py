@@ -42,19 +42,22 @@ def reach(commits: DataFrame, tips: DataFrame) -> DataFrame:
     steps = commits.select("repo", F.col("sha").alias("step_id"), "parents", "pos").join(asked.select("repo", "path_id"), "repo")
     on = dag.ancestor_ids(steps, asked.select("path_id", F.col("tip").alias("head")))
     named = on.join(asked, "path_id").select("repo", "tip", F.col("step_id").alias("sha"))
-    return named.join(commits.select("repo", "sha", "pos"), ["repo", "sha"])
+    return dag.cut(named.join(commits.select("repo", "sha", "pos"), ["repo", "sha"]))
 
 
-def merge_bases(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(repo, a, b, base): of the commits that both descend from the last, which no other of them descends from; pairs without one are left out."""
-    tips = pairs.select("repo", F.col("a").alias("tip")).unionByName(pairs.select("repo", F.col("b").alias("tip")))
-    on = reach(commits, tips)
+def merge_bases(commits: DataFrame, pairs: DataFrame, on: DataFrame | None = None) -> DataFrame:
+    """(repo, a, b, base): of the commits that both descend from the last, which no other of them descends from; pairs without one are left out.
+
+    ``on``: reach() of tips with these among them, if it is there already.
+    """
+    if on is None:
+        on = reach(commits, pairs.select("repo", F.col("a").alias("tip")).unionByName(pairs.select("repo", F.col("b").alias("tip"))))
     of = lambda side: on.select("repo", F.col("tip").alias(side), "sha", "pos")
     both = pairs.select("repo", "a", "b").distinct().join(of("a"), ["repo", "a"]).join(of("b").drop("pos"), ["repo", "b", "sha"])
     return both.groupBy("repo", "a", "b").agg(F.max_by("sha", "pos").alias("base"))
 
 
-def branch_bases(commits: DataFrame, branches: DataFrame) -> DataFrame:
+def branch_bases(commits: DataFrame, branches: DataFrame, on: DataFrame | None = None) -> DataFrame:
     """(repo, name, base): where each branch left the default branch.
 
     For the default branch itself, a tip that the default branch has, and
@@ -62,13 +65,14 @@ def branch_bases(commits: DataFrame, branches: DataFrame) -> DataFrame:
     """
     default = default_branches(branches).select("repo", F.col("tip").alias("a"))
     pairs = branches.join(default, "repo").where("tip <> a").select("repo", "a", F.col("tip").alias("b"))
-    left = merge_bases(commits, pairs).where("base <> b").select("repo", F.col("b").alias("tip"), "base")
-    oldest = reach(commits, branches).groupBy("repo", "tip").agg(F.min_by("sha", "pos").alias("oldest"))
+    on = reach(commits, branches) if on is None else on
+    left = merge_bases(commits, pairs, on).where("base <> b").select("repo", F.col("b").alias("tip"), "base")
+    oldest = on.groupBy("repo", "tip").agg(F.min_by("sha", "pos").alias("oldest"))
     found = branches.join(left, ["repo", "tip"], "left").join(oldest, ["repo", "tip"], "left")
     return found.select("repo", "name", F.coalesce("base", "oldest", "tip").alias("base"))
 
 
-def default_branch_starts(commits: DataFrame, branches: DataFrame) -> DataFrame:
+def default_branch_starts(commits: DataFrame, branches: DataFrame, on: DataFrame | None = None) -> DataFrame:
     """(repo, start): from where a default branch is shown beside others.
 
     The earliest commit at which another branch left it, and up to two first
@@ -76,7 +80,7 @@ def default_branch_starts(commits: DataFrame, branches: DataFrame) -> DataFrame:
     """
     default = default_branches(branches)
     pairs = branches.join(default.select("repo", F.col("name").alias("default"), F.col("tip").alias("a")), "repo").where("name <> default").select("repo", "a", F.col("tip").alias("b"))
-    at = merge_bases(commits, pairs).join(commits.select("repo", F.col("sha").alias("base"), "pos"), ["repo", "base"])
+    at = merge_bases(commits, pairs, on).join(commits.select("repo", F.col("sha").alias("base"), "pos"), ["repo", "base"])
     earliest = at.groupBy("repo").agg(F.min_by("base", "pos").alias("sha"))
     up = commits.select("repo", "sha", F.get("parents", 0).alias("up"))
     once = earliest.join(up, ["repo", "sha"], "left")
@@ -107,11 +111,14 @@ def branch_paths(commits: DataFrame, files: DataFrame, branches: DataFrame, repo
     are shown, else where the branch left the default branch.
     ``repositories``: repo, remote, git_dir.
     """
+    commits, branches = dag.cut(commits), dag.cut(branches)
+    on = reach(commits, branches)
     given = branches.withColumn("__start", F.col("start") if "start" in branches.columns else F.lit(None).cast("string"))
     several = branches.groupBy("repo").count().where("count > 1").select("repo")
-    shown = default_branches(branches).join(several, "repo", "left_semi").join(default_branch_starts(commits, branches), "repo").select("repo", "name", F.col("start").alias("__shown"))
-    left = branch_bases(commits, branches).select("repo", "name", F.col("base").alias("__left"))
+    shown = default_branches(branches).join(several, "repo", "left_semi").join(default_branch_starts(commits, branches, on), "repo").select("repo", "name", F.col("start").alias("__shown"))
+    left = branch_bases(commits, branches, on).select("repo", "name", F.col("base").alias("__left"))
     based = given.join(shown, ["repo", "name"], "left").join(left, ["repo", "name"], "left").withColumn("base", F.coalesce(F.lit(base).cast("string"), "__start", "__shown", "__left")).select("repo", "name", "tip", "base")
+    based = dag.cut(based)
     own = branch_commits(commits, based).withColumn("path_id", F.concat_ws("#", "repo", branch_id("name")))
     steps = derive.commit_steps(own, files)
     last = steps.groupBy("path_id").agg(F.max_by("step_id", "pos").alias("__last"))

@@ -26,7 +26,7 @@ def order_documents(spark, d) -> DataFrame:
     steps = A.order_steps(spark, d).withColumn("parent", F.lag("step_id").over(Window.partitionBy("path_id").orderBy("pos")))
     one = F.struct(
         F.struct(F.col("step_id").alias("id"), F.array_compact(F.array("parent")).alias("parents"), F.concat(F.lit("agent:"), "supplier").alias("actor"), F.col("ts").alias("timestamp")).alias("step"),
-        F.create_map(F.concat(F.lit("part/"), "revision"), F.struct(F.lit("@@").alias("raw"))).alias("change"),
+        F.create_map(F.concat(F.lit("part/"), "revision"), F.struct(F.lit("@@").alias("raw"), F.struct(F.col("pos").alias("n")).alias("structural"))).alias("change"),
         F.struct(F.struct(F.lit("git").alias("type"), "revision").alias("source")).alias("meta"),
     )
     whole = steps.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(one).alias("j")))), lambda x: x["j"]).alias("s"), F.max_by("step_id", "pos").alias("head"))
@@ -34,23 +34,28 @@ def order_documents(spark, d) -> DataFrame:
     return whole.select(F.col("path_id").alias("uri"), raw.alias("raw"))
 
 
-def log_lines(spark, d) -> DataFrame:
+def log_lines(spark, d, chained: bool = False, tasks: bool = False) -> DataFrame:
     """Events as log lines: a user's events are a segment.
 
     Purchases are tool calls, clicks results of the user's last purchase (text
-    where there is none), errors entries without a message.
+    where there is none), errors entries without a message.  ``chained``: the
+    first two lines of a user from 7 on whose number three doesn't divide carry
+    the session of the user with a number less by seven.  ``tasks``: all calls
+    delegate.
     """
     steps = A.event_steps(spark, d)
     before = Window.partitionBy("path_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     call = F.last(F.when(F.col("event_type") == "purchase", F.col("step_id")), ignorenulls=True).over(before)
     e = steps.withColumn("call", call)
     text = F.concat(F.lit('"'), "artifact", F.lit('"'))
-    use = F.concat(F.lit('[{"type":"tool_use","id":"call-'), "step_id", F.lit('","name":"'), F.when(F.col("artifact").endswith("0"), "Edit").otherwise("Bash"), F.lit('","input":{"file_path":"'), "artifact", F.lit('"}}]'))
-    result = F.concat(F.lit('[{"type":"tool_result","tool_use_id":"call-'), "call", F.lit('","content":"'), "step_id", F.lit('"}]'))
+    use = F.concat(F.lit('[{"type":"tool_use","id":"call-'), "step_id", F.lit('","name":"'), F.lit("Task") if tasks else F.when(F.col("artifact").endswith("0"), "Edit").otherwise("Bash"), F.lit('","input":{"file_path":"'), "artifact", F.lit('","prompt":"do '), "artifact", F.lit('"}}]'))
+    result = F.concat(F.lit('[{"type":"tool_result","tool_use_id":"call-'), "call", F.lit('","content":"'), "step_id", F.lit('","is_error":'), F.endswith("artifact", F.lit("3")).cast("string"), F.lit("}]"))
     content = F.when(F.col("event_type") == "purchase", use).when((F.col("event_type") == "click") & F.col("call").isNotNull(), result).otherwise(text)
     role = F.when(F.col("event_type").isin("purchase", "signup"), "assistant").otherwise("user")
     message = F.when(F.col("event_type") != "error", F.concat(F.lit(',"message":{"role":"'), role, F.lit('","content":'), content, F.lit(',"usage":{"input_tokens":'), F.col("pos").cast("string"), F.lit("}}"))).otherwise("")
-    line = F.concat(F.lit('{"type":"'), F.when(F.col("event_type") == "error", "progress").otherwise(role), F.lit('","uuid":"'), "step_id", F.lit('","timestamp":"'), "ts", F.lit('","sessionId":"'), "path_id", F.lit('"'), message, F.lit("}"))
+    u = F.col("path_id").cast("long")
+    session = F.when((u >= 7) & (u % 3 != 0) & (F.col("pos") <= 2), (u - 7).cast("string")).otherwise(F.col("path_id")) if chained else F.col("path_id")
+    line = F.concat(F.lit('{"type":"'), F.when(F.col("event_type") == "error", "progress").otherwise(role), F.lit('","uuid":"'), "step_id", F.lit('","timestamp":"'), "ts", F.lit('","sessionId":"'), session, F.lit('"'), message, F.lit("}"))
     return e.select(F.lit("events").alias("project"), F.col("path_id").alias("segment"), F.concat(F.lit("/events/"), "path_id", F.lit(".jsonl")).alias("file"), (F.col("pos") - 1).alias("line_no"), line.alias("line"))
 
 
@@ -198,7 +203,12 @@ def fn_24_jcs_sha(spark, d):
     return table(spark, d, "events").select("event_id", signing.payload_digest(raw).alias("digest"))
 
 
-@query()
+@query(
+    f"""{_STEPS}, w AS (SELECT *, lag(artifact) OVER (PARTITION BY path_id ORDER BY pos) AS prev FROM steps),
+    n AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY path_id) AS m FROM w WHERE pos > 1 AND event_type <> 'error' AND artifact <> prev)
+    SELECT path_id AS session, 'step-' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS step_id, CASE WHEN k > 1 THEN 'step-' || lpad(CAST(k - 1 AS VARCHAR), CAST(greatest(3, length(CAST(k - 1 AS VARCHAR))) AS INTEGER), '0') ELSE '' END AS parents, actor,
+      '@@ -1 +1 @@' || chr(10) || '-' || prev || chr(10) || '+' || artifact || chr(10) AS diff, k = m AS head FROM n"""
+)
 def str_08_track_fold(spark, d):
     """Each user's events as buffer states: an error undoes to the state before, any other event adds a line."""
     steps = A.event_steps(spark, d)

@@ -50,6 +50,11 @@ def save(documents: DataFrame, folder: str) -> None:
     documents.select("raw").write.mode("overwrite").text(folder)
 
 
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """(uri, raw) of documents that save() wrote; a document's uri is its id."""
+    return spark.read.text(folder).select(F.coalesce(*(F.get_json_object("value", f"$.{kind}.{kind.lower()}.id") for kind in D.KINDS)).alias("uri"), F.col("value").alias("raw"))
+
+
 def close(documents: DataFrame, session_id: str) -> tuple[DataFrame, DataFrame]:
     """(the session as a plain document, the documents that stay)."""
     gone = _sessions(documents).where(F.col("id") == session_id).select("uri")

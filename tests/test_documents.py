@@ -6,19 +6,19 @@ from provmill.operators import dag, render
 from provmill.sources import documents as D
 
 
-def step(id, parents=(), actor="human:alex", ts="2026-01-29T10:00:00Z", change=None, **meta):
-    s = {"step": {"id": id, "actor": actor, "timestamp": ts}, "change": change if change is not None else {"src/main.rs": {"raw": "@@"}}}
+def step(id, parents=(), actor="human:petra", ts="2026-01-29T10:00:00Z", change=None, **meta):
+    s = {"step": {"id": id, "actor": actor, "timestamp": ts}, "change": change if change is not None else {"lib/gear.py": {"raw": "@@"}}}
     if parents:
         s["step"]["parents"] = list(parents)
     return s | ({"meta": meta} if meta else {})
 
 
 PATH = {
-    "path": {"id": "path-1", "head": "step-3", "base": {"uri": "github:org/repo", "ref": "abcdef0123456", "commit": "x"}},
-    "steps": [step("step-1", source={"type": "git", "revision": "0123456789"}), step("step-2", ["step-1"], "agent:model/1"), step("step-2a", ["step-1"], "tool:fmt", intent="x" * 50), step("step-3", ["step-2"], "ci:run", change={"a/b.rs": {"structural": {"type": "t", "n": 1}}, "c.rs": {"raw": ""}, "d": {}})],
-    "meta": {"title": 'A "path"', "actors": {"human:alex": {"name": "Alex", "keys": [{"type": "gpg", "fingerprint": "F1"}]}}, "signatures": [{"signer": "human:alex", "key": "F1", "scope": "author", "sig": "s"}]},
+    "path": {"id": "path-1", "head": "third", "base": {"uri": "github:acorn/lathe", "ref": "abcdef0123456", "commit": "x"}},
+    "steps": [step("first", source={"type": "git", "revision": "0123456789"}), step("second", ["first"], "agent:model/1"), step("aside", ["first"], "tool:fmt", intent="x" * 50), step("third", ["second"], "ci:run", change={"a/b.rs": {"structural": {"type": "t", "n": 1}}, "c.rs": {"raw": ""}, "d": {}})],
+    "meta": {"title": 'A "path"', "actors": {"human:petra": {"name": "Petra", "keys": [{"type": "gpg", "fingerprint": "F1"}]}}, "signatures": [{"signer": "human:petra", "key": "F1", "scope": "author", "sig": "s"}]},
 }
-GRAPH = {"graph": {"id": "g"}, "paths": [PATH, {"$ref": "https://x/y.json"}, {"path": {"id": "path-2", "head": "step-1", "base": {"uri": "github:org/repo", "ref": "01234567ff"}}, "steps": [step("step-1")]}]}
+GRAPH = {"graph": {"id": "g"}, "paths": [PATH, {"$ref": "https://x/y.json"}, {"path": {"id": "path-2", "head": "first", "base": {"uri": "github:acorn/lathe", "ref": "01234567ff"}}, "steps": [step("first")]}]}
 
 
 def docs(spark, **by_uri):
@@ -37,9 +37,9 @@ def test_steps_and_closure(spark):
     steps, paths = D.scoped(D.steps(d)), D.scoped(D.paths(d))
     inline = paths.where("ref_url is null")
     dead = {(r.path_id, r.step_id) for r in dag.dead_ends(steps, inline.select("path_id", "head")).collect()}
-    assert dead == {("b#0#path-1", "step-2a"), ("c#0#path-1", "step-2a")}
-    row = steps.where("uri = 'b' and step_id = 'step-3'").first()
-    assert row.parents == ["step-2"] and row.change["c.rs"].raw == "" and json.loads(row.change["a/b.rs"].structural) == {"type": "t", "n": 1}
+    assert dead == {("b#0#path-1", "aside"), ("c#0#path-1", "aside")}
+    row = steps.where("uri = 'b' and step_id = 'third'").first()
+    assert row.parents == ["second"] and row.change["c.rs"].raw == "" and json.loads(row.change["a/b.rs"].structural) == {"type": "t", "n": 1}
     assert steps.where("revision = '0123456789'").count() == 2
     assert {r.path_id for r in D.first_path_only(D.paths(d)).collect()} == {"path-1"}
     assert paths.where("ref_url is not null").first().ref_url == "https://x/y.json"
@@ -53,13 +53,56 @@ def test_merge_and_write(spark):
     assert made["paths"][0]["path"] == {"id": "path-s", "head": "s"} and made["paths"][3] == {"$ref": "https://x/y.json"}
     assert D.validate(docs(spark, m=row.raw)).first().message == "Valid: Graph (graph-merged-5)"
     out = json.loads(D.to_json(D.steps(docs(spark, b={"Path": PATH}))).first().raw)
-    assert [s["step"]["id"] for s in out] == ["step-1", "step-2", "step-2a", "step-3"] and "parents" not in out[0]["step"]
+    assert [s["step"]["id"] for s in out] == ["first", "second", "aside", "third"] and "parents" not in out[0]["step"]
+    assert out == [{k: v for k, v in s.items()} for s in PATH["steps"]]
+
+
+def test_documents_are_written_as_they_were_read(spark):
+    d = docs(spark, b={"Path": PATH}, c={"Path": {**PATH, "path": {"id": "bare", "head": "first"}, "meta": None, "steps": [step("first", refs=[{"rel": "fixes", "href": "x"}], intent="why")]}})
+    made = {r.path_id: json.loads(r.raw)["Path"] for r in D.path_documents(D.paths(d), D.steps(d)).collect()}
+    known = {k: v for k, v in PATH["path"].items() if k != "base"} | {"base": {k: v for k, v in PATH["path"]["base"].items() if k != "commit"}}
+    assert made["path-1"] == PATH | {"path": known}
+    assert made["bare"]["steps"] == [step("first", refs=[{"rel": "fixes", "href": "x"}], intent="why")] and made["bare"]["path"] == {"id": "bare", "head": "first"}
+    assert json.loads(D.pretty('{"a":[1]}')) == {"a": [1]}
+
+
+def test_documents_from_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"Path": PATH}, indent=1))
+    read = D.read(spark, str(tmp_path / "*.json"))
+    assert D.validate(read).first().message == "Valid: Path (path-1, 4 steps)" and read.first().uri.endswith("/a.json")
+    assert D.validate(D.from_text(spark, ["[]"])).first().message.startswith("Invalid: ")
+
+
+def test_first_match_and_its_head(spark):
+    d = docs(spark, c={"Graph": GRAPH})
+    ids = spark.createDataFrame([("c", "first"), ("c", "none")], "uri string, step_id string")
+    assert [(r.step_id, r.path_pos) for r in D.first_match(D.steps(d), ids).collect()] == [("first", 0)]
+    assert [tuple(r) for r in D.head_of_step(D.steps(d), D.paths(d), ids).collect()] == [("c", "first", "third")]
+
+
+def test_sessions(spark, tmp_path):
+    from provmill.sources import sessions
+
+    state = '{"file":"f","default_actor":"human:me","created_at":"now","version":1,"buffer_cache":{"0":"a"}}'
+    d = docs(spark, b={"Path": PATH}, c={"Path": {"path": {"id": "bare", "head": "h"}, "steps": []}})
+    saved = sessions.with_state(d, F.lit(state)).unionByName(docs(spark, x="{", y={"Path": PATH}))
+    assert {(r.session_id, r.file, r.actor, r.n_steps, r.created_at) for r in sessions.listing(saved).collect()} == {("path-1", "f", "human:me", 4, "now"), ("bare", "f", "human:me", 0, "now")}
+    out = {r.session_id: json.loads(r.raw) for r in sessions.export(saved).collect()}
+    assert out["path-1"] == {"Path": PATH} and out["bare"] == {"Path": {"path": {"id": "bare", "head": "h"}, "steps": []}}
+    closed, rest = sessions.close(saved, "bare")
+    assert closed.count() == 1 and {r.uri for r in rest.collect()} == {"b", "x", "y"}
+    sessions.save(saved.where("uri <> 'x'"), str(tmp_path / "saved"))
+    assert sorted(r.uri for r in sessions.load(spark, str(tmp_path / "saved")).collect()) == ["bare", "path-1", "path-1"]
+    (tmp_path / "track-1.json").write_text(saved.where("uri = 'b'").first().raw)
+    (tmp_path / "track-2.json").write_text("{bad")
+    (tmp_path / "other.json").write_text("{}")
+    assert [r.session_id for r in sessions.listing(sessions.read(spark, str(tmp_path))).collect()] == ["path-1"]
 
 
 def test_strict_findings_and_signatures(spark):
     d = docs(spark, b={"Path": PATH})
     found = {(r.step_id, r.finding) for r in D.strict_findings(d).collect()}
-    assert found == {(None, "base key commit"), ("step-3", "change without raw or structural")}
+    assert found == {(None, "base key commit"), ("third", "change without raw or structural")}
     assert [(r.scope, r.defined) for r in D.signatures(d).collect()] == [("author", True)]
     assert D.missing_scopes(d, ("author", "reviewer")).first().missing == ["reviewer"]
 
@@ -70,12 +113,12 @@ def test_drawings(spark):
     dot = render.joined(render.path_lines(paths.where("uri = 'b'"), steps.where("uri = 'b'"))).first().dot
     assert dot.startswith("digraph provenance {\n") and dot.endswith("}\n")
     assert '  label="A \\"path\\"";' in dot and "abcdef01</font>" in dot
-    assert '"step-3" [label=<<b>step-3</b><br/><font point-size="10">run</font><br/><font point-size="8" color="#666666">3 files</font>>, fillcolor="#e2d5f1", style="rounded,filled,bold", penwidth=3];' in dot
+    assert '"third" [label=<<b>third</b><br/><font point-size="10">run</font><br/><font point-size="8" color="#666666">3 files</font>>, fillcolor="#e2d5f1", style="rounded,filled,bold", penwidth=3];' in dot
     assert "<b>01234567</b>" in dot and 'style="rounded,filled,dashed"' in dot and "x" * 37 + "…" in dot
-    assert '"step-1" -> "step-2a" [color="#cccccc", style=dashed];' in dot and '"__base__" -> "step-1";' in dot
+    assert '"first" -> "aside" [color="#cccccc", style=dashed];' in dot and '"__base__" -> "first";' in dot
     graph = render.joined(render.graph_lines(paths.where("uri = 'c'"), steps.where("uri = 'c'")), "graph_id").first().dot
-    assert 'label="https://x/y.json", shape=note' in graph and "subgraph cluster_2 {" in graph
-    assert '"c#0#path-1/step-1" -> "c#2#path-2/step-1" [style=dashed, label="branches"];' in graph
+    assert '<font point-size="9">https://x/y.json</font>>, shape=note' in graph and "subgraph cluster_2 {" in graph
+    assert '"c#0#path-1/first" -> "c#2#path-2/first" [color="#333333", penwidth=2];' in graph
     nodes, edges = render.layout(paths.where("uri = 'b'"), steps.where("uri = 'b'"))
-    assert {(r.step_id, r.kind) for r in nodes.collect()} == {("step-1", "step"), ("step-2", "step"), ("step-2a", "dead"), ("step-3", "head")}
+    assert {(r.step_id, r.kind) for r in nodes.collect()} == {("first", "step"), ("second", "step"), ("aside", "dead"), ("third", "head")}
     assert edges.where(F.col("active")).count() == 2
