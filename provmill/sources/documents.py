@@ -142,19 +142,15 @@ def paths(documents: DataFrame) -> DataFrame:
     A step that stands alone becomes the path of its one step.
     """
     d = parse(documents).where("error is null")
-    in_graph = d.where("kind = 'Graph'").select("uri", F.col("id").alias("graph_id"), _v("body", "$.meta.actors", "variant").alias("__graph_actors"), F.posexplode(_v("body", "$.paths", "array<variant>")).alias("path_pos", "body"))
-    alone = d.where("kind = 'Path'").select("uri", F.lit(None).cast("string").alias("graph_id"), F.lit(None).cast("variant").alias("__graph_actors"), F.lit(0).alias("path_pos"), "body")
-    both = in_graph.unionAll(alone)
-    ref = F.when(_is_ref(F.col("body")), _v("body", "$['$ref']", "string"))
-    out = both.select(
+    actors = F.when(_v("body", "$.meta.actors").isNotNull(), _object(_field("actors", F.to_json(_v("body", "$.meta.actors")))))
+    alone = _object(_field("path", _object(_field("id", _json(F.concat(F.lit("path-"), "id"))), _field("head", _json("id")))), _field("steps", F.concat(F.lit("["), F.to_json("body"), F.lit("]"))), _field("meta", actors))
+    bodies = F.when(F.col("kind") == "Graph", _v("body", "$.paths", "array<variant>")).when(F.col("kind") == "Path", F.array("body")).otherwise(F.array(F.parse_json(alone)))
+    in_graph = F.col("kind") == "Graph"
+    each = d.select("uri", F.when(in_graph, F.col("id")).alias("graph_id"), F.when(in_graph, _v("body", "$.meta.actors")).alias("__graph_actors"), F.posexplode(bodies).alias("path_pos", "body"))
+    return each.select(
         "uri", "graph_id", "path_pos", _v("body", "$.path.id", "string").alias("path_id"), _v("body", "$.path.head", "string").alias("head"), _v("body", "$.path.base.uri", "string").alias("base_uri"), _v("body", "$.path.base.ref", "string").alias("base_ref"), _v("body", "$.meta.title", "string").alias("title"),
-        F.to_json(F.coalesce(_v("body", "$.meta.actors"), F.col("__graph_actors"))).alias("actors"), ref.alias("ref_url"), "body",
+        F.to_json(F.coalesce(_v("body", "$.meta.actors"), F.col("__graph_actors"))).alias("actors"), F.when(_is_ref(F.col("body")), _v("body", "$['$ref']", "string")).alias("ref_url"), "body",
     )
-    step = d.where("kind = 'Step'").select(
-        "uri", F.lit(None).cast("string").alias("graph_id"), F.lit(0).alias("path_pos"), F.concat(F.lit("path-"), "id").alias("path_id"), F.col("id").alias("head"), *(F.lit(None).cast("string").alias(c) for c in ("base_uri", "base_ref", "title")),
-        F.to_json(_v("body", "$.meta.actors")).alias("actors"), F.lit(None).cast("string").alias("ref_url"), F.parse_json(F.concat(F.lit('{"steps":['), F.to_json("body"), F.lit("]}"))).alias("body"),
-    )
-    return out.unionAll(step)
 
 
 def steps(documents: DataFrame) -> DataFrame:
