@@ -38,7 +38,7 @@ def is_result_only(text: Column | str = "text") -> Column:
 
 
 def turns(entries: DataFrame) -> DataFrame:
-    """Turns of conversations, tool results put with their calls.
+    """Turns of conversations, tool results put with their calls, and environment: where a turn was said, null where nothing tells.
 
     ``entries`` have path_id and pos.  A call's result is the first of its own
     message with its id; else the first later result-only entry's, which goes
@@ -86,7 +86,7 @@ def turns(entries: DataFrame) -> DataFrame:
     per_turn = done.groupBy("path_id", "pos").agg(F.array_sort(F.collect_list("use")).alias("uses"))
     base = said.where(~is_result_only()).drop("tool_uses", "parts", "tool_results").join(per_turn, ["path_id", "pos"], "left")
     none = F.array().cast(per_turn.schema["uses"].dataType)
-    return base.withColumn("tool_uses", F.coalesce("uses", none)).drop("uses").withColumn("turn_id", F.col("uuid"))
+    return base.withColumn("tool_uses", F.coalesce("uses", none)).drop("uses").withColumns({"turn_id": F.col("uuid"), "environment": F.when(F.coalesce("cwd", "git_branch").isNotNull(), F.struct(F.col("cwd").alias("working_dir"), F.col("git_branch").alias("branch")))})
 
 
 def tool_calls(turns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provmill.functions import text as X
 from provmill.operators import dag
 from provmill.operators import steps as S
+from provmill.sources import documents as D
 
 #: Colours of dead ends and of clusters in turn, and attributes of nodes and edges (fixed values of the format).
 DEAD_COLOUR = "#ffcccc"
@@ -144,3 +145,19 @@ def layout(paths: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def numbered(rows: DataFrame, order: list, key: str = "path_id") -> DataFrame:
     """Rows with ord, their place among those of their key."""
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+
+
+def drawings(documents: DataFrame, timestamps: bool = False, files: bool = True, dead: bool = True) -> DataFrame:
+    """(uri, dot) of documents (uri, raw): a step alone, a path, or a graph with its paths as clusters.
+
+    Documents that can't be read have no drawing.
+    """
+    kinds = D.parse(documents).where("error is null").select("uri", "kind")
+    rows, paths = dag.cut(D.steps(documents).join(kinds, "uri")), dag.cut(D.paths(documents).join(kinds, "uri"))
+    of = lambda df, kind: df.where(F.col("kind") == kind).drop("kind")
+    by_uri = lambda df, key: df.withColumn(key, F.col("uri"))
+    line = lambda df, key: df.select(F.col(key).alias("uri"), F.col("section").cast("long").alias("section"), F.col("ord").cast("long").alias("ord"), "line")
+    steps_alone = line(step_lines(by_uri(of(rows, "Step"), "path_id"), timestamps, files), "path_id")
+    paths_alone = line(path_lines(by_uri(of(paths, "Path"), "path_id"), by_uri(of(rows, "Path"), "path_id"), timestamps, files, dead), "path_id")
+    graphs = line(graph_lines(by_uri(D.scoped(of(paths, "Graph")), "graph_id"), by_uri(D.scoped(of(rows, "Graph")), "graph_id"), timestamps, files, dead), "graph_id")
+    return joined(steps_alone.unionByName(paths_alone).unionByName(graphs), "uri")

@@ -73,6 +73,13 @@ def test_documents_from_files(spark, tmp_path):
     assert D.validate(D.from_text(spark, ["[]"])).first().message.startswith("Invalid: ")
 
 
+def test_drawings_by_kind(spark):
+    d = docs(spark, a={"Step": step("only", ["gone"])}, b={"Path": PATH}, c={"Graph": GRAPH}, x="{")
+    got = {r.uri: r.dot for r in render.drawings(d).collect()}
+    assert set(got) == {"a", "b", "c"} and all(x.startswith("digraph provenance {\n") and x.endswith("}\n") for x in got.values())
+    assert '  "gone" -> "only";' in got["a"] and "cluster_legend" in got["b"] and got["c"].count("subgraph cluster_") == 2
+
+
 def test_first_match_and_its_head(spark):
     d = docs(spark, c={"Graph": GRAPH})
     ids = spark.createDataFrame([("c", "first"), ("c", "none")], "uri string, step_id string")

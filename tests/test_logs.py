@@ -70,6 +70,9 @@ def test_tool_results_find_their_calls(spark):
     got = {r.id: (r.category, r.result and (r.result.content, r.result.is_error)) for r in A.tool_calls(turns).collect()}
     assert got == {"t1": ("file_read", ("text of a", False)), "t2": ("file_write", ("x\ny", True)), "t3": ("shell", None), "t4": ("delegation", ("done", False)), "t5": ("file_write", ("inline", False)), "t6": ("file_write", None)}
     assert [(r.agent_id, r.prompt, r.result) for r in A.delegations(turns).collect()] == [("t4", "go", "done")]
+    assert turns.where("environment is not null").count() == 0
+    where = A.turns(placed(logs.entries(raw(spark, a=[entry("w", cwd="/x"), entry("v", gitBranch="b"), entry("u")]))))
+    assert [(r.environment and (r.environment.working_dir, r.environment.branch)) for r in where.orderBy("pos").collect()] == [("/x", None), (None, "b"), None]
     v = A.views(turns).first()
     assert (v.n_turns, v.input_tokens, v.output_tokens, v.cache_read_tokens, v.cache_write_tokens, v.files_changed) == (4, 10, 6, 7, None, ["b.rs", "c.rs"])
     assert A.errors(e).count() == 1 and A.uses_tool(e, "Bash").count() == 1
