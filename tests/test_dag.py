@@ -103,3 +103,17 @@ def test_base_by_prefix(spark):
     paths = spark.createDataFrame([("g", "p", "abcdef0123"), ("g", "q", "12345678zz"), ("g", "r", "none")], "graph_id string, path_id string, base_ref string")
     steps = spark.createDataFrame([("g", "o", 0, 0, "s1", "abcdef0123"), ("g", "o", 0, 1, "s2", "12345678yy")], "graph_id string, path_id string, path_pos int, pos int, step_id string, revision string")
     assert ids(S.base_steps(paths, steps), "path_id", F.coalesce("base_step", F.lit("-"))) == [("p", "s1"), ("q", "s2"), ("r", "-")]
+
+
+def test_actors_without_a_definition_keep_their_own_name(spark):
+    steps = spark.createDataFrame([("p", "1", "agent:x"), ("p", "2", "human:y"), ("p", "3", None)], "path_id string, step_id string, actor string")
+    names = spark.createDataFrame([("agent:x", "Ex")], "actor string, name string")
+    assert ids(S.resolve_actors(steps, names).na.fill("-"), "step_id", "actor_name") == [("1", "Ex"), ("2", "y"), ("3", "-")]
+
+
+def test_relations_of_paths(spark):
+    steps = spark.createDataFrame([("a", "1", "agent:x", "r"), ("a", "2", "human:y", None), ("b", "3", "human:z", "r"), ("c", "4", "human:z", "q"), ("d", "5", "human:w", "q")], "path_id string, step_id string, actor string, revision string")
+    relations = S.related_paths(steps, S.correlate(steps))
+    assert ids(relations, "path_id", "rel", "other") == [("a", "produces", "b"), ("b", "produced-by", "a"), ("c", "complements", "d"), ("d", "complements", "c")]
+    paths = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "e")], "graph_id string, path_id string")
+    assert ids(S.correlated_graphs(paths, relations), "graph_id", "rel", "href") == [("g", "correlates", "self")]
