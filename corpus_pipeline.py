@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provmill.llm import language, packing, simhash, toxicity
+from provmill.llm import language, packing, similar, toxicity
 from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.queries import tokenizer
@@ -21,8 +21,8 @@ LEAST_CONFIDENCE = 0.5
 #: A document goes if it is toxic with at least this probability.
 MOST_TOXIC = 0.5
 
-#: Words of a shingle of the near-duplicate stage.
-SHINGLE_WORDS = 5
+#: Texts are alike if their sets of shingles of so many words have this Jaccard similarity.
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def _judged(docs: DataFrame, judge: Callable[..., DataFrame], keep_if: str) -> DataFrame:
@@ -49,8 +49,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays; shingles have five words."""
-    return simhash.representatives(docs, words=SHINGLE_WORDS).select(*docs.columns)
+    """Of each class of near-duplicates the document with the least id stays."""
+    return similar.representatives(docs, words=SHINGLE_WORDS, similarity=LEAST_SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,9 +35,14 @@ CELL_STRINGS = 2_000_000
 LEAST_BITS, MOST_BITS = 10, 20
 
 
+def folded(text: str) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return text.encode().translate(_FOLD).split()
+
+
 def shingle_hashes(text: str, words: int = 4, seed: int = 42) -> np.ndarray:
     """XXH64 of every run of ``words`` words; of all of them if there are fewer."""
-    parts = text.encode().translate(_FOLD).split()
+    parts = folded(text)
     if not parts:
         return np.empty(0, np.uint64)
     joined = b" ".join(parts)
@@ -91,15 +96,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def meet(fps: np.ndarray, flips: np.ndarray, cell: int, cell_bits: int, radius: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, least fingerprint of its local component) among the fingerprints whose balls touch a cell.
+def meetings(fps: np.ndarray, flips: np.ndarray, cell_bits: int, radius: int, part: int, parts: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in ``fps``) that chain the fingerprints of ``width`` bits whose balls meet in a string of a cell.
 
     ``flips``: in how many of the first bits each differs from the cell.  Of the
     cell's strings only those of one of ``parts`` hash classes are looked at.
     """
-    order = np.lexsort((flips, fps))
-    fps, flips = fps[order], flips[order]
-    rest = 64 - cell_bits
+    rest = width - cell_bits
     inner = ball(range(rest), radius)
     low = np.uint64((1 << rest) - 1)
     strings, owners = [], []
@@ -121,14 +124,20 @@ def meet(fps: np.ndarray, flips: np.ndarray, cell: int, cell_bits: int, radius:
     s, o = s[order], o[order]
     del order
     same = s[1:] == s[:-1]
-    if not same.any():
-        return fps[:0], fps[:0]
     # a chain through the members of each string links just what a star would
     a, b = o[1:][same].astype(np.int64), o[:-1][same].astype(np.int64)
     pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
     a, b = pairs // len(fps), pairs % len(fps)
     near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius
-    root = _roots(len(fps), a[near], b[near])
+    return a[near], b[near]
+
+
+def meet(fps: np.ndarray, flips: np.ndarray, cell_bits: int, radius: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, least fingerprint of its local component) among the fingerprints whose balls touch a cell."""
+    order = np.lexsort((flips, fps))
+    fps, flips = fps[order], flips[order]
+    a, b = meetings(fps, flips, cell_bits, radius, part, parts)
+    root = _roots(len(fps), a, b)
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return fps[moved], fps[root[moved]]
 
@@ -194,7 +203,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             flip = np.concatenate([r[2] for r in held])
             if len(fp) > 1:
                 cell, part = key >> 32, key & 0xFFFFFFFF
-                u, v = meet(fp, flip, cell, bits, radius, part, int(shared.value[cell]))
+                u, v = meet(fp, flip, bits, radius, part, int(shared.value[cell]))
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from provmill.llm import components, decontaminate, digests, html_text, language, lattice_lm, packing, simhash, token_counts, toxicity, warc
+from provmill.llm import components, decontaminate, digests, html_text, language, lattice_lm, packing, similar, simhash, token_counts, toxicity, warc
 from provmill.llm.queries import tokenizer
 
 LONG = "word " * 40_000
@@ -201,13 +201,60 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([*rows[:4], (7, alike)], key=str)
 
 
+def _changed(words, at):
+    return " ".join(w if i not in at else f"other{i}" for i, w in enumerate(words))
+
+
+def test_texts_of_the_stated_similarity_are_one_class(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        # a changed word changes 5 of 396 shingles: 2 changes leave a similarity of 0.95, 6 of 0.86, 19 of 0.61
+        for k, places in enumerate(([], range(20, 40, 10), range(100, 220, 20), range(10, 390, 20))):
+            rows.append((100 * g + k, _changed(words, set(places)), g))
+        want += [100 * g, 100 * g + 3]
+    chain = [f"c{x}" for x in range(300)]  # each is like the next one only
+    for k in range(6):
+        rows.append((5000 + k, _changed(chain, set(range(10, 10 + 30 * k, 10))), k))
+    want.append(5000)
+    for i in range(200):
+        rows.append((6000 + i, " ".join(f"u{x}" for x in rng.integers(0, 10**6, 60)), i))
+        want.append(6000 + i)
+    rows += [(7000, None, 0), (7001, "", 0), (7002, " \n ", 0), (7003, "One word", 0), (7004, "one\tWORD", 0), (7003, "One word", 0)]
+    want += [7000, 7003]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__digest` int")
+    got = similar.representatives(docs.repartition(5))
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_similar_texts_without_ids_and_empty_tables(spark):
+    alike = "one two three four five six seven"
+    rows = [(None, "the quick brown fox jumps over it"), (None, "an entirely different sentence about nothing"), (7, "a third text that is like no other"), (7, "and a fourth that has the same number"), (9, alike), (None, alike), (8, alike), (7, alike), (7, alike)]
+    docs = spark.createDataFrame(rows, "same long, node string")
+    kept = similar.representatives(docs, id="same", text="node")
+    assert sorted(((r.same, r.node) for r in kept.collect()), key=str) == sorted([*rows[:4], (7, alike)], key=str)
+    assert similar.representatives(docs.where("same > 100"), id="same", text="node").count() == 0
+    unlike = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
+    assert similar.representatives(unlike).count() == 2
+
+
+def test_sketch_bits_are_majorities():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 700, dtype=np.uint64)
+    apart = [similar.sketch(hashes[i : i + 1]) for i in range(len(hashes))]
+    bits = np.unpackbits(np.array(apart).view(np.uint8), axis=1)
+    assert np.array_equal(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).view(np.uint64), similar.sketch(hashes))
+    assert not similar.sketch(hashes[:0]).any()
+
+
 def test_a_split_cell_finds_the_same_links():
     rng = np.random.default_rng(0)
     fps = np.unique(np.uint64(0xABC) << np.uint64(52) | rng.integers(0, 1 << 12, 300, dtype=np.uint64) << np.uint64(5))
     flips = np.zeros(len(fps), np.int64)
 
     def classes(parts):
-        u, v = zip(*(simhash.meet(fps, flips, 0xABC, 12, 2, p, parts) for p in range(parts)), strict=True)
+        u, v = zip(*(simhash.meet(fps, flips, 12, 2, p, parts) for p in range(parts)), strict=True)
         at = {int(x): i for i, x in enumerate(fps)}
         return simhash._roots(len(fps), np.array([at[int(x)] for x in np.concatenate(u)], np.int64), np.array([at[int(x)] for x in np.concatenate(v)], np.int64)).tolist()
 
