@@ -39,7 +39,9 @@ WORDS = BANDS * WIDTH // 64
 #: Candidates have so many differing bits in a band at most: twice the radius of a ball.
 RADIUS = 1
 #: Strings of a cell on average at most, first bits that name a cell at least and at most: memory, not results, depends on them.
-CELL_STRINGS, LEAST_BITS, MOST_BITS = 2_000_000, 4, 20
+CELL_STRINGS, LEAST_BITS, MOST_BITS = 2_000_000, 2, 20
+#: Fingerprints of more than two nodes are broadcast up to so many (of 24 bytes), joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 #: A candidate is compared if its bits differ by so many standard deviations more than expected at the threshold, at most.
 DEVIATIONS = 4
 
@@ -101,7 +103,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     mask = (1 << WIDTH) - 1
     bands = F.array(*(F.struct(F.lit(2 * i + half).alias("band"), F.shiftrightunsigned(f"s{i}", WIDTH * half).bitwiseAND(F.lit(mask)).alias("fp")) for i in range(WORDS) for half in range(2)))
     each = nodes.select("node", F.explode(bands).alias("b")).select("node", "b.band", "b.fp")
-    heads = cut(each.groupBy("band", "fp").agg(F.min("node").alias("head")))
+    heads = cut(each.groupBy("band", "fp").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("n")))
     n, strings = heads.count(), sum(len(x) for x in ball(range(WIDTH), RADIUS).values())
     bits = LEAST_BITS
     while bits < MOST_BITS and n * strings > (BANDS * CELL_STRINGS) << bits:
@@ -136,8 +138,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
     met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "u long, v long")
-    like = each.join(heads, ["band", "fp"]).select(F.col("head").alias("u"), F.col("node").alias("v"))
-    return met.unionAll(like).where("u < v").distinct()
+    two = heads.where("n = 2").select(F.col("head").alias("u"), F.col("last").alias("v"))
+    more = heads.where("n > 2").select("band", "fp", "head")
+    if more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        more = F.broadcast(more)
+    like = each.join(more, ["band", "fp"]).select(F.col("head").alias("u"), F.col("node").alias("v"))
+    return met.unionAll(two).unionAll(like).where("u < v").distinct()
 
 
 def most_bits(similarity: float) -> float:
