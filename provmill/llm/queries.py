@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provmill.llm import digests, html_text, language, lattice_lm, packing, simhash, toxicity, warc
+from provmill.llm import digests, html_text, language, lattice_lm, merkle, packing, simhash, toxicity, warc
 from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.token_counts import token_counts
@@ -92,6 +92,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's proof in a manifest of all, checked against a copy without line ends where the id's remainder is 0."""
+    documents = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(crc_mod("doc_id", 2) == 0, merkle.leaf(*fields, F.replace("text", F.lit("\n"), F.lit(""))))
+    leaves = written(documents.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"), tampered.alias("claimed")), "digests")
+    return merkle.verified(merkle.manifest(leaves))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
@@ -103,10 +112,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_warc": op10_warc,
+    "op13_merkle": op13_merkle,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, c: list_reduce(list_prepend(xor(a, c), CAST(range(8) AS BIGINT[])), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": f"""
     WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -127,4 +142,25 @@ ORACLE_SQL: dict[str, str] = {
       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda b: get_bit(CAST(d AS BIT), CAST(5 * k + b AS INTEGER)) << CAST(4 - b AS INTEGER)))::INTEGER, 1)), '') AS payload_digest,
       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
     FROM p JOIN g USING (h)""",
+    "op13_merkle": f"""
+    WITH RECURSIVE leaves AS (SELECT doc_id, source, {_LEAF.format("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} END AS claimed FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+    tree AS (SELECT source, 0 AS level, i, n, leaf AS h FROM placed
+      UNION ALL SELECT source, level + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY source, level, i // 3),
+    subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM tree WHERE n = 1),
+    top AS (SELECT 0 AS level, g AS i, n, subroot AS h FROM subroots
+      UNION ALL SELECT level + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3),
+    runs AS (SELECT source, level, i // 3 AS up, list(h ORDER BY i) AS hs FROM tree WHERE n > 1 GROUP BY source, level, i // 3),
+    top_runs AS (SELECT level, i // 3 AS up, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY level, i // 3),
+    climb AS (SELECT row_number() OVER () AS rid, source, i AS spot, 0 AS level, coalesce(claimed, leaf) AS h, '' AS siblings FROM placed
+      UNION ALL SELECT rid, c.source, spot // 3, c.level + 1, sha256(array_to_string(list_concat(hs[:spot % 3], [h], hs[spot % 3 + 2:]), '')), siblings || array_to_string(list_concat(hs[:spot % 3], hs[spot % 3 + 2:]), '')
+      FROM climb c JOIN runs r ON r.source IS NOT DISTINCT FROM c.source AND r.level = c.level AND r.up = spot // 3),
+    climbed AS (SELECT rid, source, arg_max(h, level) AS h, arg_max(siblings, level) AS siblings FROM climb GROUP BY rid, source),
+    crown AS (SELECT rid, c.source, g AS spot, 0 AS level, h, siblings FROM climbed c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source
+      UNION ALL SELECT rid, source, spot // 3, c.level + 1, sha256(array_to_string(list_concat(hs[:spot % 3], [h], hs[spot % 3 + 2:]), '')), siblings || array_to_string(list_concat(hs[:spot % 3], hs[spot % 3 + 2:]), '')
+      FROM crown c JOIN top_runs r ON r.level = c.level AND r.up = spot // 3),
+    crowned AS (SELECT rid, arg_max(h, level) AS folded_root, arg_max(siblings, level) AS siblings FROM crown GROUP BY rid),
+    named AS (SELECT row_number() OVER () AS rid, doc_id, source, leaf FROM placed)
+    SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM crowned JOIN named USING (rid) JOIN subroots s ON s.source IS NOT DISTINCT FROM named.source, (SELECT h AS root FROM top WHERE n = 1)""",
 }
