@@ -24,7 +24,7 @@ def rows(spark, name):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 11), 13] and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 11), 12, 13] and set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_dedup", "decontamination", "packing"]
 
 
@@ -112,6 +112,14 @@ def test_token_counts(spark, docs):
     assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in rows(spark, "op8_token_counts")} == {(d, len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for d, r in docs.items()}
 
 
+def test_alignment(spark, docs):
+    from test_alignment import Plain
+
+    ids = sorted(docs)
+    want = zip(ids, Plain().rows([docs[d][1] for d in ids]), strict=True)
+    assert sorted(map(tuple, rows(spark, "op12_alignment"))) == [(d, *r) for d, r in want]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
