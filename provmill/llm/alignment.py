@@ -42,10 +42,13 @@ from provmill.llm.token_counts import SPACE, byte_symbols
 #: Second ids are dealt to so many stripes: a matrix of 32,000 by 50,000 ids takes 50 MB a stripe.
 STRIPES = 256
 #: Links and documents of a chunk, units a worker remembers and the longest of them in characters.
-CHUNK_LINKS, CHUNK_DOCS, MOST_UNITS, LONGEST_UNIT = 1_000_000, 60_000, 300_000, 64
+CHUNK_LINKS, CHUNK_DOCS, MOST_UNITS, LONGEST_UNIT = 1_000_000, 60_000, 400_000, 64
 #: Units looked up at once, and characters of them, so that a long text isn't laid out whole.
 SLICE, LONGEST_SLICE = 200_000, 1_000_000
 
+#: The pre-token rule of byte-level BPE vocabularies of this family (fixed value).
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _BAD = np.iinfo(np.int64).min
 
 
@@ -55,18 +58,20 @@ class Aligner:
     def __init__(self, first: str, second: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(first)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         back = {s: b for b, s in byte_symbols().items()}
-        vocabulary = self.a.get_vocab()
+        vocabulary = Tokenizer.from_file(first).get_vocab()
         self.width = max(vocabulary.values()) + 1
         self.a_bytes: list[bytes] = [b""] * self.width
+        ranks = {}  # ids are in the order of merges; special tokens aren't among them, so that their strings are plain text
         for token, i in vocabulary.items():
-            if all(c in back for c in token):
+            if all(c in back for c in token) and not token.startswith("<|"):
                 self.a_bytes[i] = bytes(back[c] for c in token)
+                ranks[self.a_bytes[i]] = i
+        self.a = tiktoken.Encoding("first", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         plain = [p.replace("▁", " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
@@ -75,34 +80,48 @@ class Aligner:
         joined = "".join(sorted({c for p in plain for c in re.findall(f"[^{SPACE}]([{SPACE}])", p)}))
         self.unit = re.compile(f"[{SPACE}]*[^{SPACE}]+" + (f"(?:[{re.escape(joined)}][{SPACE}]*[^{SPACE}]*)*" if joined else "") + f"|[{SPACE}]+")
         self.space = re.compile(f"[{SPACE}]")
+        self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = [str(i) for i in range(self.width)], [str(i) for i in range(len(pieces))]
         self.known: dict[str, tuple[bytes, str]] = {}
         self.before: dict[str, tuple[bytes, str]] = {}  # what was known when half of the bound was reached last
 
     def learn(self, keys: list[str]) -> None:
-        # a line end before a unit keeps the prefix that the second library adds apart from it
+        """Remember, of each unit, a number that holds the counts of tokens, then the links, as 64-bit integers; and the groups.
+
+        Units side by side have the tokens that they have apart.  A line end
+        before the first keeps the prefix that the second library adds apart.
+        """
+        if not keys:
+            return
         units = [k if self.space.match(k) else " " + k for k in keys]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self.b.encode(["\n" + u for u in units], num_threads=1)
-        for k, u, a, b in zip(keys, units, ids_a, ids_b, strict=True):
-            self.known[k] = self.entry(u, a, b[2:])
-
-    def entry(self, unit: str, a: list[int], b: list[int]) -> tuple[bytes, str]:
-        """(a number that holds the counts of tokens, then the links, as 64-bit integers; groups)."""
-        whole, a_bytes, b_bytes = unit.encode(), self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
-            return array("q", [_BAD]).tobytes(), ""
-        links, groups, i, j, i0, j0, at_a, at_b = [-1 - (len(a) << 31 | len(b))], [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            at_a += len(a_bytes[a[i]])
-            i += 1
-            while at_b < at_a:
-                at_b += len(b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                links.append(b[j - 1] * self.width + a[i - 1])
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-        return array("q", links).tobytes(), ";".join(groups)
+        text = "".join(units)
+        whole = text.encode()
+        a, b = self.a.encode_ordinary(text), self.b.encode("\n" + text, num_threads=1)[2:]
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            if len(keys) == 1:
+                self.known[keys[0]] = array("q", [_BAD]).tobytes(), ""
+            else:
+                self.learn(keys[: len(keys) // 2])
+                self.learn(keys[len(keys) // 2 :])
+            return
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends, last_a, last_b = np.intersect1d(self.a_length[ids_a].cumsum(), self.b_length[ids_b].cumsum(), assume_unique=True, return_indices=True)
+        links = ids_b[last_b] * self.width + ids_a[last_a]
+        lengths = [len(u) for u in units] if text.isascii() else [len(u.encode()) for u in units]
+        cuts = np.searchsorted(ends, np.cumsum(lengths)) + 1  # the last group of each unit, exclusive
+        after_a, after_b = (last_a[cuts - 1] + 1, last_b[cuts - 1] + 1)
+        headers = -1 - (np.diff(after_a, prepend=0) << 31 | np.diff(after_b, prepend=0))
+        numbers = np.insert(links, np.concatenate([[0], cuts[:-1]]), headers).tobytes()
+        text_a, text_b = [self.a_text[i] for i in a], [self.b_text[i] for i in b]
+        i = j = 0
+        groups = []
+        for p, q in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
+            groups.append(f"{text_a[i] if p == i + 1 else ','.join(text_a[i:p])}|{text_b[j] if q == j + 1 else ','.join(text_b[j:q])}")
+            i, j = p, q
+        lo = 0
+        for n, (k, hi) in enumerate(zip(keys, cuts.tolist(), strict=True)):
+            self.known[k] = numbers[8 * (lo + n) : 8 * (hi + n + 1)], ";".join(groups[lo:hi])
+            lo = hi
 
     def keys(self, text: str) -> Iterator[list[str]]:
         """The units of a space and ``text``, in lists of bounded length; where a unit has one space before it, that may be left out."""
@@ -124,7 +143,10 @@ class Aligner:
             for k in self.before.keys() & missing:
                 self.known[k] = self.before[k]
                 missing.discard(k)
-            self.learn(list(missing))
+            alone = [k for k in missing if self.space.match(k[-1])]  # white space at an end could join what follows
+            for k in alone:
+                self.learn([k])
+            self.learn(list(missing.difference(alone)))
         out = list(map(self.known.__getitem__, keys))
         for k in missing:
             if len(k) > LONGEST_UNIT:

@@ -26,12 +26,38 @@ from pyspark.sql import types as T
 
 from provmill.llm.common import remembered, text_column, texts, written
 
-#: Units whose ids a worker remembers, and their longest length in characters: some 120 MB.
-MOST_UNITS, LONGEST_UNIT = 600_000, 64
+#: Units whose ids a worker remembers, and their longest length in characters: some 80 MB.
+MOST_UNITS, LONGEST_UNIT = 400_000, 64
 #: Marks that never share a token with a letter before them (fixed values; the apostrophe isn't one).
 _MARKS = ".,;:!?*$%#&|)]}\""
 
 
+class Words:
+    """Ids of many lower-case words of Latin letters at once, by a library that takes ranks in place of merges.
+
+    A word's end is a byte that no such word has, and token ids are in the order of merges.
+    """
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        import tiktoken
+
+        from provmill.llm.token_counts import byte_symbols
+
+        back, ranks = {s: b for b, s in byte_symbols().items()}, {}
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            core = token.removesuffix("</w>")
+            if all(c in back for c in core):
+                self.ends[i] = core != token
+                ranks.setdefault(bytes(back[c] for c in core) + b"\0" * (core != token), i)
+        self.library = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.library.encode_ordinary("\0".join(words) + "\0"), "<u4")
+        raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+
+
 class Encoder:
     """Token ids of whole texts, as unsigned 32-bit integers (little-endian, as the machines that Spark runs on).
 
@@ -46,6 +72,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         normalizer = self.library.normalizer
         self.normal = normalizer.normalize_str if normalizer else str
+        self.words = Words(self.library.get_vocab())
         self.ids: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}  # what was known when half of the bound was reached last
 
@@ -90,12 +117,15 @@ class Encoder:
                     fresh.add(tail)
             else:
                 fresh.add(u)
-        fresh = list(fresh)
+        plain = [u for u in fresh if u.isalpha() and u.islower() and u != "ª" and u != "º" and (u.isascii() or not _beyond_latin(u))]
+        if plain:
+            known.update(zip(plain, self.words.encode(plain), strict=True))
+        fresh = list(fresh.difference(plain))
         for u, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             known[u] = array("I", e.ids).tobytes()
         for u, core, tail in apart:
             known[u] = known[core] + known[tail]
-        for u in fresh:
+        for u in (*plain, *fresh):
             if len(u) > LONGEST_UNIT and u not in units:
                 del known[u]
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provmill.llm import alignment, digests, html_text, language, lattice_lm, merkle, packing, simhash, toxicity, warc
+from provmill.llm import alignment, digests, histogram_packing, html_text, language, lattice_lm, merkle, packing, simhash, toxicity, warc
 from provmill.llm.common import crc_mod, table, written
 from provmill.llm.decontaminate import contamination
 from provmill.llm.token_counts import token_counts
@@ -92,6 +92,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of 4096, or a power of two, without padding."""
+    return histogram_packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between the tokens of two vocabularies in all documents, and how common each is in the corpus."""
     return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_warc": op10_warc,
+    "op11_window_packing": op11_window_packing,
     "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }

@@ -24,7 +24,7 @@ def rows(spark, name):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 11), 12, 13] and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_dedup", "decontamination", "packing"]
 
 
@@ -112,6 +112,12 @@ def test_token_counts(spark, docs):
     assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in rows(spark, "op8_token_counts")} == {(d, len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for d, r in docs.items()}
 
 
+def test_window_packing(spark, docs):
+    from test_window_packing import sound
+
+    sound(rows(spark, "op11_window_packing"), {d: r[1] for d, r in docs.items()}, 4096)
+
+
 def test_alignment(spark, docs):
     from test_alignment import Plain
 
