@@ -68,7 +68,7 @@ def _error(v: Column) -> Column:
         .when(~_default(_v(v, "$.uuid"), "STRING"), "uuid")
         .when(~_default(_v(v, "$.timestamp"), "STRING"), "timestamp")
         .when(~_default(_v(v, "$.isSidechain"), "BOOLEAN"), "isSidechain")
-        .when(~_optional(_v(v, "$.sessionId"), "STRING") | ~_optional(_v(v, "$.parentUuid"), "STRING") | ~_optional(_v(v, "$.cwd"), "STRING") | ~_optional(_v(v, "$.gitBranch"), "STRING"), "optional field")
+        .when(~_optional(_v(v, "$.sessionId"), "STRING") | ~_optional(_v(v, "$.parentUuid"), "STRING") | ~_optional(_v(v, "$.cwd"), "STRING") | ~_optional(_v(v, "$.gitBranch"), "STRING") | F.exists(F.array(*(_v(v, f"$.{c}") for c in ("version", "userType", "requestId", "messageId"))), lambda x: ~_optional(x, "STRING")), "optional field")
         .when(~_optional(m, "OBJECT"), "message")
         .when(_is(m, "OBJECT") & ~F.coalesce(_text(v, "$.message.role").isin("user", "assistant", "system"), F.lit(False)), "message.role")
         .when(~_optional(content, "STRING", "ARRAY"), "message.content")
@@ -77,6 +77,16 @@ def _error(v: Column) -> Column:
     )
 
 
+#: Fields of an entry that have a column of their own (fixed values).
+FIELDS = ("parentUuid", "isSidechain", "type", "uuid", "timestamp", "sessionId", "cwd", "gitBranch", "version", "message", "userType", "requestId", "toolUseResult", "snapshot", "messageId")
+
+
+def _extra(v: Column) -> Column:
+    """The fields without a column of their own, as an object; null if there are none."""
+    rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: ~k.isin(*FIELDS))
+    return F.when(F.size(rest) > 0, F.to_variant_object(rest))
+
+
 RESULT = "struct<id:string,content:string,is_error:boolean>"
 PART = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>"
 
@@ -99,7 +109,7 @@ def _part(p: Column) -> Column:
 def entries(raw: DataFrame, bad: bool = False) -> DataFrame:
     """The readable entries of lines(), or (``bad``) the lines that can't be read with the reason.
 
-    Entries with an empty uuid are left out.  A message's text is its text parts
+    What an entry has beside the known fields is in ``extra``, a variant.  Entries with an empty uuid are left out.  A message's text is its text parts
     by line; a plain string is one text part.
     """
     v = raw.where(F.col("line").rlike(r"\S")).withColumn("v", F.try_parse_json("line")).withColumn("error", _error(F.col("v")))
@@ -120,6 +130,7 @@ def entries(raw: DataFrame, bad: bool = False) -> DataFrame:
         "project", "segment", "file", "line_no", F.coalesce(_text(F.col("v"), "$.uuid"), F.lit("")).alias("uuid"), _text(F.col("v"), "$.parentUuid").alias("parent_uuid"), F.coalesce(_v("v", "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), _text(F.col("v"), "$.type").alias("type"),
         F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit("")).alias("ts"), _text(F.col("v"), "$.sessionId").alias("session_id"), _text(F.col("v"), "$.cwd").alias("cwd"), _text(F.col("v"), "$.gitBranch").alias("git_branch"), _is(_v("v", "$.message"), "OBJECT").alias("has_message"), _text(F.col("v"), "$.message.role").alias("role"),
         _text(F.col("v"), "$.message.model").alias("model"), F.coalesce(_text(F.col("v"), "$.message.stop_reason"), _text(F.col("v"), "$.message.stopReason")).alias("stop_reason"), parts.alias("parts"), usage.alias("usage"),
+        *(_text(F.col("v"), f"$.{name}").alias(column) for name, column in (("version", "version"), ("userType", "user_type"), ("requestId", "request_id"), ("messageId", "message_id"))), _v("v", "$.toolUseResult").alias("tool_use_result"), _v("v", "$.snapshot").alias("snapshot"), _extra(F.col("v")).alias("extra"),
     )
     of = lambda kind: F.filter("parts", lambda p: p["type"] == kind)
     joined = lambda kind, field: F.array_join(F.transform(of(kind), lambda p: p[field]), "\n")

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provmill.sources import logs
 
@@ -43,52 +42,79 @@ def first_seen(stream: DataFrame, role: str | None = None, within: str | None =
     return new if role is None else new.where(F.col("role") == role)
 
 
-EVENT = "project string, segment string, event string, uuid string, role string, text string, call_id string, result string, is_error boolean"
-_STATE = "calls map<string,array<string>>"
-
-
-def _events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Turns, updates of earlier turns by late results, and progress, in order of lines."""
-    calls: dict[str, list[str]] = {k: list(v) for k, v in (state.get[0] if state.exists else {}).items()}
-    out = _fold(key, pd.concat(list(batches)), calls)
-    state.update((calls,))
-    yield out
-
-
-def _fold(key: tuple, rows: pd.DataFrame, calls: dict[str, list[str]]) -> pd.DataFrame:
-    """``calls``: by id the turns whose call is open, the oldest first; a result goes to the newest."""
-    rows = rows.sort_values(["file", "line_no"])
-    out = []
-    for r in rows.to_dict("records"):
-        results = list(r["tool_results"]) if r["tool_results"] is not None else []
-        if not r["has_message"]:
-            out.append((*key, "progress", r["uuid"], None, r["type"], None, None, None))
-        elif r["role"] == "user" and not r["text"] and results:
-            for x in results:
-                open_ = calls.get(x["id"])
-                if open_:
-                    out.append((*key, "turn_updated", open_.pop(), None, None, x["id"], x["content"], bool(x["is_error"])))
-                    if not open_:
-                        del calls[x["id"]]
-        else:
-            answered = {x["id"] for x in results}
-            for u in r["tool_uses"] if r["tool_uses"] is not None else []:
-                if u["id"] not in answered:
-                    calls.setdefault(u["id"], []).append(r["uuid"])
-            out.append((*key, "turn", r["uuid"], r["role"], r["text"], None, None, None))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
-
-
-def watch(stream: DataFrame) -> DataFrame:
-    """Events of each segment: turn, turn_updated (a result that came after its call, in the same batch or a later one), progress."""
-    rows = stream.select("project", "segment", "file", "line_no", "uuid", "type", "has_message", "role", "text", "tool_uses", "tool_results")
-    return rows.groupBy("project", "segment").applyInPandasWithState(_events, EVENT, _STATE, "append", GroupStateTimeout.NoTimeout)
+EVENT = "project string, segment string, event string, uuid string, role string, text string, call_id string, result string, is_error boolean, data string, line_no long"
+
+
+def progress_data() -> Column:
+    """What a progress event says: uuid, timestamp, and under ``extra`` the fields that the entry has besides."""
+    return F.to_json(F.struct("uuid", F.col("ts").alias("timestamp"), "extra"))
+
+
+def foldable(entries: DataFrame) -> DataFrame:
+    """What fold() reads."""
+    return entries.select("project", "segment", "file", F.col("line_no").cast("long").alias("line_no"), "uuid", "type", "session_id", "has_message", "role", "text", "tool_uses", "tool_results", progress_data().alias("data"))
+
+
+def fold(key: tuple, r: dict, calls) -> Iterator[tuple]:
+    """An entry's events: a turn, updates of earlier turns by its results, or progress.
+
+    ``calls`` has, by id, the turns whose call is open, the oldest first; a
+    result goes to the newest.
+    """
+    results = list(r["tool_results"]) if r["tool_results"] is not None else []
+    event = lambda kind, *rest, data=None: (*key, kind, *rest, data, int(r["line_no"]))
+    if not r["has_message"]:
+        yield event("progress", r["uuid"], None, r["type"], None, None, None, data=r["data"])
+    elif r["role"] == "user" and not r["text"] and results:
+        for x in results:
+            if turn := calls.close(x["id"]):
+                yield event("turn_updated", turn, None, None, x["id"], x["content"], bool(x["is_error"]))
+    else:
+        answered = {x["id"] for x in results}
+        for u in r["tool_uses"] if r["tool_uses"] is not None else []:
+            if u["id"] not in answered:
+                calls.open(u["id"], r["uuid"])
+        yield event("turn", r["uuid"], r["role"], r["text"], None, None, None)
+
+
+class OpenCalls:
+    """Open calls in memory."""
+
+    def __init__(self) -> None:
+        self.turns: dict[str, list[str]] = {}
+
+    def open(self, call: str, turn: str) -> None:
+        self.turns.setdefault(call, []).append(turn)
+
+    def close(self, call: str) -> str | None:
+        turns = self.turns.get(call)
+        if not turns:
+            return None
+        turn = turns.pop()
+        if not turns:
+            del self.turns[call]
+        return turn
+
+
+def frame(events: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(events, columns=[c.split()[0] for c in EVENT.split(", ")])
 
 
 def events(entries: DataFrame) -> DataFrame:
-    """watch() of entries that are all there."""
-    rows = entries.select("project", "segment", "file", "line_no", "uuid", "type", "has_message", "role", "text", "tool_uses", "tool_results")
-    return rows.groupBy("project", "segment").applyInPandas(lambda key, pdf: _fold(key, pdf, {}), EVENT)
+    """Events of entries that are all there, segment by segment in order of lines; of a segment only the open calls are held."""
+    order = ["project", "segment", "file", "line_no"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, calls = None, OpenCalls()
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if (r["project"], r["segment"]) != key:
+                    key, calls = (r["project"], r["segment"]), OpenCalls()
+                out += fold(key, r, calls)
+            yield frame(out)
+
+    return foldable(entries).repartition("project", "segment").sortWithinPartitions(*order).mapInPandas(run, EVENT)
 
 
 def as_turn(rows: DataFrame) -> DataFrame:
@@ -97,8 +123,8 @@ def as_turn(rows: DataFrame) -> DataFrame:
 
 
 def as_progress(rows: DataFrame) -> DataFrame:
-    """(project, segment, kind) of progress events."""
-    return rows.where("event = 'progress'").select("project", "segment", F.col("text").alias("kind"))
+    """(project, segment, kind, data) of progress events; data is JSON."""
+    return rows.where("event = 'progress'").select("project", "segment", F.col("text").alias("kind"), "data")
 
 
 def is_update() -> Column:

@@ -1,7 +1,7 @@
 import json
 
 from provmill.streaming import tail
-from test_logs import TOOLS, entry, result, use
+from test_logs import entry, result, use
 
 
 def run(stream, name, mode="append"):
@@ -11,19 +11,6 @@ def run(stream, name, mode="append"):
     return q
 
 
-def test_watch_pairs_results_across_batches(spark, tmp_path):
-    d = tmp_path / "proj"
-    d.mkdir()
-    (d / "a.part0.jsonl").write_text("\n".join(map(json.dumps, TOOLS[:2])))
-    (d / "a.part1.jsonl").write_text("\n".join(map(json.dumps, TOOLS[2:])))
-    (d / "b.jsonl").write_text(json.dumps({"type": "progress", "uuid": "z"}))
-    run(tail.watch(tail.entries(spark, str(tmp_path / "*"), max_files=1)), "events")
-    got = {(r.segment, r.event, r.uuid, r.call_id, r.result) for r in spark.table("events").collect()}
-    assert ("a", "turn_updated", "u2", "t1", "text of a") in got and ("a", "turn_updated", "u4", "t4", "done") in got
-    assert ("b", "progress", "z", None, None) in got
-    assert {u for s, e, u, *_ in got if e == "turn"} == {"u1", "u2", "u4", "u5"}
-
-
 def test_seen_entries_come_once(spark, tmp_path):
     d = tmp_path / "proj"
     d.mkdir()
