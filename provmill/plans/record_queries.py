@@ -34,14 +34,14 @@ def order_documents(spark, d) -> DataFrame:
     return whole.select(F.col("path_id").alias("uri"), raw.alias("raw"))
 
 
-def log_lines(spark, d, chained: bool = False, tasks: bool = False) -> DataFrame:
+def log_lines(spark, d, chained: bool = False, tasks: bool = False, extras: bool = False) -> DataFrame:
     """Events as log lines: a user's events are a segment.
 
     Purchases are tool calls, clicks results of the user's last purchase (text
     where there is none), errors entries without a message.  ``chained``: the
     first two lines of a user from 7 on whose number three doesn't divide carry
     the session of the user with a number less by seven.  ``tasks``: all calls
-    delegate.
+    delegate.  ``extras``: every line but every fifth of a user has two fields that no column is for.
     """
     steps = A.event_steps(spark, d)
     before = Window.partitionBy("path_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +55,7 @@ def log_lines(spark, d, chained: bool = False, tasks: bool = False) -> DataFrame
     message = F.when(F.col("event_type") != "error", F.concat(F.lit(',"message":{"role":"'), role, F.lit('","content":'), content, F.lit(',"usage":{"input_tokens":'), F.col("pos").cast("string"), F.lit("}}"))).otherwise("")
     u = F.col("path_id").cast("long")
     session = F.when((u >= 7) & (u % 3 != 0) & (F.col("pos") <= 2), (u - 7).cast("string")).otherwise(F.col("path_id")) if chained else F.col("path_id")
-    line = F.concat(F.lit('{"type":"'), F.when(F.col("event_type") == "error", "progress").otherwise(role), F.lit('","uuid":"'), "step_id", F.lit('","timestamp":"'), "ts", F.lit('","sessionId":"'), session, F.lit('"'), message, F.lit("}"))
+    line = F.concat(F.lit('{"type":"'), F.when(F.col("event_type") == "error", "progress").otherwise(role), F.lit('","uuid":"'), "step_id", F.lit('","timestamp":"'), "ts", F.lit('","sessionId":"'), session, F.lit('"'), message, *([F.when(F.col("pos") % 5 != 0, F.concat(F.lit(',"subtype":"'), "artifact", F.lit('","hook":{"n":'), F.col("pos").cast("string"), F.lit("}"))).otherwise("")] if extras else []), F.lit("}"))
     return e.select(F.lit("events").alias("project"), F.col("path_id").alias("segment"), F.concat(F.lit("/events/"), "path_id", F.lit(".jsonl")).alias("file"), (F.col("pos") - 1).alias("line_no"), line.alias("line"))
 
 

@@ -15,7 +15,9 @@ def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, watcher.STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
     yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     spark.conf.set(key, before)
 
 
@@ -73,7 +75,7 @@ def test_a_stream_starts_from_a_table_of_seen_ids(rocks, tmp_path):
     assert [r[2] for r in short(run.go())] == ["5"]
 
 
-@pytest.mark.parametrize("order", [("a", "b", "c"), ("c", "a", "b"), ("b", "c", "a")])
+@pytest.mark.parametrize("order", [("c", "a", "b"), ("b", "c", "a")])
 def test_segments_in_any_order_make_one_chain(rocks, tmp_path, order):
     lines = {"a": [entry("1")], "b": [entry("2", session="a"), entry("3", session="b")], "c": [entry("4", session="b"), entry("5", session="c")]}
     run, events = Run(rocks, tmp_path, watcher.chain_events), []
