@@ -24,6 +24,46 @@ def test_bases(spark):
     assert [(r.name, r.subject, r.ts) for r in git.branch_listing(commits, branches.where("repo = 'r'")).collect()][:2] == [("fix/old", "do h", "1970-01-01T00:07:00Z"), ("main", "do f", "1970-01-01T00:05:00Z")]
 
 
+def test_reach_has_a_row_a_commit(spark):
+    """300 commits under 40 tips; bases and oldest commits as by brute force over sets."""
+    import random
+
+    rng = random.Random(4)
+    up = {0: []} | {i: sorted({rng.randrange(max(0, i - 12), i) for _ in range(rng.choice((1, 1, 1, 2)))}) for i in range(1, 300)}
+    up[150] = []  # a second root
+    name = lambda i: f"{i * 7919 % 1000:03d}x"
+    commits = spark.createDataFrame([("r", i, name(i), [name(p) for p in up[i]], "A", "a@b", i, "m") for i in up], "repo string, pos int, sha string, parents array<string>, author_name string, author_email string, time long, message string").repartition(3)
+    tips = sorted(rng.sample(range(100, 300), 40))
+    below = {}
+    for i in up:
+        below[i] = {i}.union(*(below[p] for p in up[i]))
+    branches = spark.createDataFrame([("r", "main" if k == 0 else f"b{k}", name(t)) for k, t in enumerate(tips)], "repo string, name string, tip string")
+    got, order = git.reach(commits, branches).collect(), sorted(name(t) for t in tips)
+    assert len(got) == len(set().union(*(below[t] for t in tips)))
+    bits = {r.sha: {order[n] for n in range(40) if int.from_bytes(r.tips, "little") >> n & 1} for r in got}
+    assert bits == {name(i): {name(t) for t in tips if i in below[t]} for i in up if any(i in below[t] for t in tips)}
+    pairs = [(a, b) for a in tips[:6] for b in tips]
+    found = {(r.a, r.b): r.base for r in git.merge_bases(commits, spark.createDataFrame([("r", name(a), name(b)) for a, b in pairs], "repo string, a string, b string")).collect()}
+    assert found == {(name(a), name(b)): name(max(below[a] & below[b])) for a, b in pairs if below[a] & below[b]}
+    assert {r.tip: r.oldest for r in git.oldest_commits(commits, branches).collect()} == {name(t): name(min(below[t])) for t in tips}
+    based = branches.join(git.branch_bases(commits, branches), ["repo", "name"])
+    own = {}
+    for r in git.branch_commits(commits, based).collect():
+        own.setdefault(r.name, {})[r.pos] = r.sha
+    number = {name(i): i for i in up}
+    for r in based.collect():
+        want = sorted(below[number[r.tip]] - below[number[r.base]])
+        assert [own.get(r.name, {}).get(k) for k in range(len(want))] == [name(i) for i in want] and len(own.get(r.name, {})) == len(want)
+
+
+def test_a_default_branch_with_a_start_of_its_own(spark):
+    commits, branches = frames(spark, BRANCHES)
+    from pyspark.sql import functions as F
+
+    given = branches.withColumn("start", F.when((F.col("repo") == "r") & (F.col("name") == "main"), "d"))
+    assert {r.repo: r.start for r in git.default_branch_starts(commits, given).collect()} == {"q": "x"}
+
+
 def test_paths_of_branches(spark):
     commits, branches = frames(spark, BRANCHES)
     files = spark.createDataFrame([("h", "f.txt", "@@")], "sha string, path string, patch string")
