@@ -175,6 +175,113 @@ def closure_by_levels(steps: DataFrame, heads: DataFrame) -> DataFrame:
     return out
 
 
+def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(entries, links)`` of each path and block: (step) that are asked for, and {child: [(parent, elsewhere)]}; gives tuples after the path."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    in_order = rows.repartition(F.xxhash64("path_id", "block")).sortWithinPartitions("path_id", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([(n, pa.string()) for n in names])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], schema=arrow)
+
+        def results():
+            at, entries, links = None, set(), {}
+            for batch in batches:
+                for path, block, child, parent, elsewhere in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (path, block) != at:
+                        if at is not None:
+                            yield from ((at[0], *x) for x in work(entries, links))
+                        at, entries, links = (path, block), set(), {}
+                    if elsewhere is None:
+                        entries.add(child)
+                    else:
+                        links.setdefault(child, []).append((parent, elsewhere))
+            if at is not None:
+                yield from ((at[0], *x) for x in work(entries, links))
+
+        held = []
+        for row in results():
+            held.append(row)
+            if len(held) >= 10_000:
+                yield made(held)
+                held = []
+        if held:
+            yield made(held)
+
+    return in_order.select("path_id", "block", "child", "parent", "elsewhere").mapInArrow(run, schema)
+
+
+#: A block's reachability is listed entry by entry up to so many steps of search, beyond that its links stand for themselves.
+MOST_SEARCH = 20_000_000
+
+
+def _across(entries: set, links: dict) -> Iterator[tuple[str, str]]:
+    """(entry, step of another block) as each entry leads there; or links that lead there as well."""
+    if len(entries) * len(links) > MOST_SEARCH:
+        for child, parents in links.items():
+            yield from ((child, p) for p, _ in parents)
+        return
+    for entry in entries:
+        seen, stack, out = {entry}, [entry], set()
+        while stack:
+            for parent, elsewhere in links.get(stack.pop(), ()):
+                if elsewhere:
+                    out.add(parent)
+                elif parent not in seen:
+                    seen.add(parent)
+                    stack.append(parent)
+        yield from ((entry, p) for p in out)
+
+
+def _within(entries: set, links: dict) -> Iterator[tuple[str]]:
+    """All that the entries lead to inside the block."""
+    seen, stack = set(entries), list(entries)
+    while stack:
+        for parent, elsewhere in links.get(stack.pop(), ()):
+            if not elsewhere and parent not in seen:
+                seen.add(parent)
+                stack.append(parent)
+    yield from ((s,) for s in seen)
+
+
+def closure_by_blocks(steps: DataFrame, heads: DataFrame, most_steps: int = STEPS_IN_A_TASK, span: int | None = None) -> DataFrame:
+    """The closure of paths that don't fit a task.
+
+    A path is cut into blocks by pos.  A task finds, for each step of its block
+    that another block's step has as a parent (an entry), and each head, which
+    steps of other blocks it leads to.  Entries and these links are a smaller
+    graph, which is closed the same way, or in a task once it is small enough.
+    Then each block is searched from the entries that turned out to be reached.
+    So each level is two passes, whatever the order of parents, and each level
+    is smaller; a graph that doesn't get smaller is closed link by link
+    (closure_by_levels()).
+    """
+    span = span or most_steps
+    index = cut(step_index(steps).select("path_id", "step_id", "parents", "pos"))
+    place = index.select("path_id", "step_id", F.floor(F.col("pos") / span).alias("block"), "pos")
+    links = index.select("path_id", F.floor(F.col("pos") / span).alias("block"), F.col("step_id").alias("child"), F.explode("parents").alias("parent"))
+    of_parent = place.select("path_id", F.col("step_id").alias("parent"), F.col("block").alias("__to"))
+    links = cut(links.join(of_parent, ["path_id", "parent"], "left").withColumn("elsewhere", F.coalesce(F.col("__to") != F.col("block"), F.lit(False))))
+    asked = heads.where("head is not null").select("path_id", F.col("head").alias("step_id")).distinct()
+    entered = links.where("elsewhere").select("path_id", F.col("parent").alias("step_id")).distinct().unionByName(asked).distinct()
+    none = F.lit(None)
+    entry_rows = lambda rows: rows.join(place, ["path_id", "step_id"]).select("path_id", "block", F.col("step_id").alias("child"), none.cast("string").alias("parent"), none.cast("boolean").alias("elsewhere"))
+    link_rows = links.select("path_id", "block", "child", "parent", "elsewhere")
+    between = cut(_by_block(entry_rows(entered).unionByName(link_rows), _across, "path_id string, child string, parent string"))
+    smaller = between.groupBy("path_id", F.col("child").alias("step_id")).agg(F.collect_set("parent").alias("parents")).join(place.drop("block"), ["path_id", "step_id"])
+    smaller = cut(smaller.unionByName(entered.join(place.drop("block"), ["path_id", "step_id"]).join(between.select("path_id", F.col("child").alias("step_id")), ["path_id", "step_id"], "left_anti").withColumn("parents", F.array().cast("array<string>"))))
+    size = smaller.groupBy("path_id").agg(F.count("*").alias("n"), F.sum(F.size("parents")).alias("links")).agg(F.max("n"), F.sum("n"), F.sum("links")).first()
+    if (size[0] or 0) <= most_steps:
+        reached = closure_in_tasks(smaller, asked.withColumnRenamed("step_id", "head"))
+    elif 2 * (size[1] + size[2]) > index.count() + links.count():
+        return closure_by_levels(steps, heads)
+    else:
+        reached = closure_by_blocks(smaller, asked.withColumnRenamed("step_id", "head"), most_steps, 2 * span)
+    reached = cut(reached)
+    inside = _by_block(entry_rows(reached.select("path_id", "step_id").distinct()).unionByName(link_rows), _within, "path_id string, step_id string")
+    return inside.unionByName(asked).distinct()
+
+
 def closure_by_cte(steps: DataFrame, heads: DataFrame, levels: int = 1000) -> DataFrame:
     """Recursive SQL; it lists walks, so only for tree-like graphs."""
     edges(step_index(steps)).createOrReplaceTempView("__edges")
@@ -203,7 +310,7 @@ def ancestor_ids(steps: DataFrame, heads: DataFrame, most_steps: int = STEPS_IN_
     if large is None:
         return closure_in_tasks(steps, heads)
     of = lambda rows, how: rows.join(large, "path_id", how)
-    return closure_in_tasks(of(steps, "left_anti"), of(heads, "left_anti")).unionByName(closure_by_levels(of(steps, "left_semi"), of(heads, "left_semi")))
+    return closure_in_tasks(of(steps, "left_anti"), of(heads, "left_anti")).unionByName(closure_by_blocks(of(steps, "left_semi"), of(heads, "left_semi"), most_steps))
 
 
 def marked(steps: DataFrame, heads: DataFrame, most_steps: int = STEPS_IN_A_TASK) -> DataFrame:
@@ -213,7 +320,7 @@ def marked(steps: DataFrame, heads: DataFrame, most_steps: int = STEPS_IN_A_TASK
         return marked_in_tasks(steps, heads)
     of = lambda rows, how: rows.join(large, "path_id", how)
     some, tips = of(steps, "left_semi"), of(heads, "left_semi").where("head is not null")
-    on = closure_by_levels(some, tips)
+    on = closure_by_blocks(some, tips, most_steps)
     links = some.select("path_id", "step_id", "pos", F.posexplode("parents").alias("__ord", "__parent"))
     known = links.join(on.select("path_id", F.col("step_id").alias("__parent"), F.lit(True).alias("__on")), ["path_id", "__parent"], "left")
     flags = F.transform(F.array_sort(F.collect_list(F.struct("__ord", F.coalesce("__on", F.lit(False)).alias("on")))), lambda x: x["on"])

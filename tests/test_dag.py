@@ -51,8 +51,8 @@ def test_plans_agree(spark):
         rows += [(f"p{p}", i, f"s{i}", sorted({f"s{rng.randrange(i)}" for _ in range(rng.randint(0, 2))}) if i else []) for i in range(n)]
         heads.append((f"p{p}", f"s{rng.randrange(n)}"))
     steps, heads = frame(spark, rows), spark.createDataFrame(heads, "path_id string, head string")
-    a, b, c = (ids(f(steps, heads)) for f in (dag.closure_in_tasks, dag.closure_by_levels, dag.closure_by_cte))
-    assert a == b == c
+    a, b, c, e = (ids(f(steps, heads)) for f in (dag.closure_in_tasks, dag.closure_by_levels, dag.closure_by_cte, lambda *x: dag.closure_by_blocks(*x, 6)))
+    assert a == b == c == e
     assert ids(dag.ancestor_ids(steps, heads, most_steps=10)) == a
     assert len(ids(dag.ancestors(steps, heads))) + len(ids(dag.dead_ends(steps, heads))) == len(rows)
 
@@ -79,6 +79,27 @@ def test_a_long_path_over_the_cluster(spark):
     assert dag.ancestors(steps, heads).count() == n - 9
 
 
+def test_second_parents_over_the_cluster(spark, monkeypatch):
+    """A path of 100,000 steps that hang together by second parents, their first being gone, and a ring across blocks."""
+    monkeypatch.setattr(dag, "closure_by_levels", None)
+    n, step = 100_000, lambda c: F.concat(F.lit("s"), c)
+    i = F.col("id")
+    parents = F.when(i == 0, F.array(step(F.lit(n - 1)))).when(i % 7 == 0, F.array(F.concat(F.lit("gone"), i), step(i - 1), step(i - 5))).otherwise(F.array(F.concat(F.lit("gone"), i), step(i - 1)))
+    steps = spark.range(n).select(F.lit("p").alias("path_id"), i.cast("int").alias("pos"), step(i).alias("step_id"), F.when(i == 50_000, F.array().cast("array<string>")).otherwise(parents).alias("parents"))
+    steps = steps.unionByName(spark.createDataFrame([("q", 0, "a", ["b"]), ("q", 1, "b", ["a"]), ("q", 2, "c", [])], SCHEMA))
+    heads = spark.createDataFrame([("p", f"s{40_000}"), ("q", "a")], "path_id string, head string")
+    got = dag.ancestor_ids(steps, heads, most_steps=3_000)
+    want, stack = set(), [40_000]
+    while stack:
+        k = stack.pop()
+        if k not in want:
+            want.add(k)
+            stack += [] if k == 50_000 else [n - 1] if k == 0 else [k - 1, k - 5] if k % 7 == 0 else [k - 1]
+    assert ids(got.where("path_id = 'q'"), "step_id") == [("a",), ("b",)]
+    found = {r.step_id for r in got.where("path_id = 'p'").collect()}
+    assert found == {f"s{k}" for k in want} | {f"gone{k}" for k in want if k not in (0, 50_000)}
+
+
 def test_filters_keep_steps_with_equal_ids(spark):
     rows = [("p", 0, "s", "human:a", "2024-01-01T10:00:00Z", "f"), ("p", 1, "s", "agent:b", "2024-01-01T12:00:00Z", "g"), ("p", 2, "t", "human:a", "2024-01-01T14:00:00Z", "g")]
     steps = spark.createDataFrame(rows, "path_id string, pos int, step_id string, actor string, ts string, artifact string")
