@@ -108,31 +108,60 @@ def merge(paths: DataFrame) -> DataFrame:
     return paths.crossJoin(F.broadcast(n)).withColumn("graph_id", F.concat(F.lit("graph-merged-"), F.col("__n").cast("string"))).drop("__n")
 
 
+#: Of a revision with more steps than this the others are listed in parts.
+PART = 1000
+
+
 def correlate(steps: DataFrame) -> DataFrame:
-    """(revision, a_path, a_step, b_path, b_step): steps of different paths with the same revision.
+    """(revision, path_id, step_id) of the steps whose revision occurs in several paths: a row a step, in place of a row a pair.
+
+    Which steps a step goes with follows from the revision; add_refs() writes it
+    out, pairs() lists it.
+    """
+    return same_change(steps).select("revision", "path_id", "step_id")
+
+
+def pairs(hubs: DataFrame) -> DataFrame:
+    """(revision, a_path, a_step, b_path, b_step): each two steps of different paths with one revision, once, from the lesser path id.
 
-    Each unordered pair of paths once, from the lesser path id.  A revision that
-    n paths share has as many rows as pairs; same_change() has one row a step.
+    As many rows as there are such pairs.  ``hubs`` are those of correlate().
     """
-    side = lambda p: steps.where("revision is not null").select("revision", F.col("path_id").alias(f"{p}_path"), F.col("step_id").alias(f"{p}_step"))
+    side = lambda p: hubs.select("revision", F.col("path_id").alias(f"{p}_path"), F.col("step_id").alias(f"{p}_step"))
     return side("a").join(side("b"), "revision").where("a_path < b_path")
 
 
+def _parts(hubs: DataFrame, *members: str) -> DataFrame:
+    """(revision, part, parts, members): the different members of each revision in parts of bounded size."""
+    sizes = hubs.groupBy("revision").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = hubs.join(sizes, "revision").withColumn("part", F.pmod(F.xxhash64(*members), F.col("parts")))
+    return dealt.groupBy("revision", "parts", "part").agg(F.collect_set(F.struct(*members)).alias("members"))
+
+
 def same_change(steps: DataFrame) -> DataFrame:
     """Steps whose revision occurs in more than one path, with the number of paths and the first of them."""
     shared = steps.where("revision is not null").groupBy("revision").agg(F.count_distinct("path_id").alias("n_paths"), F.min("path_id").alias("first_path")).where("n_paths > 1")
     return steps.join(shared, "revision")
 
 
-def add_refs(steps: DataFrame, links: DataFrame) -> DataFrame:
-    """Steps with a same-change reference to each linked step, both ways; those that are there stay, so doing it twice changes nothing."""
-    ways = links.select(F.col("a_path").alias("path_id"), F.col("a_step").alias("step_id"), F.col("b_path").alias("p"), F.col("b_step").alias("s")).unionByName(links.select(F.col("b_path").alias("path_id"), F.col("b_step").alias("step_id"), F.col("a_path").alias("p"), F.col("a_step").alias("s")))
-    href = F.concat(F.lit("path:"), F.col("p"), F.lit("/"), F.col("s"))
-    refs = ways.groupBy("path_id", "step_id").agg(F.array_sort(F.collect_set(F.struct(F.lit("same-change").alias("rel"), href.alias("href")))).alias("__new"))
+def add_refs(steps: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Steps with a same-change reference to each step of another path with their revision; those that are there stay, so doing it twice changes nothing.
+
+    ``hubs`` are those of correlate().  Steps meet the others of their revision
+    in one shuffle by revision; only where there are too many for a row do the
+    references come in parts and are put together by step.
+    """
     kind = "array<struct<rel:string,href:string>>"
-    have = F.col("refs") if "refs" in steps.columns else F.array().cast(kind)
-    out = steps.join(refs, ["path_id", "step_id"], "left")
-    return out.withColumn("refs", F.array_union(F.coalesce(have, F.array().cast(kind)), F.coalesce("__new", F.array().cast(kind)))).drop("__new")
+    none = F.array().cast(kind)
+    href = lambda m: F.struct(F.lit("same-change").alias("rel"), F.concat(F.lit("path:"), m["path_id"], F.lit("/"), m["step_id"]).alias("href"))
+    parts = _parts(hubs, "path_id", "step_id").withColumnRenamed("revision", "__revision")
+    others = F.transform(F.filter("members", lambda m: m["path_id"] != F.col("path_id")), href)
+    have = F.coalesce(F.col("refs"), none) if "refs" in steps.columns else none
+    met = lambda rows, which: rows.join(parts.where(which), F.col("revision") == F.col("__revision"), "left")
+    heavy = met(steps.select("revision", "path_id", "step_id"), "parts > 1").where("part is not null").groupBy(F.col("path_id").alias("__path"), F.col("step_id").alias("__step"), F.col("revision").alias("__heavy")).agg(F.flatten(F.collect_list(others)).alias("__many"))
+    out = met(steps, "parts = 1").withColumn("__new", F.coalesce(others, none)).drop("__revision", "parts", "part", "members")
+    out = out.join(heavy, (F.col("path_id") == F.col("__path")) & (F.col("step_id") == F.col("__step")) & (F.col("revision") == F.col("__heavy")), "left")
+    new = F.array_sort(F.concat("__new", F.coalesce("__many", none)))
+    return out.withColumn("refs", F.array_union(have, new)).drop("__new", "__path", "__step", "__heavy", "__many")
 
 
 def base_steps(paths: DataFrame, steps: DataFrame) -> DataFrame:
@@ -152,26 +181,34 @@ def base_steps(paths: DataFrame, steps: DataFrame) -> DataFrame:
     return found.select("graph_id", "path_id", "base_step").unionByName(bare)
 
 
-def related_paths(steps: DataFrame, links: DataFrame) -> DataFrame:
-    """(path_id, rel, other) of paths that have a change in common; ``links`` are those of correlate().
+def related_paths(steps: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(path_id, rel, other) of paths that have a change in common; ``hubs`` are those of correlate().
 
     A path that an agent worked on produces one whose every step has a revision,
     and that one is produced-by it; where this isn't so, or is so both ways,
     each complements the other.
+
+    Revisions that the same paths share give their pairs once.  Of a revision
+    with many paths each part meets each other part in a row of its own.
     """
     kind = steps.groupBy("path_id").agg(F.max(F.startswith("actor", F.lit("agent:"))).alias("agent"), F.min(F.col("revision").isNotNull()).alias("vcs"))
-    of = lambda p: kind.select(F.col("path_id").alias(f"{p}_path"), F.col("agent").alias(f"{p}_agent"), F.col("vcs").alias(f"{p}_vcs"))
-    pairs = links.select("a_path", "b_path").distinct().join(of("a"), "a_path").join(of("b"), "b_path")
-    forth, back = F.expr("a_agent and b_vcs"), F.expr("b_agent and a_vcs")
+    incidence = hubs.select("revision", "path_id").distinct().join(kind, "path_id")
+    parts = _parts(incidence, "path_id", "agent", "vcs").withColumn("members", F.array_sort("members"))
+    alone = parts.where("parts = 1").select("members").distinct().select("members", F.col("members").alias("others"))
+    halves = lambda name: parts.where("parts > 1").select("revision", F.col("part").alias(f"__{name}"), F.col("members").alias(name))
+    met = halves("members").join(halves("others"), "revision").where("__members <= __others").select("members", "others")
+    each = alone.unionAll(met).select(F.explode("members").alias("x"), "others").select("x", F.explode("others").alias("y")).where("x.path_id <> y.path_id")
+    found = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    forth, back = F.expr("a.agent and b.vcs"), F.expr("b.agent and a.vcs")
     rel = F.when(forth & ~back, "produces").when(back & ~forth, "produced-by").otherwise("complements")
     other = F.when(forth & ~back, "produced-by").when(back & ~forth, "produces").otherwise("complements")
-    ways = pairs.select(F.explode(F.array(F.struct(F.col("a_path").alias("path_id"), rel.alias("rel"), F.col("b_path").alias("other")), F.struct(F.col("b_path").alias("path_id"), other.alias("rel"), F.col("a_path").alias("other")))).alias("w"))
+    ways = found.select(F.explode(F.array(F.struct(F.col("a.path_id").alias("path_id"), rel.alias("rel"), F.col("b.path_id").alias("other")), F.struct(F.col("b.path_id").alias("path_id"), other.alias("rel"), F.col("a.path_id").alias("other")))).alias("w"))
     return ways.select("w.*")
 
 
-def correlated_graphs(paths: DataFrame, relations: DataFrame) -> DataFrame:
-    """(graph_id, rel, href): the mark of each graph that has related paths, once."""
-    return paths.join(relations.select("path_id").distinct(), "path_id", "left_semi").select("graph_id").distinct().withColumns({"rel": F.lit("correlates"), "href": F.lit("self")})
+def correlated_graphs(paths: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(graph_id, rel, href): the mark of each graph that has related paths, once; ``hubs`` are those of correlate()."""
+    return paths.join(hubs.select("path_id").distinct(), "path_id", "left_semi").select("graph_id").distinct().withColumns({"rel": F.lit("correlates"), "href": F.lit("self")})
 
 
 def by_priority(rows: DataFrame, key: str, name: str, order: tuple[str, ...], other: bool = False) -> DataFrame:

@@ -457,7 +457,7 @@ def drv_04_path_relations(spark, d):
 @query(f"{_ORDERS} SELECT DISTINCT a.graph_id, 'correlates' AS rel, 'self' AS href FROM osteps a JOIN osteps b ON a.revision = b.revision AND a.graph_id = b.graph_id AND a.path_id <> b.path_id")
 def drv_04_correlated_graphs(spark, d):
     s = A.order_steps(spark, d).withColumn("actor", F.concat(F.lit("agent:"), "supplier")).withColumn("revision", F.concat_ws("@", "revision", "graph_id"))
-    return S.correlated_graphs(s.select("graph_id", "path_id").distinct(), S.related_paths(s, S.correlate(s)))
+    return S.correlated_graphs(s.select("graph_id", "path_id").distinct(), S.correlate(s))
 
 
 @query(f"{_ORDERS} SELECT path_id, step_id, lead(step_id) OVER (PARTITION BY path_id ORDER BY pos) AS child, coalesce(s_name, supplier) AS actor_name FROM osteps LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = supplier")

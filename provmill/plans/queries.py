@@ -428,13 +428,24 @@ def j_13_same_change(spark, d):
     SELECT path_id, step_id, string_agg('same-change=path:' || h, ',' ORDER BY h) AS refs FROM w GROUP BY ALL"""
 )
 def drv_04_correlate_refs(spark, d):
-    steps = A.order_steps(spark, d)
     # within one customer's graph
-    links = S.correlate(steps.withColumn("revision", F.concat_ws("@", "revision", "graph_id"))).select("a_path", "a_step", "b_path", "b_step")
-    out = S.add_refs(S.add_refs(steps.select("path_id", "step_id"), links), links)  # twice: nothing changes
+    steps = A.order_steps(spark, d).select("path_id", "step_id", F.concat_ws("@", "revision", "graph_id").alias("revision"))
+    hubs = S.correlate(steps)
+    out = S.add_refs(S.add_refs(steps, hubs), hubs)  # twice: nothing changes
     return out.where(F.size("refs") > 0).select("path_id", "step_id", F.array_join(F.transform(F.array_sort("refs"), lambda r: F.concat(r["rel"], F.lit("="), r["href"])), ",").alias("refs"))
 
 
+@query(f"{_ORDERS}, c AS (SELECT revision, graph_id, path_id, step_id, count(*) OVER (PARTITION BY revision, graph_id) AS n, count(*) OVER (PARTITION BY revision, graph_id, path_id) AS own FROM osteps) SELECT revision || '@' || graph_id AS revision, path_id, step_id FROM c WHERE n > own")
+def drv_04_hubs(spark, d):
+    """The steps that others go with, a row each."""
+    return S.correlate(A.order_steps(spark, d).withColumn("revision", F.concat_ws("@", "revision", "graph_id")))
+
+
+@query(f"{_ORDERS} SELECT a.path_id AS a_path, a.step_id AS a_step, b.path_id AS b_path, b.step_id AS b_step FROM osteps a JOIN osteps b ON a.revision = b.revision AND a.path_id < b.path_id AND a.graph_id = b.graph_id")
+def drv_04_pairs(spark, d):
+    return S.pairs(S.correlate(A.order_steps(spark, d).withColumn("revision", F.concat_ws("@", "revision", "graph_id")))).drop("revision")
+
+
 @query(f"{_STEPS} SELECT path_id, step_id, actor, pos FROM steps")
 def prj_04_step_index(spark, d):
     return dag.step_index(A.event_steps(spark, d)).select("path_id", "step_id", "actor", F.col("pos").cast("long").alias("pos"))

@@ -120,6 +120,26 @@ def test_correlation_twice_is_once(spark):
     assert dict((k[1], k[2]) for k in key(once)) == {"1": [("same-change", "path:q/2")], "2": [("same-change", "path:p/1")], "3": [], "4": []}
 
 
+def test_a_revision_of_many_steps_comes_in_parts(spark, monkeypatch):
+    """References and relations are the same however many steps a row may list."""
+    rows = [(f"p{i % 9}", f"{i}", ("agent:x", "human:y")[i % 9 % 2], None if i % 9 == 4 and i > 30 else ("hot", "cold", f"own{i}")[min(i % 5, 2)]) for i in range(60)]
+    steps = spark.createDataFrame([*rows, ("p0", "n", "human:y", None)], "path_id string, step_id string, actor string, revision string")
+
+    def made():
+        hubs = S.correlate(steps)
+        refs = S.add_refs(steps, hubs).collect()
+        return sorted((r.path_id, r.step_id, [x.href for x in r.refs]) for r in refs), ids(S.related_paths(steps, hubs), "path_id", "rel", "other"), hubs.count()
+
+    whole = made()
+    monkeypatch.setattr(S, "PART", 3)
+    assert made() == whole
+    of = {(p, s): r for p, s, _, r in rows}
+    want = {k: sorted(f"path:{p}/{s}" for (p, s), r in of.items() if r and r == of[k] and p != k[0]) for k in of}
+    assert {(p, s): h for p, s, h in whole[0] if s != "n"} == want and len(whole[0]) == 61
+    assert {(a, b) for a, _, b in whole[1]} == {(k[0], h.split("/")[0][5:]) for k, v in want.items() for h in v}
+    assert whole[2] == sum(bool(v) for v in want.values()) and S.pairs(S.correlate(steps)).count() == sum(map(len, want.values())) // 2
+
+
 def test_base_by_prefix(spark):
     paths = spark.createDataFrame([("g", "p", "abcdef0123"), ("g", "q", "12345678zz"), ("g", "r", "none")], "graph_id string, path_id string, base_ref string")
     steps = spark.createDataFrame([("g", "o", 0, 0, "s1", "abcdef0123"), ("g", "o", 0, 1, "s2", "12345678yy")], "graph_id string, path_id string, path_pos int, pos int, step_id string, revision string")
@@ -137,4 +157,4 @@ def test_relations_of_paths(spark):
     relations = S.related_paths(steps, S.correlate(steps))
     assert ids(relations, "path_id", "rel", "other") == [("a", "produces", "b"), ("b", "produced-by", "a"), ("c", "complements", "d"), ("d", "complements", "c")]
     paths = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "e")], "graph_id string, path_id string")
-    assert ids(S.correlated_graphs(paths, relations), "graph_id", "rel", "href") == [("g", "correlates", "self")]
+    assert ids(S.correlated_graphs(paths, S.correlate(steps)), "graph_id", "rel", "href") == [("g", "correlates", "self")]
