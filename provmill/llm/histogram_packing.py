@@ -244,7 +244,9 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
         final.add(c, "long")
     only = F.col("places")[0]
     whole = placed.where(F.size("places") == 1).select(id, "start", "length", "ids_crc32", "doc_tokens", only[2].alias("sequence_id"), only[3].alias("offset"))
-    several = placed.where(F.size("places") > 1).join(pieces.where("ids is not null").select("length", "part", "rank", "ids"), ["length", "part", "rank"])
+    # a table of its own, whose size is known: as long as it is small, Spark leaves the ids where they are
+    parted = written(placed.where(F.size("places") > 1).select(id, "start", "doc_tokens", "places", "length", "part", "rank"), "cut")
+    several = parted.join(pieces.where("ids is not null").select("length", "part", "rank", "ids"), ["length", "part", "rank"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
