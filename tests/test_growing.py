@@ -21,10 +21,10 @@ def test_a_log_that_grows_between_runs(spark, tmp_path):
     log, glob = d / "a.jsonl", str(tmp_path / "proj" / "*.jsonl")
     whole = [json.dumps(entry(str(i), content="é" * i)) for i in range(6)]
     log.write_text(whole[0] + "\n\n" + whole[1] + "\r\n" + whole[2][:20])  # a partial last line
-    stream = lambda: logs.entries(growing.stream(spark, glob)).select("segment", "uuid", "line_no")
+    stream = lambda: logs.entries(growing.stream(spark, glob, str(tmp_path / "state"))).select("segment", "uuid", "line_no")
     ids = lambda df: sorted(r.uuid for r in df.collect())
     assert ids(drain(spark, stream(), tmp_path, "x")) == ["0", "1"]
-    late = logs.entries(growing.stream(spark, glob, skip_existing=True)).select("uuid")
+    late = logs.entries(growing.stream(spark, glob, str(tmp_path / "late"), skip_existing=True)).select("uuid")
     assert ids(drain(spark, late, tmp_path, "late")) == []
     with log.open("a") as f:
         f.write(whole[2][20:] + "\n" + whole[3] + "\n")
@@ -36,7 +36,9 @@ def test_a_log_that_grows_between_runs(spark, tmp_path):
     with log.open("a") as f:
         f.write(whole[0] + "\n")
     assert ids(drain(spark, stream(), tmp_path, "x")) == ["0", "0", "1", "2", "3", "4"]
-    assert ids(drain(spark, stream(), tmp_path, "anew")) == ["0", "4", "5"]  # a new checkpoint starts over
+    log.write_text(whole[1] + "\n" + whole[2] + "\n" + whole[3] + "\n")  # another file, longer than what was read
+    assert ids(drain(spark, stream(), tmp_path, "x")) == ["0", "0", "1", "1", "2", "2", "3", "3", "4"]
+    assert ids(drain(spark, stream(), tmp_path, "anew")) == ["1", "2", "3", "4"]  # a new checkpoint starts over
 
 
 def test_ranges_have_each_line_once(spark, tmp_path):
@@ -77,7 +79,52 @@ def test_rotations_as_they_arrive(spark, tmp_path):
     d.mkdir()
     (d / "a.jsonl").write_text(json.dumps(entry("1")) + "\n")
     (d / "b.jsonl").write_text("".join(json.dumps(entry(u, session=s)) + "\n" for u, s in (("2", "a"), ("3", "a"), ("4", "b"))))
-    found = tail.rotation_events(logs.entries(growing.stream(spark, str(d / "*.jsonl"))))
+    found = tail.rotation_events(logs.entries(growing.stream(spark, str(d / "*.jsonl"), str(tmp_path / "state"))))
     assert [tuple(r) for r in drain(spark, found, tmp_path, "r").collect()] == [("proj", "a", "b")]
     (d / "c.jsonl").write_text(json.dumps(entry("5", session="b")) + "\n")
     assert sorted(tuple(r) for r in drain(spark, found, tmp_path, "r").collect()) == [("proj", "a", "b"), ("proj", "b", "c")]
+
+
+def test_many_files_are_looked_at_and_few_opened(tmp_path, monkeypatch):
+    """100,000 files; what a batch takes is bounded, and every byte is taken once."""
+    for i in range(100):
+        (tmp_path / f"{i:02d}").mkdir()
+        for j in range(1000):
+            (tmp_path / f"{i:02d}" / f"{j:03d}.jsonl").write_text("a\n")
+    reader = growing._Stream(str(tmp_path / "*" / "*.jsonl"), 1 << 20, False, str(tmp_path / "state"), None)
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    assert len(reader.partitions(start, first)) == 100_000 and len(str(first)) < 100
+    for name in ("07/123", "42/000", "99/999"):
+        with (tmp_path / f"{name}.jsonl").open("a") as f:
+            f.write("more\n")
+    opened, plain = set(), open
+    monkeypatch.setattr("builtins.open", lambda file, *a: (opened.add(str(file)), plain(file, *a))[1])
+    second = reader.latestOffset()
+    assert sorted((r.file[-12:], r.start, r.stop) for r in reader.partitions(first, second)) == [("07/123.jsonl", 2, 7), ("42/000.jsonl", 2, 7), ("99/999.jsonl", 2, 7)]
+    assert len([f for f in opened if f.endswith(".jsonl")]) == 3 and reader.latestOffset() == second
+
+
+def test_batches_are_bounded_and_survive_a_restart(tmp_path):
+    for name, lines in (("a", 100), ("b", 3), ("c", 50)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{i:03d}\n" for i in range(lines)))
+    make = lambda: growing._Stream(str(tmp_path / "*.jsonl"), 1 << 20, False, str(tmp_path / "state"), 64)
+    reader = make()
+    at, got = reader.initialOffset(), []
+    for k in range(200):
+        if k % 7 == 3:
+            reader = make()  # a restart finds what was written last
+        now = reader.latestOffset()
+        if now == at:
+            break
+        parts = reader.partitions(at, now)
+        assert 0 < sum(p.stop - p.start for p in parts) <= 64
+        got += [r[4] for p in parts for r in growing.read_range(p)]
+        again = make().partitions(at, now)  # a repeated batch reads the same
+        assert [(p.file, p.start, p.stop) for p in again] == [(p.file, p.start, p.stop) for p in parts]
+        reader.commit(at)
+        at = now
+    assert sorted(got) == sorted(f"{n}{i:03d}" for n, m in (("a", 100), ("b", 3), ("c", 50)) for i in range(m))
+    (tmp_path / "d.jsonl").write_text("x" * 500 + "\n")  # a line longer than a batch comes alone
+    assert [(p.stop - p.start) for p in reader.partitions(at, reader.latestOffset())] == [501]
+    assert len(list((tmp_path / "state").iterdir())) < growing.SNAPSHOT + 40

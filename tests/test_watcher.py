@@ -34,7 +34,7 @@ class Run:
 
     def go(self):
         """What came new, in order."""
-        stream = self.make(logs.entries(growing.stream(self.spark, str(self.folder / "logs" / "*" / "*.jsonl"))))
+        stream = self.make(logs.entries(growing.stream(self.spark, str(self.folder / "logs" / "*" / "*.jsonl"), str(self.folder / "tail"))))
         kept, new = watcher.Kept(str(self.folder / "kept")), []
 
         def each(batch, batch_id):
@@ -126,7 +126,7 @@ def test_delta_and_whole(rocks, tmp_path):
         told.append((batch_id, sorted(r.uuid for r in delta.collect()), sorted((r.segment, r.uuid) for r in whole.collect())))
 
     def go():
-        stream = tail.first_seen(logs.entries(growing.stream(rocks, str(log / "*.jsonl")))).select("project", "segment", "uuid", "text", "extra")
+        stream = tail.first_seen(logs.entries(growing.stream(rocks, str(log / "*.jsonl"), str(tmp_path / "tail")))).select("project", "segment", "uuid", "text", "extra")
         q = watcher.with_whole(stream, str(tmp_path / "kept"), handle).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
         assert q.exception() is None
