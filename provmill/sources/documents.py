@@ -299,6 +299,36 @@ def path_documents(paths: DataFrame, rows: DataFrame) -> DataFrame:
     return whole.select("path_id", F.concat(F.lit('{"Path":'), inner, F.lit("}")).alias("raw"))
 
 
+def document_lines(paths: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path_id, section, ord, line): path_documents() in lines, one a step, for sources.line_files."""
+    name = _json("id" if "id" in paths.columns else "path_id")
+    base = F.when(F.col("base_uri").isNotNull(), _object(_field("uri", _json("base_uri")), _field("ref", _json("base_ref"))))
+    meta = F.to_json(F.try_variant_get("body", "$.meta", "variant")) if "body" in paths.columns else F.when(F.col("title").isNotNull(), _object(_field("title", _json("title"))))
+    head = F.concat(F.lit('{"Path":{"path":'), _object(_field("id", name), _field("base", base), _field("head", _json("head"))), F.lit(',"steps":['))
+    row = lambda section, ord, line: (F.lit(section).alias("section"), ord.cast("long").alias("ord"), line.alias("line"))
+    ends = paths.select("path_id", F.inline(F.array(F.struct(*row(0, F.lit(0), head)), F.struct(*row(2, F.lit(0), F.concat(F.lit("]"), F.coalesce(F.concat(F.lit(","), _field("meta", meta)), F.lit("")), F.lit("}}")))))))
+    first = rows.groupBy("path_id").agg(F.min("pos").alias("__first"))
+    of_paths = rows.join(first, "path_id").join(paths.select("path_id"), "path_id", "left_semi")
+    return ends.unionByName(of_paths.select("path_id", *row(1, F.col("pos"), F.concat(F.when(F.col("pos") > F.col("__first"), ",").otherwise(""), step_json(rows)))))
+
+
+def merged_lines(documents: DataFrame, title: str | None = None) -> DataFrame:
+    """(graph_id, section, uri, pos, line): merge() in lines, one a path, for sources.line_files; sort by section, uri, pos."""
+    d = parse(documents).where("error is null")
+    body = F.to_json("body")
+    wrapped = F.concat(F.lit('{"path":{"id":'), F.to_json(F.concat(F.lit("path-"), "id").cast("variant")), F.lit(',"head":'), F.to_json(F.col("id").cast("variant")), F.lit('},"steps":['), body, F.lit("]}"))
+    single = d.where("kind <> 'Graph'").select("uri", F.lit(0).alias("pos"), F.when(F.col("kind") == "Step", wrapped).otherwise(body).alias("line"))
+    inner = d.where("kind = 'Graph'").select("uri", F.posexplode(_v("body", "$.paths", "array<variant>")).alias("pos", "x")).select("uri", "pos", F.to_json("x").alias("line"))
+    parts = single.unionAll(inner)
+    n, first = parts.agg(F.count("*"), F.min(F.struct("uri", "pos"))).first()
+    graph_id = f"graph-merged-{n}"
+    lead = F.lit("") if first is None else F.when((F.col("uri") == first["uri"]) & (F.col("pos") == first["pos"]), "").otherwise(",")
+    inside = parts.select(F.lit(graph_id).alias("graph_id"), F.lit(1).alias("section"), "uri", "pos", F.concat(lead, "line").alias("line"))
+    meta = F.concat(F.lit(',"meta":{"title":'), F.to_json(F.lit(title).cast("variant")), F.lit("}")) if title is not None else F.lit("")
+    ends = documents.sparkSession.range(1).select(F.lit(graph_id).alias("graph_id"), F.inline(F.array(F.struct(F.lit(0).alias("section"), F.lit("").alias("uri"), F.lit(0).alias("pos"), F.lit('{"Graph":{"graph":{"id":"' + graph_id + '"},"paths":[').alias("line")), F.struct(F.lit(2).alias("section"), F.lit("").alias("uri"), F.lit(0).alias("pos"), F.concat(F.lit("]"), meta, F.lit("}}")).alias("line")))))
+    return ends.unionByName(inside)
+
+
 def pretty(raw: str) -> str:
     """One collected document, indented."""
     import json
