@@ -133,13 +133,50 @@ def graph_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, fi
     return out
 
 
-def layout(paths: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (path_id, step_id, kind, label) and edges (path_id, parent, child, active) for a viewer; edges to unknown parents are left out."""
-    on = dag.ancestor_ids(steps, paths.select("path_id", "head")).withColumn("active", F.lit(True))
-    kind = F.when(F.col("step_id") == F.col("head"), "head").when(F.col("active").isNull(), "dead").otherwise("step")
-    nodes = steps.join(on, ["path_id", "step_id"], "left").join(paths.select("path_id", "head"), "path_id").select("path_id", "step_id", kind.alias("kind"), F.concat_ws(" ", X.actor_label("actor"), X.title("intent", 30)).alias("label"))
-    ids = steps.select("path_id", F.col("step_id").alias("parent")).distinct()
-    return nodes, dag.active_edges(steps, paths.select("path_id", "head")).join(ids, ["path_id", "parent"], "left_semi").select("path_id", "parent", "child", "active")
+def layout(paths: DataFrame, steps: DataFrame, timestamps: bool = False, files: bool = False, dead: bool = True, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a viewer draws: (nodes, edges).
+
+    Nodes: cluster, path_id, node_id, step_id, kind (base, ref, head, dead,
+    step), label.  Edges: path_id, source, target, kind (base, on, off).
+
+    Paths of one ``scope`` (a column of both, else the path itself) are drawn
+    together: where there are several, each is a cluster and its node ids carry
+    the path's place.  A path without a head has no dead ends.  ``dead``: dead
+    ends are shown, with their edges.  Edges to what isn't drawn are left out; a
+    path's base leads to the steps without parents.  A label has, line by line,
+    the step, its actor (by name where steps.resolve_actors() has been there),
+    its intent (30 characters), on request its time of day and its files (28
+    characters each).
+    """
+    key = scope or "path_id"
+    place = F.col("path_pos") if scope else F.lit(0)
+    count = paths.groupBy(F.col(key).alias("__scope")).agg(F.count("*").alias("__n"))
+    column = lambda c: F.col(c) if c in paths.columns else F.lit(None).cast("string")
+    clusters = paths.select(F.col(key).alias("__scope"), place.alias("__place"), "path_id", "head", column("base_uri").alias("base_uri"), column("ref_url").alias("ref_url")).join(count, "__scope")
+    several = F.col("__n") > 1
+    clusters = clusters.withColumns({"cluster": F.when(several, F.concat(F.lit("cluster_"), F.col("__place").cast("string"))), "__prefix": F.when(several, F.concat(F.lit("c"), F.col("__place").cast("string"), F.lit("/"))).otherwise("")})
+    clusters = dag.cut(clusters)
+    none = F.lit(None).cast("string")
+    bases = clusters.where("base_uri is not null").select("cluster", "path_id", F.concat("__prefix", F.lit("__BASE__")).alias("node_id"), none.alias("step_id"), F.lit("base").alias("kind"), F.lit("BASE").alias("label"))
+    refs = clusters.where("ref_url is not null").select("cluster", "path_id", F.concat("__prefix", "ref_url").alias("node_id"), none.alias("step_id"), F.lit("ref").alias("kind"), F.concat(F.lit("$ref: "), "ref_url").alias("label"))
+    marked = dag.marked(steps, paths.where("head is not null").select("path_id", "head"))
+    inside = marked.join(clusters.where("ref_url is null").select("path_id", "head", "cluster", "__prefix", "base_uri"), "path_id")
+    is_dead = F.col("headed") & ~F.col("active")
+    drawn = dag.cut(inside if dead else inside.where(~is_dead))
+    kind = F.when(F.col("step_id") == F.col("head"), "head").when(is_dead, "dead").otherwise("step")
+    name = F.coalesce("actor_name", X.actor_name("actor")) if "actor_name" in steps.columns else X.actor_name("actor")
+    lines = [F.array("step_id", name), F.array(X.title("intent", 30))]
+    if timestamps:
+        lines.append(F.array(F.substring("ts", 12, 8)))
+    if files:
+        lines.append(F.transform(F.map_keys("change"), lambda f: X.title(f, 28)))
+    label_text = F.array_join(F.array_compact(F.concat(*lines)), "\n")
+    nodes = drawn.select("cluster", "path_id", F.concat("__prefix", "step_id").alias("node_id"), "step_id", kind.alias("kind"), label_text.alias("label"))
+    each = drawn.select("path_id", "__prefix", F.col("step_id").alias("child"), F.col("active").alias("__on"), F.explode("parents").alias("parent"))
+    known = drawn.select("path_id", F.col("step_id").alias("parent"), F.col("active").alias("__parent_on")).groupBy("path_id", "parent").agg(F.max("__parent_on").alias("__parent_on"))
+    links = each.join(known, ["path_id", "parent"]).select("path_id", F.concat("__prefix", "parent").alias("source"), F.concat("__prefix", "child").alias("target"), F.when(F.col("__on") & F.col("__parent_on"), "on").otherwise("off").alias("kind"))
+    from_base = drawn.where("size(parents) = 0 and base_uri is not null").select("path_id", F.concat("__prefix", F.lit("__BASE__")).alias("source"), F.concat("__prefix", "step_id").alias("target"), F.lit("base").alias("kind"))
+    return bases.unionByName(refs).unionByName(nodes), links.unionByName(from_base)
 
 
 def numbered(rows: DataFrame, order: list, key: str = "path_id") -> DataFrame:

@@ -399,7 +399,7 @@ def set_05_graph_of_paths(spark, d):
     SELECT p.graph_id, p.path_id, x.step_id AS base_step FROM p LEFT JOIN x ON x.graph_id = p.graph_id AND x.revision = p.base_ref"""
 )
 def j_05_base_revision(spark, d):
-    steps = A.order_steps(spark, d)
+    steps = dag.cut(A.order_steps(spark, d))
     order = Window.partitionBy("graph_id").orderBy("path_id")
     paths = steps.groupBy("graph_id", "path_id").agg(F.max("revision").alias("r")).select("graph_id", "path_id", F.lag("r").over(order).alias("base_ref"), F.row_number().over(order).alias("path_pos"))
     return S.base_steps(paths, steps.join(paths.select("graph_id", "path_id", "path_pos"), ["graph_id", "path_id"]))
@@ -429,7 +429,7 @@ def j_13_same_change(spark, d):
 )
 def drv_04_correlate_refs(spark, d):
     # within one customer's graph
-    steps = A.order_steps(spark, d).select("path_id", "step_id", F.concat_ws("@", "revision", "graph_id").alias("revision"))
+    steps = dag.cut(A.order_steps(spark, d).select("path_id", "step_id", F.concat_ws("@", "revision", "graph_id").alias("revision")))
     hubs = S.correlate(steps)
     out = S.add_refs(S.add_refs(steps, hubs), hubs)  # twice: nothing changes
     return out.where(F.size("refs") > 0).select("path_id", "step_id", F.array_join(F.transform(F.array_sort("refs"), lambda r: F.concat(r["rel"], F.lit("="), r["href"])), ",").alias("refs"))

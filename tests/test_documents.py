@@ -127,5 +127,13 @@ def test_drawings(spark):
     assert '<font point-size="9">https://x/y.json</font>>, shape=note' in graph and "subgraph cluster_2 {" in graph
     assert '"c#0#path-1/first" -> "c#2#path-2/first" [color="#333333", penwidth=2];' in graph
     nodes, edges = render.layout(paths.where("uri = 'b'"), steps.where("uri = 'b'"))
-    assert {(r.step_id, r.kind) for r in nodes.collect()} == {("first", "step"), ("second", "step"), ("aside", "dead"), ("third", "head")}
-    assert edges.where(F.col("active")).count() == 2
+    assert {(r.step_id, r.kind) for r in nodes.collect()} == {("first", "step"), ("second", "step"), ("aside", "dead"), ("third", "head"), (None, "base")}
+    assert edges.where("kind = 'on'").count() == 2 and [(r.source, r.target) for r in edges.where("kind = 'base'").collect()] == [("__BASE__", "first")]
+    nodes, edges = render.layout(paths.where("uri = 'b'"), steps.where("uri = 'b'"), timestamps=True, files=True, dead=False)
+    shown = {r.step_id: r.label.split("\n") for r in nodes.where("kind <> 'base'").collect()}
+    assert "aside" not in shown and "aside" not in {r.target for r in edges.collect()}
+    assert shown["third"][:2] == ["third", "run"] and len(shown["third"]) >= 6 and all(len(x) <= 33 for x in shown["third"])
+    nodes, edges = render.layout(paths.where("uri = 'c'"), steps.where("uri = 'c'"), scope="uri")
+    got = {(r.cluster, r.node_id, r.kind) for r in nodes.collect()}
+    assert ("cluster_0", "c0/first", "step") in got and ("cluster_1", "c1/https://x/y.json", "ref") in got and ("cluster_2", "c2/first") in {x[:2] for x in got}
+    assert all(r.source[:3] == r.target[:3] for r in edges.collect())
