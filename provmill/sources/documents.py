@@ -314,7 +314,9 @@ def document_lines(paths: DataFrame, rows: DataFrame) -> DataFrame:
 
 def merged_lines(documents: DataFrame, title: str | None = None) -> DataFrame:
     """(graph_id, section, uri, pos, line): merge() in lines, one a path, for sources.line_files; sort by section, uri, pos."""
-    d = parse(documents).where("error is null")
+    from provmill.operators.dag import cut
+
+    d = cut(parse(documents).where("error is null").select("uri", "kind", "id", "body"))  # parsed once
     body = F.to_json("body")
     wrapped = F.concat(F.lit('{"path":{"id":'), F.to_json(F.concat(F.lit("path-"), "id").cast("variant")), F.lit(',"head":'), F.to_json(F.col("id").cast("variant")), F.lit('},"steps":['), body, F.lit("]}"))
     single = d.where("kind <> 'Graph'").select("uri", F.lit(0).alias("pos"), F.when(F.col("kind") == "Step", wrapped).otherwise(body).alias("line"))
