@@ -430,7 +430,7 @@ def j_13_same_change(spark, d):
 def drv_04_correlate_refs(spark, d):
     # within one customer's graph
     steps = dag.cut(A.order_steps(spark, d).select("path_id", "step_id", F.concat_ws("@", "revision", "graph_id").alias("revision")))
-    hubs = S.correlate(steps)
+    hubs = dag.cut(S.correlate(steps))
     out = S.add_refs(S.add_refs(steps, hubs), hubs)  # twice: nothing changes
     return out.where(F.size("refs") > 0).select("path_id", "step_id", F.array_join(F.transform(F.array_sort("refs"), lambda r: F.concat(r["rel"], F.lit("="), r["href"])), ",").alias("refs"))
 
