@@ -23,6 +23,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +36,44 @@ _numbers = count()
 UNKNOWN = "und"
 
 
+class Names:
+    """Numbers of distinct strings, in arrays: a number is found by the string's hash, then the strings are compared."""
+
+    def __init__(self, names: pa.Array, first: int = 0) -> None:
+        """The string at place i has the number ``first`` + i."""
+        hashes = self._hashes(names.to_pylist())
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.numbers, self.names = hashes[order], (order + first).astype(np.int32), names.take(pa.array(order))
+
+    @staticmethod
+    def _hashes(names: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+
+    def find(self, names: list[str]) -> np.ndarray:
+        """The number of each of ``names``, -1 for those that aren't there."""
+        out = np.full(len(names), -1, np.int64)
+        if not len(self.hashes) or not names:
+            return out
+        hashes = self._hashes(names)
+        at, left, asked = np.searchsorted(self.hashes, hashes), np.arange(len(names)), pa.array(names, pa.string())
+        while True:  # once, but for strings of equal hashes
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            if not len(left):
+                return out
+            same = pc.equal(self.names.take(pa.array(at[left])), asked.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[same]] = self.numbers[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+
+
 @dataclass
 class Model:
     """Words and n-grams of the sample with their scores; a column of scores for each language."""
 
     langs: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
+    words: Names
+    grams: Names
     scores: np.ndarray  # a row for each word and n-gram
     orders: tuple[int, ...]
 
@@ -101,7 +133,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_
     new = np.append(True, (order[1:] != order[:-1]) | pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False))[: len(found)]
     counts = np.zeros((int(new.sum()), max(1, len(langs))), np.float64)
     np.add.at(counts, (np.cumsum(new) - 1, at), found["n"].to_numpy().astype(np.float64))
-    order, names = order[new], unit.filter(pa.array(new)).to_pylist()
+    order, names = order[new], unit.filter(pa.array(new))
     del found, unit, at
     scores = np.zeros(counts.shape, np.float32)
     for k in (0, *orders):
@@ -110,11 +142,11 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_
             scores[of] = smoothed(counts[of], prior)
     # words come first: order 0
     n_words = int((order == 0).sum())
-    return Model(langs, dict(zip(names[:n_words], range(n_words), strict=True)), dict(zip(names[n_words:], range(n_words, len(names)), strict=True)), scores, orders)
+    return Model(langs, Names(names[:n_words]), Names(names[n_words:], n_words), scores, orders)
 
 
 class Scorer:
-    """Scores texts; words once scored are remembered up to a bound."""
+    """Scores texts; words once met are remembered up to a bound."""
 
     MOST = 300_000
 
@@ -123,46 +155,63 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.row = dict(self.model.words)
-        self.scores = np.concatenate([self.model.scores, np.zeros((self.MOST, self.model.scores.shape[1]), np.float32)])
-        self.used = len(self.model.scores)
+        self.row: dict[str, int] = {}
+        self.unknown = np.zeros((self.MOST, self.model.scores.shape[1]), np.float32)
+        self.used = 0
 
-    def unseen(self, word: str) -> np.ndarray:
-        framed, grams = f" {word} ", self.model.grams
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words that the model doesn't know, a row for each."""
+        out, left = np.zeros((len(words), self.model.scores.shape[1]), np.float32), list(range(len(words)))
         for k in self.model.orders:
-            found = [i for j in range(len(framed) - k + 1) if (i := grams.get(framed[j : j + k])) is not None]
-            if found:
-                return self.model.scores[found].mean(axis=0)
-        return np.zeros(self.model.scores.shape[1], np.float32)
+            grams, owners = [], []
+            for i in left:
+                framed = f" {words[i]} "
+                made = [framed[j : j + k] for j in range(len(framed) - k + 1)]
+                grams += made
+                owners += [i] * len(made)
+            rows = self.model.grams.find(grams)
+            known = rows >= 0
+            rows, owners = rows[known], np.array(owners, np.int64)[known]
+            if len(rows):
+                starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+                n = np.diff(np.append(starts, len(owners)))
+                out[owners[starts]] = np.add.reduceat(self.model.scores[rows], starts, axis=0) / n[:, None]
+                done = set(owners[starts].tolist())
+                left = [i for i in left if i not in done]
+            if not left:
+                break
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the scores of distinct words that weren't met yet."""
+        numbers = self.model.words.find(words)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            self.unknown[self.used : self.used + len(new)] = self.unseen([words[i] for i in new])
+            numbers[new] = len(self.model.scores) + self.used + np.arange(len(new))
+            self.used += len(new)
+        self.row.update(zip(words, numbers.tolist(), strict=True))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """Sums of the scores of so many words as are remembered at most."""
+        rows = list(map(self.row.get, words))
+        if None in rows:
+            new = [w for w in dict.fromkeys(words) if w not in self.row]
+            if len(self.row) + len(new) > self.MOST:
+                self.forget()
+                new = list(dict.fromkeys(words))
+            self.learn(new)
+            rows = list(map(self.row.get, words))
+        rows, n = np.array(rows, np.int64), len(self.model.scores)
+        known = rows < n
+        return self.model.scores[rows[known]].sum(axis=0, dtype=np.float64) + self.unknown[rows[~known] - n].sum(axis=0, dtype=np.float64)
 
     def predict(self, text: str) -> tuple[str, float, float]:
         """Language, score and confidence."""
         words = _WORD.findall(text.lower())
         if not words or not self.model.langs:
             return UNKNOWN, 0.0, 0.0
-        rows = list(map(self.row.get, words))
-        total = np.zeros(self.scores.shape[1])
-        if None in rows:
-            if self.used + len(words) > len(self.scores):
-                self.forget()
-                rows = list(map(self.row.get, words))  # the numbers looked up before are void
-            for i, r in enumerate(rows):
-                if r is None:
-                    word = words[i]
-                    r = self.row.get(word)
-                    if r is None:
-                        vector = self.unseen(word)
-                        if self.used == len(self.scores):  # a text of more new words than are remembered
-                            total += vector
-                            r = -1
-                        else:
-                            r = self.row[word] = self.used
-                            self.scores[r] = vector
-                            self.used += 1
-                    rows[i] = r
-            rows = [r for r in rows if r >= 0]
-        if rows:
-            total = total + self.scores[rows].sum(axis=0, dtype=np.float64)
+        total = sum(self.total(words[i : i + self.MOST]) for i in range(0, len(words), self.MOST))
         best = int(total.argmax())
         behind = total - total[best]
         return self.model.langs[best], float(1 / np.exp(behind).sum()), float(1 / np.exp(behind / len(words)).sum())
