@@ -124,6 +124,12 @@ def meetings(fps: np.ndarray, flips: np.ndarray, cell_bits: int, radius: int, pa
     s, o = s[order], o[order]
     del order
     same = s[1:] == s[:-1]
+    # the few strings that several fingerprints share; their members in the order of ``fps``, which doesn't depend on how rows came
+    shared = np.append(same, False) | np.append(False, same)
+    s, o = s[shared], o[shared]
+    order = np.lexsort((o, s))
+    s, o = s[order], o[order]
+    same = s[1:] == s[:-1]
     # a chain through the members of each string links just what a star would
     a, b = o[1:][same].astype(np.int64), o[:-1][same].astype(np.int64)
     pairs = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))

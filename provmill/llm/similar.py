@@ -128,6 +128,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
             fp = np.concatenate([r[1] for r in held]).view(np.uint64)
             head = np.concatenate([r[2] for r in held])
             del held
+            order = np.argsort(fp)  # each fingerprint comes once
+            fp, head = fp[order], head[order]
             first = np.uint64(cell & ((1 << bits) - 1))
             far = np.bitwise_count((fp >> np.uint64(WIDTH - bits)) ^ first).astype(np.int32)
             parts = -(-len(fp) * strings // CELL_STRINGS)
@@ -182,7 +184,8 @@ def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", words
     parts = [f"s{i}" for i in range(WORDS)]
     first = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("same"), F.col("__digest").alias("digest")))
     nodes = each.groupBy("same").agg(first.alias("head"), *(F.first(s).alias(s) for s in parts))
-    nodes = cut(nodes.drop("same").withColumn("node", F.monotonically_increasing_id()))
+    # numbered in the order of their digests, so that which of them is the least doesn't depend on how rows came
+    nodes = cut(nodes.orderBy("same").withColumn("node", F.monotonically_increasing_id()).drop("same"))
     repeated = each.groupBy(id, "__digest").count().where("count > 1").limit(1).count()
 
     def rows_of(heads: DataFrame, *columns: str) -> DataFrame:
