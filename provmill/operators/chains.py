@@ -52,13 +52,13 @@ def chains(segments: DataFrame, links: DataFrame, most_rounds: int = 40) -> Data
 
     def walk(pdf):
         after = dict(zip(pdf["segment"], pdf["succ"], strict=True))
-        out, node = [], pdf["head"].iloc[0]
+        out, node = {}, pdf["head"].iloc[0]
         while node is not None and node not in out:
-            out.append(node)
+            out[node] = len(out)
             node = after.get(node)
         import pandas as pd
 
-        return pd.DataFrame({"head": pdf["head"].iloc[0], "segment": out, "ord": range(len(out))})
+        return pd.DataFrame({"head": pdf["head"].iloc[0], "segment": list(out), "ord": range(len(out))})
 
     return plain.unionByName(loops.groupBy("head").applyInPandas(walk, "head string, segment string, ord long"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provmill.functions import table_functions
 from provmill.functions import text as X
 from provmill.operators import assembly, dag, derive, render
 from provmill.operators import conversations as C
@@ -49,6 +50,17 @@ def dag_01_ancestors(spark, d):
     return dag.ancestors(steps, heads).select("path_id", "step_id", "actor")
 
 
+@query(f"{_CLOSED} SELECT DISTINCT path_id, step_id FROM closure")
+def dag_01_ancestors_in_sql(spark, d):
+    steps, heads = _events(spark, d)
+    table_functions.register(spark)
+    return spark.sql(
+        "SELECT path_id, step_id FROM ancestors(TABLE(SELECT path_id, step_id, parents, pos, head FROM {steps} LEFT JOIN {heads} USING (path_id)) PARTITION BY path_id ORDER BY pos)",
+        steps=steps,
+        heads=heads.select("path_id", "head"),
+    )
+
+
 @query(f"{_CLOSED} SELECT s.path_id, s.step_id, s.actor, s.ts FROM steps s JOIN heads h USING (path_id) WHERE NOT EXISTS (SELECT 1 FROM closure c WHERE c.path_id = s.path_id AND c.step_id = s.step_id)")
 def dag_02_dead_ends(spark, d):
     steps, heads = _events(spark, d)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from provmill.functions import table_functions
 from provmill.operators import dag
 from provmill.operators import steps as S
 
@@ -158,3 +159,13 @@ def test_relations_of_paths(spark):
     assert ids(relations, "path_id", "rel", "other") == [("a", "produces", "b"), ("b", "produced-by", "a"), ("c", "complements", "d"), ("d", "complements", "c")]
     paths = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "e")], "graph_id string, path_id string")
     assert ids(S.correlated_graphs(paths, S.correlate(steps)), "graph_id", "rel", "href") == [("g", "correlates", "self")]
+
+
+def test_ancestors_as_a_table_function(spark):
+    rows = [("p", "a", None, 0, None), ("p", "b", ["a"], 1, None), ("p", "c", ["gone"], 2, "c"), ("p", "c", ["b", "x"], 3, "c"), ("p", "d", ["a"], 4, None)]
+    rows += [("q", "e", ["f"], 0, "e"), ("q", "f", ["e", None], 1, "zz"), ("r", "g", [], 0, None), (None, "h", None, 0, "h")]
+    spark.createDataFrame(rows, "path_id string, step_id string, parents array<string>, pos int, head string").createOrReplaceTempView("__some_steps")
+    table_functions.register(spark)
+    ask = lambda t: sorted(map(tuple, spark.sql(f"SELECT * FROM ancestors(TABLE({t}) PARTITION BY path_id ORDER BY pos)").collect()), key=str)
+    assert ask("__some_steps") == sorted([("p", "a"), ("p", "b"), ("p", "c"), ("p", "x"), ("q", "e"), ("q", "f"), ("q", "zz"), (None, "h")], key=str)
+    assert ask("SELECT * FROM __some_steps WHERE pos > 9") == []
