@@ -137,3 +137,11 @@ def test_drawings(spark):
     got = {(r.cluster, r.node_id, r.kind) for r in nodes.collect()}
     assert ("cluster_0", "c0/first", "step") in got and ("cluster_1", "c1/https://x/y.json", "ref") in got and ("cluster_2", "c2/first") in {x[:2] for x in got}
     assert all(r.source[:3] == r.target[:3] for r in edges.collect())
+
+
+def test_documents_are_parsed_once(spark):
+    """A filter on what parsing found doesn't repeat the parsing for each use of it."""
+    d = docs(spark, b={"Path": PATH})
+    for made in (D.steps(d), D.paths(d), D.validate(d), D.rejects(d), D.parse(d).where("error is null")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(raw") == 1, plan
