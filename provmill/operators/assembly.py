@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from provmill.functions import text as X
 from provmill.operators import chains as K
 from provmill.operators import conversations as C
+from provmill.operators.dag import cut
 
 
 def chained_entries(entries: DataFrame, first_ids: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def turns(entries: DataFrame) -> DataFrame:
     Such entries are no turns.  A result before its call, or beside text, stays
     where it is.
     """
-    said = entries.where("has_message")
+    said = cut(entries.where("has_message"))  # read once; much is joined with itself below
     calls = said.where(~is_result_only()).select("path_id", "pos", F.posexplode("tool_uses").alias("call_pos", "call"), "tool_results")
     inline = F.get(F.filter("tool_results", lambda r: r["id"] == F.col("call.id")), 0)
     calls = calls.select("path_id", "pos", "call_pos", "call.*", inline.alias("inline"))
@@ -152,8 +153,8 @@ def conversation_messages(entries: DataFrame, role: str) -> DataFrame:
 
 def find_conversations(entries: DataFrame, search: str) -> DataFrame:
     """(path_id, last_activity) of conversations with ``search`` in an entry, the latest first, those without times last."""
-    hit = with_text(entries, search).select("path_id").distinct()
-    return entries.join(hit, "path_id", "left_semi").groupBy("path_id").agg(F.max("at").alias("last_activity")).orderBy(F.desc_nulls_last("last_activity"), "path_id")
+    seen = entries.where("path_id is not null").groupBy("path_id").agg(F.max("at").alias("last_activity"), F.bool_or(F.coalesce(_has_text(search), F.lit(False))).alias("__hit"))
+    return seen.where("__hit").drop("__hit").orderBy(F.desc_nulls_last("last_activity"), "path_id")
 
 
 def errors(entries: DataFrame) -> DataFrame:
@@ -165,8 +166,12 @@ def uses_tool(entries: DataFrame, name: str) -> DataFrame:
     return entries.where(F.exists("tool_uses", lambda u: u["name"] == name))
 
 
-def with_text(entries: DataFrame, search: str) -> DataFrame:
-    """Entries whose text or tool results hold ``search``, whatever the case; an empty search takes all that have either."""
+def _has_text(search: str) -> Column:
     low = F.lower(F.lit(search))
     hit = lambda s: F.contains(F.lower(s), low)
-    return entries.where(F.exists("parts", lambda p: ((p["type"] == "text") & hit(p["text"])) | ((p["type"] == "tool_result") & hit(p["content"]))))
+    return F.exists("parts", lambda p: ((p["type"] == "text") & hit(p["text"])) | ((p["type"] == "tool_result") & hit(p["content"])))
+
+
+def with_text(entries: DataFrame, search: str) -> DataFrame:
+    """Entries whose text or tool results hold ``search``, whatever the case; an empty search takes all that have either."""
+    return entries.where(_has_text(search))

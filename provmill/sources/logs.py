@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provmill.functions import text as X
-from provmill.sources.documents import _default, _is, _optional, _v
+from provmill.sources.documents import _default, _is, _optional, _v, once
 
 #: Lines looked at for a segment's first session id.
 FIRST_LINES = 10
@@ -38,42 +38,50 @@ def _text(v: Column, path: str) -> Column:
     return F.when(_is(found, "STRING"), _v(v, path, "string"))
 
 
+#: What is looked at of a content part and of an entry, taken out by one cast each; fields whose kind has to be told stay variants.
+LOOK_PART = "struct<type:variant,text:variant,thinking:variant,signature:variant,id:variant,name:variant,input:variant,tool_use_id:variant,content:variant,is_error:variant>"
+LOOK = "struct<type:variant,uuid:variant,timestamp:variant,isSidechain:variant,sessionId:variant,parentUuid:variant,cwd:variant,gitBranch:variant,version:variant,userType:variant,requestId:variant,messageId:variant,message:struct<role:variant,model:variant,stop_reason:variant,stopReason:variant,usage:variant>>"
+
+
+def _said(v: Column) -> Column:
+    """A variant that is a string; null if it is something else."""
+    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string"))
+
+
 def _bad_part(p: Column) -> Column:
-    kind = _text(p, "$.type")
-    text = lambda f: _is(_v(p, f), "STRING")
-    result = _v(p, "$.content")
+    kind = _said(p["type"])
+    text = lambda f: _is(p[f], "STRING")
     return (
         kind.isNull()
-        | (kind == "text") & ~text("$.text")
-        | (kind == "thinking") & (~text("$.thinking") | ~_optional(_v(p, "$.signature"), "STRING"))
-        | (kind == "tool_use") & (~text("$.id") | ~text("$.name") | _v(p, "$.input").isNull())
-        | (kind == "tool_result") & (~text("$.tool_use_id") | ~_is(result, "STRING", "ARRAY") | ~_default(_v(p, "$.is_error"), "BOOLEAN"))
+        | (kind == "text") & ~text("text")
+        | (kind == "thinking") & (~text("thinking") | ~_optional(p["signature"], "STRING"))
+        | (kind == "tool_use") & (~text("id") | ~text("name") | p["input"].isNull())
+        | (kind == "tool_result") & (~text("tool_use_id") | ~_is(p["content"], "STRING", "ARRAY") | ~_default(p["is_error"], "BOOLEAN"))
     )
 
 
-def _error(v: Column) -> Column:
+def _error(v: Column, e: Column, parts: Column) -> Column:
     """Why an entry can't be read, or null; an unknown kind of content part is no error."""
-    m = _v(v, "$.message")
-    content = _v(v, "$.message.content")
-    parts = F.coalesce(F.when(_is(content, "ARRAY"), _v(v, "$.message.content", "array<variant>")), F.array().cast("array<variant>"))
-    usage = _v(v, "$.message.usage")
-    counts = [_v(v, f"$.message.usage.{c}") for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")]
+    m, usage = e["message"], e["message"]["usage"]
     bad_count = F.lit(False)
-    for c in counts:
-        bad_count = bad_count | ~_optional(c, "BIGINT")
+    for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"):
+        bad_count = bad_count | ~_optional(_v(usage, f"$.{c}"), "BIGINT")
+    bad_optional = F.lit(False)
+    for c in ("sessionId", "parentUuid", "cwd", "gitBranch", "version", "userType", "requestId", "messageId"):
+        bad_optional = bad_optional | ~_optional(e[c], "STRING")
     return (
         F.when(v.isNull(), "not JSON")
-        .when(~_is(v, "OBJECT"), "not an object")
-        .when(~_is(_v(v, "$.type"), "STRING"), "type")
-        .when(~_default(_v(v, "$.uuid"), "STRING"), "uuid")
-        .when(~_default(_v(v, "$.timestamp"), "STRING"), "timestamp")
-        .when(~_default(_v(v, "$.isSidechain"), "BOOLEAN"), "isSidechain")
-        .when(~_optional(_v(v, "$.sessionId"), "STRING") | ~_optional(_v(v, "$.parentUuid"), "STRING") | ~_optional(_v(v, "$.cwd"), "STRING") | ~_optional(_v(v, "$.gitBranch"), "STRING") | F.exists(F.array(*(_v(v, f"$.{c}") for c in ("version", "userType", "requestId", "messageId"))), lambda x: ~_optional(x, "STRING")), "optional field")
-        .when(~_optional(m, "OBJECT"), "message")
-        .when(_is(m, "OBJECT") & ~F.coalesce(_text(v, "$.message.role").isin("user", "assistant", "system"), F.lit(False)), "message.role")
-        .when(~_optional(content, "STRING", "ARRAY"), "message.content")
+        .when(e.isNull(), "not an object")
+        .when(~_is(e["type"], "STRING"), "type")
+        .when(~_default(e["uuid"], "STRING"), "uuid")
+        .when(~_default(e["timestamp"], "STRING"), "timestamp")
+        .when(~_default(e["isSidechain"], "BOOLEAN"), "isSidechain")
+        .when(bad_optional, "optional field")
+        .when(m.isNull() & ~_optional(_v(v, "$.message"), "VOID"), "message")
+        .when(m.isNotNull() & ~F.coalesce(_said(m["role"]).isin("user", "assistant", "system"), F.lit(False)), "message.role")
+        .when(parts.isNull() & ~_optional(_v(v, "$.message.content"), "STRING"), "message.content")
         .when(F.exists(parts, _bad_part), "message.content part")
-        .when(~_optional(usage, "OBJECT") | bad_count, "message.usage")
+        .when(usage.isNotNull() & (~_optional(usage, "OBJECT") | bad_count), "message.usage")
     )
 
 
@@ -84,7 +92,7 @@ FIELDS = ("parentUuid", "isSidechain", "type", "uuid", "timestamp", "sessionId",
 def _extra(v: Column) -> Column:
     """The fields without a column of their own, as an object; null if there are none."""
     rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: ~k.isin(*FIELDS))
-    return F.when(F.size(rest) > 0, F.to_variant_object(rest))
+    return F.when(F.exists(F.map_keys(F.try_variant_get(v, "$", "map<string,boolean>")), lambda k: ~k.isin(*FIELDS)), F.to_variant_object(rest))
 
 
 RESULT = "struct<id:string,content:string,is_error:boolean>"
@@ -93,16 +101,16 @@ PART = "struct<type:string,text:string,thinking:string,id:string,name:string,inp
 
 def _result_text(p: Column) -> Column:
     """A result's text: itself, or its parts' texts by line."""
-    several = F.array_join(F.transform(_v(p, "$.content", "array<variant>"), lambda x: _text(x, "$.text")), "\n")
-    return F.when(_is(_v(p, "$.content"), "STRING"), _v(p, "$.content", "string")).otherwise(several)
+    several = F.array_join(F.transform(F.try_variant_get(p["content"], "$", "array<struct<text:variant>>"), lambda x: _said(x["text"])), "\n")
+    return F.when(_is(p["content"], "STRING"), F.try_variant_get(p["content"], "$", "string")).otherwise(several)
 
 
 def _part(p: Column) -> Column:
-    kind = _text(p, "$.type")
+    kind = _said(p["type"])
     known = F.when(kind.isin("text", "thinking", "tool_use", "tool_result"), kind).otherwise("unknown")
     return F.struct(
-        known.alias("type"), F.when(kind == "text", _text(p, "$.text")).alias("text"), F.when(kind == "thinking", _text(p, "$.thinking")).alias("thinking"), F.when(kind == "tool_use", _text(p, "$.id")).alias("id"), F.when(kind == "tool_use", _text(p, "$.name")).alias("name"),
-        F.when(kind == "tool_use", F.to_json(_v(p, "$.input"))).alias("input"), F.when(kind == "tool_result", _text(p, "$.tool_use_id")).alias("tool_use_id"), F.when(kind == "tool_result", _result_text(p)).alias("content"), F.when(kind == "tool_result", F.coalesce(_v(p, "$.is_error", "boolean"), F.lit(False))).alias("is_error"),
+        known.alias("type"), F.when(kind == "text", _said(p["text"])).alias("text"), F.when(kind == "thinking", _said(p["thinking"])).alias("thinking"), F.when(kind == "tool_use", _said(p["id"])).alias("id"), F.when(kind == "tool_use", _said(p["name"])).alias("name"),
+        F.when(kind == "tool_use", F.to_json(p["input"])).alias("input"), F.when(kind == "tool_result", _said(p["tool_use_id"])).alias("tool_use_id"), F.when(kind == "tool_result", _result_text(p)).alias("content"), F.when(kind == "tool_result", F.coalesce(F.try_variant_get(p["is_error"], "$", "boolean"), F.lit(False))).alias("is_error"),
     )
 
 
@@ -112,25 +120,28 @@ def entries(raw: DataFrame, bad: bool = False) -> DataFrame:
     What an entry has beside the known fields is in ``extra``, a variant.  Entries with an empty uuid are left out.  A message's text is its text parts
     by line; a plain string is one text part.
     """
-    v = raw.where(F.col("line").rlike(r"\S")).withColumn("v", F.try_parse_json("line")).withColumn("error", _error(F.col("v")))
+    v = once(raw.where(F.col("line").rlike(r"\S")), F.try_parse_json("line").alias("v"))
+    v = once(v, _v("v", "$", LOOK).alias("e"), _v("v", "$.message.content", f"array<{LOOK_PART}>").alias("looked"))
+    v = once(v, _error(F.col("v"), F.col("e"), F.col("looked")).alias("error"))
     if bad:
         return v.where("error is not null").select("project", "segment", "file", "line_no", "error")
-    content = _v("v", "$.message.content")
+    ok = v.where("error is null")
     one = F.array(F.struct(F.lit("text").alias("type"), _v("v", "$.message.content", "string").alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "tool_use_id", "content")), F.lit(None).cast("boolean").alias("is_error")))
-    many = F.transform(_v("v", "$.message.content", "array<variant>"), _part)
     none = F.array().cast(f"array<{PART}>")
-    parts = F.when(_is(content, "STRING"), one.cast(f"array<{PART}>")).when(_is(content, "ARRAY"), many.cast(f"array<{PART}>")).otherwise(none)
-    count_of = lambda *names: F.coalesce(*(_v("v", f"$.message.usage.{n}", "bigint") for n in names))
+    parts = F.when(F.col("looked").isNotNull(), F.transform("looked", _part).cast(f"array<{PART}>")).when(_is(_v("v", "$.message.content"), "STRING"), one.cast(f"array<{PART}>")).otherwise(none)
+    ok = once(ok, parts.alias("parts"))
+    m = F.col("e.message")
+    count_of = lambda *names: F.coalesce(*(_v(m["usage"], f"$.{n}", "bigint") for n in names))
     usage = F.when(
-        _is(_v("v", "$.message.usage"), "OBJECT"),
+        _is(m["usage"], "OBJECT"),
         F.struct(count_of("input_tokens", "inputTokens").alias("input_tokens"), count_of("output_tokens", "outputTokens").alias("output_tokens"), count_of("cache_read_input_tokens", "cacheReadInputTokens").alias("cache_read_tokens"), count_of("cache_creation_input_tokens", "cacheCreationInputTokens").alias("cache_write_tokens")),
     )
-    ok = v.where("error is null")
+    said = lambda name: _said(F.col(f"e.{name}"))
     e = ok.select(
-        "project", "segment", "file", "line_no", F.coalesce(_text(F.col("v"), "$.uuid"), F.lit("")).alias("uuid"), _text(F.col("v"), "$.parentUuid").alias("parent_uuid"), F.coalesce(_v("v", "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), _text(F.col("v"), "$.type").alias("type"),
-        F.coalesce(_text(F.col("v"), "$.timestamp"), F.lit("")).alias("ts"), _text(F.col("v"), "$.sessionId").alias("session_id"), _text(F.col("v"), "$.cwd").alias("cwd"), _text(F.col("v"), "$.gitBranch").alias("git_branch"), _is(_v("v", "$.message"), "OBJECT").alias("has_message"), _text(F.col("v"), "$.message.role").alias("role"),
-        _text(F.col("v"), "$.message.model").alias("model"), F.coalesce(_text(F.col("v"), "$.message.stop_reason"), _text(F.col("v"), "$.message.stopReason")).alias("stop_reason"), parts.alias("parts"), usage.alias("usage"),
-        *(_text(F.col("v"), f"$.{name}").alias(column) for name, column in (("version", "version"), ("userType", "user_type"), ("requestId", "request_id"), ("messageId", "message_id"))), _v("v", "$.toolUseResult").alias("tool_use_result"), _v("v", "$.snapshot").alias("snapshot"), _extra(F.col("v")).alias("extra"),
+        "project", "segment", "file", "line_no", F.coalesce(said("uuid"), F.lit("")).alias("uuid"), said("parentUuid").alias("parent_uuid"), F.coalesce(F.try_variant_get("e.isSidechain", "$", "boolean"), F.lit(False)).alias("is_sidechain"), said("type").alias("type"),
+        F.coalesce(said("timestamp"), F.lit("")).alias("ts"), said("sessionId").alias("session_id"), said("cwd").alias("cwd"), said("gitBranch").alias("git_branch"), m.isNotNull().alias("has_message"), said("message.role").alias("role"),
+        said("message.model").alias("model"), F.coalesce(said("message.stop_reason"), said("message.stopReason")).alias("stop_reason"), "parts", usage.alias("usage"),
+        *(said(name).alias(column) for name, column in (("version", "version"), ("userType", "user_type"), ("requestId", "request_id"), ("messageId", "message_id"))), _v("v", "$.toolUseResult").alias("tool_use_result"), _v("v", "$.snapshot").alias("snapshot"), _extra(F.col("v")).alias("extra"),
     )
     of = lambda kind: F.filter("parts", lambda p: p["type"] == kind)
     joined = lambda kind, field: F.array_join(F.transform(of(kind), lambda p: p[field]), "\n")

@@ -112,3 +112,19 @@ def test_conversation_steps(spark):
     assert got["step-side0000"].parents == ["step-u1"] and got["step-u2"].parents == ["step-u1"] and got["step-u4"].parents == ["step-u2"]
     assert got["step-u2"].actor == "agent:m" and set(got["step-u2"].change) == {"convo://a", "b.rs"}
     assert derive.conversation_heads(steps).first().head == "step-u5"
+
+
+def test_lines_are_parsed_once(spark):
+    """A filter on what parsing found doesn't repeat the parsing for each use of it."""
+    raw = spark.createDataFrame([("p", "s", "f", 0, '{"type":"user","uuid":"u","timestamp":"t"}')], "project string, segment string, file string, line_no int, line string")
+    for made in (logs.entries(raw), logs.entries(raw, bad=True)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(line") == 1, plan
+
+
+def test_conversations_are_searched_in_one_pass(spark):
+    raw = spark.createDataFrame([("p", s, "f", 0, '{"type":"user","uuid":"%s","timestamp":"2024-01-01T00:00:00Z","message":{"role":"user","content":"Say %s"}}' % (s, s)) for s in ("one", "two")], "project string, segment string, file string, line_no int, line string")
+    e = logs.positions(logs.entries(raw)).selectExpr("*", "segment AS path_id")
+    found = A.find_conversations(e, "SAY ONE")
+    assert [r.path_id for r in found.collect()] == ["one"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(line") == 1
