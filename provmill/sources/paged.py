@@ -8,7 +8,8 @@ endpoint's, slashes as ``%2F``: one line a page, {"url", "link", "body"}, where
 link is the answer's Link header.  Lines may be in any order; of two with one
 url the last counts.
 
-An endpoint is a partition, and filters on ``endpoint`` leave the other files
+An endpoint is read by one task, which reads many small ones one after the other;
+filters on ``endpoint`` leave the other files
 alone.  A page's items come by its place in the chain of next links; of a page
 only url, next link and place in the file are held.  What is wrong is a row
 without a value: ``lost`` (a next link to a page that isn't there), ``loop`` (to
@@ -45,6 +46,30 @@ class Endpoint(InputPartition):
         self.name, self.file = name, file
 
 
+#: Endpoints that a task reads one after the other, as a task for each of many small files takes longer to start than to run; fewer if they come to so many bytes.
+ENDPOINTS_IN_A_TASK, BYTES_IN_A_TASK = 256, 64 << 20
+
+
+class Endpoints(InputPartition):
+    """Endpoints that one task reads."""
+
+    def __init__(self, parts: list[Endpoint]) -> None:
+        self.parts = parts
+
+
+def dealt(parts: Iterable[Endpoint]) -> list[Endpoints]:
+    """Endpoints in their order, as many to a task as it takes."""
+    out, left = [], 0
+    for part in parts:
+        size = os.path.getsize(part.file)
+        if not out or size > left or len(out[-1].parts) >= ENDPOINTS_IN_A_TASK:
+            out.append(Endpoints([]))
+            left = BYTES_IN_A_TASK
+        out[-1].parts.append(part)
+        left -= size
+    return out
+
+
 def chain(pages: dict[str, str | None]) -> Iterator[tuple[str, str | None]]:
     """(url, None) in order of links, and (url, problem) where a link leads nowhere; ``pages`` has the next url of each."""
     led_to, given = {n for u, n in pages.items() if n != u}, set()
@@ -94,12 +119,13 @@ class _Reader(DataSourceReader):
     def __init__(self, folder: str) -> None:
         self.folder, self.names = local_path(folder), None
 
-    def partitions(self) -> list[Endpoint]:
+    def partitions(self) -> list[Endpoints]:
         files = sorted(glob.glob(f"{glob.escape(self.folder)}/*.jsonl")) if self.names is None else [f"{self.folder}/{file_of(n)}" for n in sorted(self.names)]
-        return [Endpoint(unquote(os.path.basename(f).removesuffix(".jsonl")), f) for f in files if os.path.exists(f)]
+        return dealt(Endpoint(unquote(os.path.basename(f).removesuffix(".jsonl")), f) for f in files if os.path.exists(f))
 
-    def read(self, partition: Endpoint) -> Iterator[tuple]:
-        yield from read_endpoint(partition)
+    def read(self, partition: Endpoints) -> Iterator[tuple]:
+        for part in partition.parts:
+            yield from read_endpoint(part)
 
 
 class _Filtering(_Reader):

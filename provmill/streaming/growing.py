@@ -7,7 +7,8 @@ How far each file was read lies in the folder ``state``, a small file for each
 batch with the files that changed, so a stream's own offset is two words
 however many files there are.  A trigger looks at sizes and times of files and
 opens only those that changed.  A batch takes at most ``maxBytes``, the rest
-waits; it reads each file in ranges, one a task, so that a large file is dealt out.
+waits; it reads each file in ranges, so that a large file is dealt out to
+several tasks; many small ones are read by one.
 
 A last line without its end stays for the next time.  A file that has become
 shorter gives nothing and goes on from its new end; one whose beginning isn't
@@ -44,6 +45,30 @@ class Range(InputPartition):
         self.file, self.start, self.stop, self.whole = file, start, stop, whole
 
 
+#: Files of which a task reads ranges one after the other, as a task for each of many small files takes longer to start than to run.
+FILES_IN_A_TASK = 256
+
+
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, parts: list[Range]) -> None:
+        self.parts = parts
+
+
+def dealt(parts: Iterable[Range], size: int = RANGE_BYTES) -> list[Ranges]:
+    """Ranges in their order, as many to a task as come to ``size`` bytes and FILES_IN_A_TASK."""
+    out, left = [], 0
+    for part in parts:
+        length = part.stop - part.start
+        if not out or length > left or len(out[-1].parts) >= FILES_IN_A_TASK:
+            out.append(Ranges([]))
+            left = size
+        out[-1].parts.append(part)
+        left -= length
+    return out
+
+
 def line_end(file: str, upto: int | None = None) -> int:
     """Where the last whole line ends, of those that end at ``upto`` or before."""
     with open(file, "rb") as f:
@@ -103,11 +128,12 @@ class _Batch(DataSourceReader):
     def __init__(self, path: str, size: int) -> None:
         self.path, self.size = path, size
 
-    def partitions(self) -> list[Range]:
-        return [r for file in sorted(glob.glob(self.path)) for r in ranges(file, 0, line_end(file), self.size)]
+    def partitions(self) -> list[Ranges]:
+        return dealt((r for file in sorted(glob.glob(self.path)) for r in ranges(file, 0, line_end(file), self.size)), self.size)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        yield from read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for part in partition.parts:
+            yield from read_range(part)
 
 
 #: Bytes of a file's beginning that tell whether it is still the same file; batches between two files of state that list all.
@@ -249,6 +275,17 @@ class _Stream(DataSourceStreamReader):
         yield from read_range(partition)
 
 
+class _Dealt(_Stream):
+    """Several ranges a task."""
+
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return dealt(super().partitions(start, end), self.size)
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for part in partition.parts:
+            yield from read_range(part)
+
+
 class GrowingLogs(DataSource):
     """Options: path (a glob), rangeBytes; for streams also state (a folder), maxBytes (of a batch), skipExisting (start at the end of what is there)."""
 
@@ -267,7 +304,7 @@ class GrowingLogs(DataSource):
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         most = self.options.get("maxBytes")
-        return _Stream(self.options["path"], self._size(), self.options.get("skipExisting", "false") == "true", self.options["state"], int(most) if most else None)
+        return _Dealt(self.options["path"], self._size(), self.options.get("skipExisting", "false") == "true", self.options["state"], int(most) if most else None)
 
 
 def lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provmill.sources import documents as D
 from provmill.sources import line_files, paged
+from provmill.streaming import growing
 
 
 def names(folder):
@@ -107,3 +108,16 @@ def test_filters_leave_other_endpoints_alone(spark, tmp_path):
         assert [r.value for r in paged.items(spark, str(tmp_path)).where("endpoint in ('a', 'c')").collect()] == ["1"]
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", False)
+
+
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    """Each file is read once, whole, whichever task it goes to."""
+    n = 600
+    for i in range(n):
+        (tmp_path / f"e{i:04d}.jsonl").write_text('{"url": "u%d", "body": [%d]}\n' % (i, i))
+    logs_ = growing.lines(spark, str(tmp_path / "*.jsonl"))
+    captured = paged.items(spark, str(tmp_path))
+    assert logs_.rdd.getNumPartitions() == captured.rdd.getNumPartitions() == 3
+    assert sorted(r.segment for r in logs_.collect()) == [f"e{i:04d}" for i in range(n)]
+    assert sorted(int(r.value) for r in captured.collect()) == list(range(n))
+    assert [len(x.parts) for x in growing.dealt(growing.ranges("f", 0, 25, 10), 10)] == [1, 1, 1]
