@@ -169,6 +169,33 @@ def rejects(documents: DataFrame) -> DataFrame:
     return _parsed(documents).where("error is not null").select("uri", "error")
 
 
+#: What names a path, as it is read.
+PATH_NAMES = "struct<id:string,head:string,base:struct<uri:string,ref:string>>"
+
+
+def _each_path(d: DataFrame, fields: str, alone) -> DataFrame:
+    """uri, graph_id, graph_actors, path_pos, ref_url and __path (a struct of ``fields``, by one cast) of every path; ``alone`` makes one of a step that stands alone."""
+    kind, whole = F.col("kind"), f"struct<{fields}>"
+    ref = lambda p: F.when(_text(p), F.try_variant_get(p, "$", "string"))
+    refs = F.transform(_v("doc", "$.Graph.paths", "array<struct<`$ref`:variant>>"), lambda p: ref(p["$ref"]))
+    of_graph = F.arrays_zip(refs.alias("ref_url"), _v("doc", "$.Graph.paths", f"array<{whole}>").alias("__path"))
+    one = lambda p: F.array(F.struct(F.lit(None).cast("string").alias("ref_url"), p.alias("__path")))
+    found = F.when(kind == "Graph", of_graph).when(kind == "Path", one(_v("doc", "$.Path", whole))).otherwise(one(alone(whole)))
+    in_graph = kind == "Graph"
+    return d.select("uri", F.when(in_graph, F.col("id")).alias("graph_id"), F.when(in_graph, _v("doc", "$.Graph.meta.actors")).alias("graph_actors"), F.posexplode(found).alias("path_pos", "__p")).select("uri", "graph_id", "graph_actors", "path_pos", "__p.ref_url", "__p.__path")
+
+
+def _alone_names() -> Column:
+    return F.struct(F.concat(F.lit("path-"), "id").alias("id"), F.col("id").alias("head"), F.lit(None).cast("struct<uri:string,ref:string>").alias("base"))
+
+
+def _alone_whole(kind: str) -> Column:
+    """The path of a step that stands alone, with the step's actors."""
+    actors = _v("doc", "$.Step.meta.actors")
+    meta = F.when(actors.isNotNull(), F.to_variant_object(F.map_from_arrays(F.array(F.lit("actors")), F.array(actors))))
+    return F.struct(_alone_names().alias("path"), F.array(_v("doc", "$.Step", READ_STEP)).alias("steps"), meta.alias("meta")).cast(kind)
+
+
 def paths(documents: DataFrame) -> DataFrame:
     """Every path of the readable documents, references to other documents too.
 
@@ -315,6 +342,22 @@ def step_json(rows: DataFrame) -> Column:
     return _object(_field("step", identity), _field("change", F.coalesce(change, F.lit("{}"))), _field("meta", _meta(rows.columns)))
 
 
+def rewritten(documents: DataFrame) -> DataFrame:
+    """(uri, path_pos, path_id, raw): each inline path of the readable documents written as a Path document, as path_documents() has it.
+
+    A document's steps stay in its row: nothing is shuffled, and one call writes the whole text.
+    """
+    p = _each_path(_parsed(documents).where("error is null"), f"path:{PATH_NAMES},steps:array<{READ_STEP}>,meta:variant", _alone_whole).where("ref_url is null").select("uri", "path_pos", "__path.*")
+    # fields that are null are left out
+    base = F.when(F.col("path.base.uri").isNotNull(), F.col("path.base"))
+    one = lambda v: F.struct(v["raw"].alias("raw"), v["structural"].alias("structural"))
+    in_order = lambda c, keys: F.map_from_arrays(keys, F.transform(keys, lambda k: one(F.element_at(c, k))))
+    change = lambda c: F.when(F.size(c) <= 1, F.transform_values(c, lambda _, v: one(v))).otherwise(in_order(c, F.array_sort(F.map_keys(c))))
+    step = lambda s: F.struct(F.struct(s["step"]["id"].alias("id"), F.when(F.size(s["step"]["parents"]) > 0, s["step"]["parents"]).alias("parents"), s["step"]["actor"].alias("actor"), s["step"]["timestamp"].alias("timestamp")).alias("step"), change(s["change"]).alias("change"), s["meta"].alias("meta"))
+    path = F.struct(F.struct(F.col("path.id").alias("id"), base.alias("base"), F.col("path.head").alias("head")).alias("path"), F.transform("steps", step).alias("steps"), F.col("meta").alias("meta"))
+    return p.select("uri", "path_pos", F.col("path.id").alias("path_id"), F.to_json(F.struct(path.alias("Path")), {"ignoreNullFields": "true"}).alias("raw"))
+
+
 def _step_arrays(rows: DataFrame) -> DataFrame:
     """(path_id, steps): the steps of each path as a JSON array in order."""
     each = rows.select("path_id", "pos", step_json(rows).alias("j"))

@@ -145,3 +145,17 @@ def test_documents_are_parsed_once(spark):
     for made in (D.steps(d), D.paths(d), D.validate(d), D.rejects(d), D.parse(d).where("error is null")):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson(raw") == 1, plan
+
+
+def test_documents_are_rewritten_in_their_row(spark):
+    """The same texts as by way of paths and steps, but each document is parsed once and nothing is shuffled."""
+    odd = {"path": {"id": 'q"\\/\u00e9\U0001f600\n', "head": "h", "base": None}, "steps": [step("s", change={"b": {"raw": None, "structural": None}, "a": {"structural": [1.50, {"z": 1, "a": None}]}, "\ue000": 3, "\U0001f600": {}}), {**step("t"), "meta": None, "more": 1}, step("u", change={}, refs=[])], "meta": None}
+    bare = {"Step": step("bare", ["gone"])}
+    owned = {"Step": step("own", actors={"human:petra": {"name": "Petra"}})}
+    d = docs(spark, a=bare, b={"Path": PATH}, c={"Graph": GRAPH}, e={"Path": odd}, f=owned, g={"Path": {"path": {"id": "none", "head": "h"}, "steps": []}}, x="{")
+    paths = D.scoped(D.paths(d).withColumn("id", F.col("path_id"))).where("ref_url is null")
+    want = {r.path_id: r.raw for r in D.path_documents(paths, D.scoped(D.steps(d))).collect()}
+    made = D.rewritten(d)
+    assert {f"{r.uri}#{r.path_pos}#{r.path_id}": r.raw for r in made.collect()} == want and len(want) == 7
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(raw") == 1 and "Exchange" not in plan
