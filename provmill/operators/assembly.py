@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from provmill.functions import text as X
 from provmill.operators import chains as K
 from provmill.operators import conversations as C
-from provmill.operators.dag import cut
+from provmill.operators.dag import cut, stored
 
 
 def chained_entries(entries: DataFrame, first_ids: DataFrame) -> DataFrame:
@@ -21,11 +21,12 @@ def chained_entries(entries: DataFrame, first_ids: DataFrame) -> DataFrame:
     bridge from it and are dropped; a segment alone keeps all of its entries.
     """
     key = lambda c: F.concat_ws("/", "project", c)
+    entries = stored(entries)  # parsed once; the names of segments are read from it by themselves
     ids = first_ids.select(key("segment").alias("segment"), key("session_id").alias("session_id"))
-    segments = entries.select(key("segment").alias("segment")).distinct()
+    segments = cut(entries.select(key("segment").alias("segment")).distinct())
     known = segments.select(F.col("segment").alias("pred"))
-    links = K.links(ids).join(known, "pred", "left_semi")
-    chain = K.chains(segments, links).select(F.col("segment").alias("__segment"), F.col("head").alias("path_id"), F.col("ord").alias("chain_ord"))
+    links = cut(K.links(ids).join(known, "pred", "left_semi"))
+    chain = cut(K.chains(segments, links).select(F.col("segment").alias("__segment"), F.col("head").alias("path_id"), F.col("ord").alias("chain_ord")))
     size = chain.groupBy("path_id").agg(F.count("*").alias("n_segments"))
     e = entries.withColumn("__segment", key("segment")).join(chain, "__segment").join(size, "path_id")
     bridge = (F.col("session_id") != "") & (F.col("session_id") != F.col("segment"))
@@ -47,20 +48,18 @@ def turns(entries: DataFrame) -> DataFrame:
     Such entries are no turns.  A result before its call, or beside text, stays
     where it is.
     """
-    said = cut(entries.where("has_message"))  # read once; much is joined with itself below
-    calls = said.where(~is_result_only()).select("path_id", "pos", F.posexplode("tool_uses").alias("call_pos", "call"), "tool_results")
+    said = stored(entries.where("has_message").withColumn("__late", is_result_only()))  # read once; what follows takes some columns each
+    calls = said.where("not __late").select("path_id", "pos", F.posexplode("tool_uses").alias("ord", "call"), "tool_results")
     inline = F.get(F.filter("tool_results", lambda r: r["id"] == F.col("call.id")), 0)
-    calls = calls.select("path_id", "pos", "call_pos", "call.*", inline.alias("inline"))
-    late = said.where(is_result_only()).select("path_id", F.col("pos").alias("__pos"), F.posexplode("tool_results").alias("__ord", "r"))
-    # calls and late results of one id in order; with ids that are unique, the first later result
-    several = calls.groupBy("path_id", "id").count().where("count > 1")
-    later = late.withColumn("id", F.col("r.id"))
-    once = calls.where("inline is null").join(several, ["path_id", "id"], "left_anti")  # so that no id joins several calls with several results
-    joined = once.join(later, ["path_id", "id"]).where("__pos > pos")
-    unique = joined.groupBy("path_id", "pos", "call_pos").agg(F.min_by("r", F.struct("__pos", "__ord")).alias("late"))
-    by_join = calls.join(unique, ["path_id", "pos", "call_pos"], "left")
-    repeated = calls.join(several, ["path_id", "id"], "left_semi").select("path_id", "id", F.lit(0).alias("kind"), "pos", F.col("call_pos").alias("ord"), F.col("inline").isNotNull().alias("done"), F.lit(None).cast("struct<id:string,content:string,is_error:boolean>").alias("r"))
-    answers = later.join(several, ["path_id", "id"], "left_semi").select("path_id", "id", F.lit(1).alias("kind"), F.col("__pos").alias("pos"), F.col("__ord").alias("ord"), F.lit(True).alias("done"), "r")
+    answer = "struct<id:string,content:string,is_error:boolean>"
+    calls = calls.select("path_id", F.col("call.id").alias("id"), F.lit(0).alias("kind"), "pos", "ord", inline.isNotNull().alias("done"), inline.cast(answer).alias("r"), F.col("call.name").alias("name"), F.col("call.input").alias("input"))
+    late = said.where("__late and path_id is not null").select("path_id", "pos", F.posexplode("tool_results").alias("ord", "r")).select("path_id", F.col("r.id").alias("id"), F.lit(1).alias("kind"), "pos", "ord", F.lit(True).alias("done"), F.col("r").cast(answer).alias("r"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("input"))
+    # calls and late results of one id meet in one shuffle; with an id that is unique, a call's result is the first later one
+    of_id = Window.partitionBy("path_id", "id")
+    before = of_id.orderBy(F.desc("pos"), "kind", F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so a row takes one step
+    next_late = F.last(F.when(F.col("kind") == 1, F.struct("pos", "r")), ignorenulls=True).over(before)
+    met = calls.unionByName(late).withColumns({"__calls": F.count_if(F.col("kind") == 0).over(of_id), "__next": next_late})
+    met = stored(met.where("kind = 0 or __calls > 1"))
 
     def pair(pdf):
         """Results in order; each goes to the newest open call."""
@@ -76,16 +75,21 @@ def turns(entries: DataFrame) -> DataFrame:
                 call = next(c for c in open_ if c["pos"] == newest)
                 open_.remove(call)
                 out.append((call["path_id"], call["pos"], call["ord"], row["r"]["content"], row["r"]["is_error"]))
-        return pd.DataFrame(out, columns=["path_id", "pos", "call_pos", "content", "is_error"])
+        return pd.DataFrame(out, columns=["path_id", "pos", "ord", "content", "is_error"])
 
-    paired = repeated.unionByName(answers).groupBy("path_id", "id").applyInPandas(pair, "path_id string, pos int, call_pos int, content string, is_error boolean")
-    paired = paired.select("path_id", "pos", "call_pos", F.struct("content", "is_error").alias("paired"))
-    with_kind = by_join.join(several.select("path_id", "id", F.lit(True).alias("several")), ["path_id", "id"], "left").join(paired, ["path_id", "pos", "call_pos"], "left")
+    found = met.where("kind = 0")
     plain = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.col(f"{r}.content").alias("content"), F.col(f"{r}.is_error").alias("is_error")))
-    result = F.coalesce(plain("inline"), F.when(F.col("several"), F.col("paired")).otherwise(plain("late")))
-    done = with_kind.select("path_id", "pos", F.struct("call_pos", "id", "name", "input", result.alias("result"), X.tool_category("name").alias("category")).alias("use"))
+    late_of_one = plain("__next.r")
+    several = met.where("__calls > 1")
+    if several.isEmpty():
+        with_kind = found.withColumn("result", F.coalesce(plain("r"), late_of_one))
+    else:
+        paired = several.select("path_id", "id", "kind", "pos", "ord", "done", "r").groupBy("path_id", "id").applyInPandas(pair, "path_id string, pos int, ord int, content string, is_error boolean")
+        paired = paired.select("path_id", "pos", "ord", F.struct("content", "is_error").alias("paired"))
+        with_kind = found.join(paired, ["path_id", "pos", "ord"], "left").withColumn("result", F.coalesce(plain("r"), F.when(F.col("__calls") > 1, F.col("paired")).otherwise(late_of_one)))
+    done = with_kind.select("path_id", "pos", F.struct(F.col("ord").alias("call_pos"), "id", "name", "input", "result", X.tool_category("name").alias("category")).alias("use"))
     per_turn = done.groupBy("path_id", "pos").agg(F.array_sort(F.collect_list("use")).alias("uses"))
-    base = said.where(~is_result_only()).drop("tool_uses", "parts", "tool_results").join(per_turn, ["path_id", "pos"], "left")
+    base = said.where("not __late").drop("tool_uses", "parts", "tool_results", "__late").join(per_turn, ["path_id", "pos"], "left")
     none = F.array().cast(per_turn.schema["uses"].dataType)
     return base.withColumn("tool_uses", F.coalesce("uses", none)).drop("uses").withColumns({"turn_id": F.col("uuid"), "environment": F.when(F.coalesce("cwd", "git_branch").isNotNull(), F.struct(F.col("cwd").alias("working_dir"), F.col("git_branch").alias("branch")))})
 
@@ -127,9 +131,9 @@ def chain_metadata(metadata: DataFrame, first_ids: DataFrame) -> DataFrame:
 def _chain_of(metadata: DataFrame, first_ids: DataFrame) -> DataFrame:
     """Metadata of segments with the head of their chain and their place in it."""
     key = lambda c: F.concat_ws("/", "project", c)
-    segments = metadata.select(key("segment").alias("segment"), "message_count", "started_at", "last_activity")
+    segments = cut(metadata.select(key("segment").alias("segment"), "message_count", "started_at", "last_activity"))  # a row a segment
     known = segments.select(F.col("segment").alias("pred"))
-    links = K.links(first_ids.select(key("segment").alias("segment"), key("session_id").alias("session_id"))).join(known, "pred", "left_semi")
+    links = cut(K.links(first_ids.select(key("segment").alias("segment"), key("session_id").alias("session_id"))).join(known, "pred", "left_semi"))
     return K.chains(segments, links).join(segments, "segment")
 
 

@@ -186,9 +186,9 @@ def history_lines(raw: DataFrame) -> DataFrame:
     return v.where(ok).select(_v("v", "$.display", "string").alias("display"), _v("v", "$.timestamp", "bigint").alias("timestamp"), _text(F.col("v"), "$.project").alias("project"), _text(F.col("v"), "$.sessionId").alias("session_id"), "pos")
 
 
-def metadata(raw: DataFrame) -> DataFrame:
-    """project, segment, file, message_count, started_at, last_activity, cwd of each segment."""
-    e = entries(raw)
+def metadata(raw: DataFrame, e: DataFrame | None = None) -> DataFrame:
+    """project, segment, file, message_count, started_at, last_activity, cwd of each segment.  ``e``: the entries of ``raw``, where they are at hand."""
+    e = entries(raw) if e is None else e
     seen = e.groupBy("project", "segment", "file").agg(F.count_if("has_message").alias("message_count"), F.min("at").alias("started_at"), F.max("at").alias("last_activity"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"))
     files = raw.select("project", "segment", "file").distinct()
     return files.join(seen, ["project", "segment", "file"], "left").na.fill({"message_count": 0})

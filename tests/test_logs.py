@@ -128,3 +128,22 @@ def test_conversations_are_searched_in_one_pass(spark):
     found = A.find_conversations(e, "SAY ONE")
     assert [r.path_id for r in found.collect()] == ["one"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(line") == 1
+
+
+def test_turns_read_their_entries_by_column(spark):
+    """Calls and results of one id meet in one shuffle: neither is read again for each join."""
+    rows = [entry("a", role="assistant", content=[{"type": "tool_use", "id": "t", "name": "Bash", "input": {}}]), entry("b", content=[{"type": "tool_result", "tool_use_id": "t", "content": "1"}]), entry("c", content=[{"type": "tool_result", "tool_use_id": "t", "content": "2"}])]
+    made = A.turns(placed(logs.entries(raw(spark, a=rows))))
+    assert [r.result.content for r in A.tool_calls(made).collect()] == ["1"]
+    plan = A.tool_calls(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("LogicalRDD") == 0, plan
+
+
+def test_chained_entries_are_parsed_once(spark):
+    lines = raw(spark, a=[entry("a", sessionId="a")], b=[entry("x", sessionId="a"), entry("y", sessionId="b")])
+    first = logs.first_session_ids(lines)
+    e = logs.entries(lines)
+    bounds = A.merged_bounds(A.chained_entries(e, first), logs.metadata(lines, e.persist()), first)
+    assert [r.head.rpartition("/")[2] for r in bounds.collect()] == ["a"]
+    for made in (A.chained_entries(logs.entries(lines), first), A._chain_of(logs.metadata(lines), first)):
+        assert "parseJson(" not in made._jdf.queryExecution().optimizedPlan().toString()
