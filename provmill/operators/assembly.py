@@ -39,16 +39,13 @@ def is_result_only(text: Column | str = "text") -> Column:
     return (F.col("role") == "user") & (F.col("text") == "") & (F.size("tool_results") > 0)
 
 
-def turns(entries: DataFrame) -> DataFrame:
-    """Turns of conversations, tool results put with their calls, and environment: where a turn was said, null where nothing tells.
+def _said(entries: DataFrame) -> DataFrame:
+    """Entries with a message, and whether they only have late results; read once, what follows takes some columns each."""
+    return stored(entries.where("has_message").withColumn("__late", is_result_only()))
 
-    ``entries`` have path_id and pos.  A call's result is the first of its own
-    message with its id; else the first later result-only entry's, which goes
-    to the newest turn before it that has a call of that id without a result.
-    Such entries are no turns.  A result before its call, or beside text, stays
-    where it is.
-    """
-    said = stored(entries.where("has_message").withColumn("__late", is_result_only()))  # read once; what follows takes some columns each
+
+def _paired(said: DataFrame) -> DataFrame:
+    """(path_id, pos, use) of every call, with its result."""
     calls = said.where("not __late").select("path_id", "pos", F.posexplode("tool_uses").alias("ord", "call"), "tool_results")
     inline = F.get(F.filter("tool_results", lambda r: r["id"] == F.col("call.id")), 0)
     answer = "struct<id:string,content:string,is_error:boolean>"
@@ -87,13 +84,31 @@ def turns(entries: DataFrame) -> DataFrame:
         paired = several.select("path_id", "id", "kind", "pos", "ord", "done", "r").groupBy("path_id", "id").applyInPandas(pair, "path_id string, pos int, ord int, content string, is_error boolean")
         paired = paired.select("path_id", "pos", "ord", F.struct("content", "is_error").alias("paired"))
         with_kind = found.join(paired, ["path_id", "pos", "ord"], "left").withColumn("result", F.coalesce(plain("r"), F.when(F.col("__calls") > 1, F.col("paired")).otherwise(late_of_one)))
-    done = with_kind.select("path_id", "pos", F.struct(F.col("ord").alias("call_pos"), "id", "name", "input", "result", X.tool_category("name").alias("category")).alias("use"))
-    per_turn = done.groupBy("path_id", "pos").agg(F.array_sort(F.collect_list("use")).alias("uses"))
+    return with_kind.select("path_id", "pos", F.struct(F.col("ord").alias("call_pos"), "id", "name", "input", "result", X.tool_category("name").alias("category")).alias("use"))
+
+
+def turns(entries: DataFrame) -> DataFrame:
+    """Turns of conversations, tool results put with their calls, and environment: where a turn was said, null where nothing tells.
+
+    ``entries`` have path_id and pos.  A call's result is the first of its own
+    message with its id; else the first later result-only entry's, which goes
+    to the newest turn before it that has a call of that id without a result.
+    Such entries are no turns.  A result before its call, or beside text, stays
+    where it is.
+    """
+    said = _said(entries)
+    per_turn = _paired(said).groupBy("path_id", "pos").agg(F.array_sort(F.collect_list("use")).alias("uses"))
     base = said.where("not __late").drop("tool_uses", "parts", "tool_results", "__late").join(per_turn, ["path_id", "pos"], "left")
     none = F.array().cast(per_turn.schema["uses"].dataType)
     return base.withColumn("tool_uses", F.coalesce("uses", none)).drop("uses").withColumns({"turn_id": F.col("uuid"), "environment": F.when(F.coalesce("cwd", "git_branch").isNotNull(), F.struct(F.col("cwd").alias("working_dir"), F.col("git_branch").alias("branch")))})
 
 
+def calls_of(entries: DataFrame) -> DataFrame:
+    """tool_calls(turns(entries)) where nothing else of the turns is asked for: only what calls need is made of the entries."""
+    said = _said(entries.select("path_id", "pos", "has_message", "role", "text", "tool_uses", "tool_results"))
+    return _paired(said).select("path_id", "pos", "use.*")
+
+
 def tool_calls(turns: DataFrame) -> DataFrame:
     """path_id, pos, call_pos, id, name, input, result, category of every call."""
     return turns.select("path_id", "pos", F.explode("tool_uses").alias("u")).select("path_id", "pos", "u.*")

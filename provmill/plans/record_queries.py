@@ -134,7 +134,7 @@ def asm_01_turns(spark, d):
 
 @query(f"{_LOG_SQL} SELECT c.path_id, 'call-' || c.step_id AS id, CASE WHEN suffix(artifact, '0') THEN 'file_write' ELSE 'shell' END AS category, a.answer AS result FROM calls c LEFT JOIN answers a ON a.path_id = c.path_id AND a.call = c.step_id WHERE event_type = 'purchase'")
 def asm_02_log_tool_results(spark, d):
-    return assembly.tool_calls(assembly.turns(_entries(spark, d))).select("path_id", "id", "category", F.col("result.content").alias("result"))
+    return assembly.calls_of(_entries(spark, d)).select("path_id", "id", "category", F.col("result.content").alias("result"))
 
 
 @query(f"{_LOG_SQL}, f AS (SELECT path_id, artifact AS file, min(pos) AS p FROM calls WHERE event_type = 'purchase' AND suffix(artifact, '0') GROUP BY ALL) SELECT path_id, string_agg(file, ',' ORDER BY p) AS files FROM f GROUP BY path_id")

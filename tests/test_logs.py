@@ -135,6 +135,8 @@ def test_turns_read_their_entries_by_column(spark):
     rows = [entry("a", role="assistant", content=[{"type": "tool_use", "id": "t", "name": "Bash", "input": {}}]), entry("b", content=[{"type": "tool_result", "tool_use_id": "t", "content": "1"}]), entry("c", content=[{"type": "tool_result", "tool_use_id": "t", "content": "2"}])]
     made = A.turns(placed(logs.entries(raw(spark, a=rows))))
     assert [r.result.content for r in A.tool_calls(made).collect()] == ["1"]
+    several = placed(logs.entries(raw(spark, a=TOOLS, b=rows)))
+    assert sorted(map(str, A.calls_of(several).collect())) == sorted(map(str, A.tool_calls(A.turns(several)).collect()))
     plan = A.tool_calls(made)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2 and plan.count("LogicalRDD") == 0, plan
 
