@@ -99,6 +99,12 @@ def joined(lines: DataFrame, key: str = "path_id") -> DataFrame:
     return lines.groupBy(key).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "\n"), F.lit("\n")).alias("dot"))
 
 
+def cluster_lines(paths: DataFrame) -> DataFrame:
+    """(graph_id, section, ord, line) of what opens the cluster of each inline path; ``paths`` as for graph_lines(), steps aren't needed."""
+    opened = F.array(F.concat(F.lit("  subgraph cluster_"), F.col("path_pos").cast("string"), F.lit(" {")), F.concat(F.lit("    label="), quoted(F.coalesce("title", "path_id")), F.lit(";")), F.lit('    fontname="Helvetica-Bold";'), F.lit("    style=filled;"), F.concat(F.lit('    fillcolor="'), cluster_fill("path_pos"), F.lit('";')), F.lit("    margin=12;"), F.lit(""))
+    return paths.where("ref_url is null").select("graph_id", (F.col("path_pos") * 10 + 10).cast("long").alias("section"), F.posexplode(opened).alias("ord", "line"))
+
+
 def graph_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, files: bool = True, dead: bool = True) -> DataFrame:
     """(graph_id, section, ord, line) of the drawing of each graph: a cluster for each path.
 
@@ -113,7 +119,7 @@ def graph_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, fi
     on = dag.ancestor_ids(steps, inline.select("path_id", "head")).withColumn("active", F.lit(True))
     known = steps.join(on, ["path_id", "step_id"], "left").join(inline.select("path_id", "head", "title", "path_pos").withColumnRenamed("path_pos", "__p"), "path_id")
     at = lambda offset: (F.col("path_pos") * 10 + offset + 10).cast("long").alias("section")
-    clusters = inline.select("graph_id", at(0), F.posexplode(F.array(F.concat(F.lit("  subgraph cluster_"), F.col("path_pos").cast("string"), F.lit(" {")), F.concat(F.lit("    label="), quoted(F.coalesce("title", "path_id")), F.lit(";")), F.lit('    fontname="Helvetica-Bold";'), F.lit("    style=filled;"), F.concat(F.lit('    fillcolor="'), cluster_fill("path_pos"), F.lit('";')), F.lit("    margin=12;"), F.lit(""))).alias("ord", "line"))
+    clusters = cluster_lines(paths)
     ends = inline.select("graph_id", at(2), F.lit(0).alias("ord"), F.lit("  }").alias("line"))
     is_head, is_dead = F.col("step_id") == F.col("head"), F.col("active").isNull() & F.lit(dead)
     colour = F.when(~is_head & is_dead, DEAD_COLOUR).otherwise(X.actor_color("actor"))

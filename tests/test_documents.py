@@ -159,3 +159,15 @@ def test_documents_are_rewritten_in_their_row(spark):
     assert {f"{r.uri}#{r.path_pos}#{r.path_id}": r.raw for r in made.collect()} == want and len(want) == 7
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson(raw") == 1 and "Exchange" not in plan
+
+
+def test_cluster_fills_need_paths_alone(spark):
+    """The same lines as in the whole drawing, but no step is looked at: each document is parsed once, nothing is stored or searched."""
+    from __spark_entry__ import queries
+
+    d = docs(spark, c={"Graph": GRAPH})
+    paths, steps = D.scoped(D.paths(d)), D.scoped(D.steps(d))
+    whole = render.graph_lines(paths, steps).where("section % 10 = 0 and ord < 7 and line not like '%$ref%' and section between 10 and 999999999")
+    assert sorted(map(tuple, render.cluster_lines(paths).collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 14
+    plan = queries()["snk_06_cluster_fills"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(raw") == 1 and "MapInArrow" not in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan, plan
