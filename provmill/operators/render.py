@@ -16,6 +16,7 @@ FILLS = ("#e3f2fd", "#e8f5e9", "#fff3e0", "#f3e5f5", "#e0f7fa", "#fce4ec")
 NODE = '  node [shape=box, style=rounded, fontname="Helvetica"];'
 ON, OFF = 'color="#333333", penwidth=2', 'color="#cccccc", style=dashed'
 REF = 'shape=note, style=filled, fillcolor="#ffffcc"'
+GRAPH_FRAME = ("digraph provenance {", "  rankdir=TB;", "  compound=true;", "  newrank=true;", NODE, '  edge [color="#333333"];', "  splines=ortho;", "")
 
 
 def cluster_number(pos: Column | str) -> Column:
@@ -46,7 +47,7 @@ def label(steps: DataFrame, timestamps: bool = False, files: bool = True) -> Col
     if timestamps:
         rows.append(font(8, X.escape_html(X.time_of_day("ts")), ' color="gray"'))
     if files:
-        names = F.array_sort(F.map_keys("change"))
+        names = F.array_sort("files" if "files" in steps.columns else F.map_keys("change"))
         few = F.array_join(F.transform(names, lambda f: F.substring_index(f, "/", -1)), ", ")
         what = F.when(F.size(names) == 0, F.lit(None)).when(F.size(names) <= 2, few).otherwise(F.concat(F.size(names).cast("string"), F.lit(" files")))
         rows.append(font(8, X.escape_html(what), ' color="#666666"'))
@@ -105,6 +106,32 @@ def cluster_lines(paths: DataFrame) -> DataFrame:
     return paths.where("ref_url is null").select("graph_id", (F.col("path_pos") * 10 + 10).cast("long").alias("section"), F.posexplode(opened).alias("ord", "line"))
 
 
+def _node_id(path: Column, step: Column) -> Column:
+    return quoted(F.concat(path, F.lit("/"), step))
+
+
+def _node_line(steps: DataFrame, is_dead: Column, timestamps: bool, files: bool) -> Column:
+    """A step's node in its cluster."""
+    is_head = F.col("step_id") == F.col("head")
+    colour = F.when(~is_head & is_dead, DEAD_COLOUR).otherwise(X.actor_color("actor"))
+    style = F.when(is_head, "rounded,filled,bold").when(is_dead, "rounded,filled,dashed").otherwise("rounded,filled")
+    return F.concat(F.lit("    "), _node_id(F.col("path_id"), F.col("step_id")), F.lit(" [label="), label(steps, timestamps, files), F.lit(', fillcolor="'), colour, F.lit('", style="'), style, F.lit('", penwidth='), F.when(is_head, "3").otherwise("1"), F.lit("];"))
+
+
+def _ref_line() -> Column:
+    """The node of a reference to another document."""
+    return F.concat(F.lit('  "ref_'), F.col("path_pos").cast("string"), F.lit('" [label=<<b>$ref</b><br/><font point-size="9">'), X.escape_html("ref_url"), F.lit(f"</font>>, {REF}];"))
+
+
+def _cross_lines(inline: DataFrame, steps: DataFrame) -> DataFrame:
+    """(graph_id, section, ord, line) of the edges from bases that are steps of other paths to the roots of what is based on them; both have name, the path's in node ids."""
+    based = S.base_steps(inline.where("base_ref is not null").select("graph_id", "path_id", "base_ref"), steps.where("revision is not null")).where("base_step is not null")
+    origin = steps.where("revision is not null").groupBy("graph_id", F.col("step_id").alias("base_step")).agg(F.max_by(F.struct("path_id", "name"), F.struct("path_pos", "pos")).alias("from"))
+    roots = dag.roots(steps).select("path_id", "name", "step_id", "pos")
+    line = F.concat(F.lit("  "), _node_id(F.col("from.name"), F.col("base_step")), F.lit(" -> "), _node_id(F.col("name"), F.col("step_id")), F.lit(f" [{ON}];"))
+    return based.join(origin, ["graph_id", "base_step"]).join(roots, "path_id").where("from.path_id <> path_id").select("graph_id", F.lit(1_000_000_001).cast("long").alias("section"), F.col("pos").alias("ord"), line.alias("line"))
+
+
 def graph_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, files: bool = True, dead: bool = True) -> DataFrame:
     """(graph_id, section, ord, line) of the drawing of each graph: a cluster for each path.
 
@@ -115,30 +142,50 @@ def graph_lines(paths: DataFrame, steps: DataFrame, timestamps: bool = False, fi
     inline = paths.where("ref_url is null")
     graphs = paths.select("graph_id").distinct()
     fixed = lambda section, *text: graphs.select("graph_id", F.lit(section).cast("long").alias("section"), F.posexplode(F.array(*map(F.lit, text))).alias("ord", "line"))
-    node_id = lambda path, step: quoted(F.concat(path, F.lit("/"), step))
+    node_id = _node_id
     on = dag.ancestor_ids(steps, inline.select("path_id", "head")).withColumn("active", F.lit(True))
     known = steps.join(on, ["path_id", "step_id"], "left").join(inline.select("path_id", "head", "title", "path_pos").withColumnRenamed("path_pos", "__p"), "path_id")
     at = lambda offset: (F.col("path_pos") * 10 + offset + 10).cast("long").alias("section")
     clusters = cluster_lines(paths)
     ends = inline.select("graph_id", at(2), F.lit(0).alias("ord"), F.lit("  }").alias("line"))
-    is_head, is_dead = F.col("step_id") == F.col("head"), F.col("active").isNull() & F.lit(dead)
-    colour = F.when(~is_head & is_dead, DEAD_COLOUR).otherwise(X.actor_color("actor"))
-    style = F.when(is_head, "rounded,filled,bold").when(is_dead, "rounded,filled,dashed").otherwise("rounded,filled")
-    nodes = known.select("graph_id", at(1), F.col("pos").alias("ord"), F.concat(F.lit("    "), node_id(F.col("path_id"), F.col("step_id")), F.lit(" [label="), label(steps, timestamps, files), F.lit(', fillcolor="'), colour, F.lit('", style="'), style, F.lit('", penwidth='), F.when(is_head, "3").otherwise("1"), F.lit("];")).alias("line"))
+    is_dead = F.col("active").isNull() & F.lit(dead)
+    nodes = known.select("graph_id", at(1), F.col("pos").alias("ord"), _node_line(steps, is_dead, timestamps, files).alias("line"))
     late = lambda: F.lit(1_000_000_000).cast("long").alias("section")
     links = dag.active_edges(steps, inline.select("path_id", "head")).join(steps.select("path_id", F.col("step_id").alias("parent")).distinct(), ["path_id", "parent"], "left_semi").join(steps.select("path_id", "graph_id", F.col("step_id").alias("child"), "pos"), ["path_id", "child"])
     links = links.select("graph_id", late(), (F.col("pos") * 1000 + F.col("ord")).alias("ord"), F.concat(F.lit("  "), node_id(F.col("path_id"), F.col("parent")), F.lit(" -> "), node_id(F.col("path_id"), F.col("child")), F.lit(" ["), F.when(F.col("active"), ON).otherwise(OFF), F.lit("];")).alias("line"))
-    based = S.base_steps(inline.where("base_ref is not null").select("graph_id", "path_id", "base_ref"), steps.where("revision is not null")).where("base_step is not null")
-    origin = steps.where("revision is not null").groupBy("graph_id", F.col("step_id").alias("base_step")).agg(F.max_by("path_id", F.struct("path_pos", "pos")).alias("from_path"))
-    roots = dag.roots(steps).select("path_id", "step_id", "pos")
-    cross = based.join(origin, ["graph_id", "base_step"]).join(roots, "path_id").where("from_path <> path_id").select("graph_id", (F.lit(1_000_000_001)).cast("long").alias("section"), F.col("pos").alias("ord"), F.concat(F.lit("  "), node_id(F.col("from_path"), F.col("base_step")), F.lit(" -> "), node_id(F.col("path_id"), F.col("step_id")), F.lit(f" [{ON}];")).alias("line"))
-    refs = paths.where("ref_url is not null").select("graph_id", at(0), F.lit(0).alias("ord"), F.concat(F.lit('  "ref_'), F.col("path_pos").cast("string"), F.lit('" [label=<<b>$ref</b><br/><font point-size="9">'), X.escape_html("ref_url"), F.lit(f"</font>>, {REF}];")).alias("line"))
-    out = fixed(0, "digraph provenance {", "  rankdir=TB;", "  compound=true;", "  newrank=true;", NODE, '  edge [color="#333333"];', "  splines=ortho;", "")
+    cross = _cross_lines(inline.withColumn("name", F.col("path_id")), steps.withColumn("name", F.col("path_id")))
+    refs = paths.where("ref_url is not null").select("graph_id", at(0), F.lit(0).alias("ord"), _ref_line().alias("line"))
+    out = fixed(0, *GRAPH_FRAME)
     for part in (clusters, nodes, ends, links, cross, refs, fixed(2_000_000_000, "}")):
         out = out.unionByName(part)
     return out
 
 
+def graph_row_lines(rows: DataFrame, timestamps: bool = False, files: bool = True, dead: bool = True) -> DataFrame:
+    """graph_lines() of paths that have their steps in their row (sources.documents.path_rows(), and the graph_id to draw by): a path is searched and drawn in its row, so steps are shuffled only in graphs that have a base.
+
+    ``rows`` are read several times, some columns each time: dag.stored().
+    """
+    inline = rows.where("ref_url is null")
+    at = lambda offset: (F.col("path_pos").cast("long") * 10 + offset + 10).alias("section")
+    start = rows.where("path_pos = 0")
+    fixed = lambda section, *text: start.select("graph_id", F.lit(section).cast("long").alias("section"), F.posexplode(F.array(*map(F.lit, text))).alias("ord", "line"))
+    ends = inline.select("graph_id", at(2), F.lit(0).alias("ord"), F.lit("  }").alias("line"))
+    refs = rows.where("ref_url is not null").select("graph_id", at(0), F.lit(0).alias("ord"), _ref_line().alias("line"))
+    marked = inline.select("graph_id", "path_pos", "path_id", "head", F.posexplode(F.arrays_zip("steps", dag.marks(F.col("head"), F.col("steps.step_id"), F.col("steps.parents")).alias("marks"))).alias("pos", "__s"))
+    each = marked.select("graph_id", "path_pos", "path_id", "head", F.col("pos").cast("long").alias("pos"), "__s.steps.*", F.col("__s.marks").alias("marks")).withColumn("active", F.get("marks", 0) == 1)
+    node = F.struct(at(1), F.col("pos").alias("ord"), _node_line(each, ~F.col("active") & F.lit(dead), timestamps, files).alias("line"))
+    link = lambda p, i: F.when(F.get("marks", i + 1) > 0, F.struct(F.lit(1_000_000_000).cast("long").alias("section"), (F.col("pos") * 1000 + i).alias("ord"), F.concat(F.lit("  "), _node_id(F.col("path_id"), p), F.lit(" -> "), _node_id(F.col("path_id"), F.col("step_id")), F.lit(" ["), F.when(F.col("active") & (F.get("marks", i + 1) == 2), ON).otherwise(OFF), F.lit("];")).alias("line")))
+    drawn = each.select("graph_id", F.inline(F.concat(F.array(node), F.array_compact(F.transform("parents", link)))))
+    key = F.concat_ws("#", "graph_id", F.col("path_pos").cast("string"))
+    based = inline.where("based").select("graph_id", "path_pos", key.alias("path_id"), F.col("path_id").alias("name"), "base_ref", "steps")
+    cross = _cross_lines(based, based.select("graph_id", "path_pos", "path_id", "name", F.posexplode("steps").alias("pos", "__s")).select("graph_id", "path_pos", "path_id", "name", "pos", "__s.step_id", "__s.parents", "__s.revision"))
+    out = fixed(0, *GRAPH_FRAME)
+    for part in (cluster_lines(rows), drawn, ends, cross, refs, fixed(2_000_000_000, "}")):
+        out = out.unionByName(part)
+    return out
+
+
 def layout(paths: DataFrame, steps: DataFrame, timestamps: bool = False, files: bool = False, dead: bool = True, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
     """What a viewer draws: (nodes, edges).
 

@@ -171,3 +171,25 @@ def test_cluster_fills_need_paths_alone(spark):
     assert sorted(map(tuple, render.cluster_lines(paths).collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 14
     plan = queries()["snk_06_cluster_fills"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(raw") == 1 and "MapInArrow" not in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan, plan
+
+
+def test_graphs_are_drawn_in_the_rows_of_their_paths(spark):
+    """The same lines as by way of tables of paths and steps; no step is shuffled or joined but for bases."""
+    from __spark_entry__ import queries
+
+    odd = {"graph": {"id": "o"}, "paths": [{"path": {"id": 'q"\\', "head": "gone"}, "steps": [step("s", ["u", "none"], change={}), step("u", ["s"], change={"a/b": {}, "c": {}, "d/e": {"raw": ""}}, intent="y" * 50)]}, {"path": {"id": "empty", "head": "h", "base": {"uri": "u", "ref": "zzz"}}, "steps": []}, {"$ref": "https://x/<y>", "steps": [step("hidden")]}]}
+    d = docs(spark, a={"Graph": GRAPH}, b={"Graph": odd}, c={"Graph": {"graph": {"id": "none"}, "paths": []}}, x="{")
+    by_uri = lambda rows: D.scoped(rows).withColumn("graph_id", F.col("uri"))
+    for options in ({}, {"timestamps": True, "dead": False}, {"files": False}):
+        want = render.graph_lines(by_uri(D.paths(d)), by_uri(D.steps(d)), **options)
+        got = render.graph_row_lines(by_uri(D.path_rows(d)), **options)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    same = {"graph": {"id": "s"}, "paths": [{"path": {"id": "p", "head": "a"}, "steps": [step("r"), step("a", ["r"]), step("a", ["r"])]}]}
+    links = [r.line for r in render.graph_row_lines(by_uri(D.path_rows(docs(spark, s={"Graph": same})))).where("section = 1000000000").collect()]
+    assert links == ['  "s#0#p/r" -> "s#0#p/a" [color="#333333", penwidth=2];'] * 2  # a link for each step, not for each pair of steps of one id
+    rows = D.path_rows(docs(spark, a={"Step": step("only", ["gone"])}, b={"Path": PATH}))
+    assert [(r.uri, r.path_id, r.head, r.title, r.based, len(r.steps)) for r in rows.orderBy("uri").collect()] == [("a", "path-only", "only", None, False, 1), ("b", "path-1", "third", 'A "path"', True, 4)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(raw") == 1 and "Exchange" not in plan
+    plan = queries()["snk_06_graph_drawings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "LogicalRDD" not in plan and plan.count("ArrowEvalPython") == 1, plan
