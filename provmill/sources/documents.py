@@ -212,6 +212,15 @@ def path_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+def path_facts(documents: DataFrame) -> DataFrame:
+    """uri, path_pos, path_id, title, n_steps and has_state (meta.track is there) of each inline path, in its document's row: parsed once, nothing is shuffled."""
+    kind = "path:struct<id:string>,steps:array<boolean>,meta:struct<title:string,track:variant>"
+    alone = lambda whole: F.struct(F.struct(F.concat(F.lit("path-"), "id").alias("id")).alias("path"), F.array(F.lit(True)).alias("steps"), F.lit(None).cast("struct<title:string,track:variant>").alias("meta")).cast(whole)
+    p = F.col("__path")
+    each = _each_path(_parsed(documents).where("error is null"), kind, alone).where("ref_url is null")
+    return each.select("uri", "path_pos", p["path"]["id"].alias("path_id"), p["meta"]["title"].alias("title"), F.size(p["steps"]).cast("long").alias("n_steps"), p["meta"]["track"].isNotNull().alias("has_state"))
+
+
 def _alone_names() -> Column:
     return F.struct(F.concat(F.lit("path-"), "id").alias("id"), F.col("id").alias("head"), F.lit(None).cast("struct<uri:string,ref:string>").alias("base"))
 

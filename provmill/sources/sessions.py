@@ -39,10 +39,12 @@ def export(documents: DataFrame) -> DataFrame:
 
 
 def with_state(documents: DataFrame, state: Column) -> DataFrame:
-    """(uri, raw): Path documents with a state (JSON text) put into meta.track."""
-    d = D.parse(documents).where("error is null and kind = 'Path'")
+    """(uri, raw): Path documents with a state (JSON text) put into meta.track; where the state is null a document, whatever it is, stays as it was and isn't parsed."""
+    given = documents.select("uri", F.col("raw").alias("__whole"), state.alias("__state"))
+    d = D.parse(given.withColumn("raw", F.when(F.col("__state").isNotNull(), F.col("__whole")))).where("__state is null or error is null and kind = 'Path'")
     meta = F.map_filter(F.coalesce(_v("body", "$.meta", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda k, _: k != "track")
-    return d.select("uri", _document(F.to_json(F.map_concat(meta, F.create_map(F.lit("track"), F.parse_json(state))))).alias("raw"))
+    made = _document(F.to_json(F.map_concat(meta, F.create_map(F.lit("track"), F.parse_json("__state")))))
+    return d.select("uri", F.when(F.col("__state").isNull(), F.col("__whole")).otherwise(made).alias("raw"))
 
 
 def save(documents: DataFrame, folder: str) -> None:

@@ -193,3 +193,17 @@ def test_graphs_are_drawn_in_the_rows_of_their_paths(spark):
     assert plan.count("parseJson(raw") == 1 and "Exchange" not in plan
     plan = queries()["snk_06_graph_drawings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "LogicalRDD" not in plan and plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_states_are_put_where_there_is_one(spark):
+    """Documents without a state stay as they were, in the same pass; what sessions hold is told in their rows."""
+    from provmill.sources import sessions
+
+    d = docs(spark, a={"Path": PATH}, b={"Path": PATH}, x="{", y="{")
+    state = F.when(F.col("uri").isin("a", "x"), F.lit('{"file":"f"}'))
+    made = {r.uri: r.raw for r in sessions.with_state(d, state).collect()}
+    assert set(made) == {"a", "b", "y"} and made["b"] == json.dumps({"Path": PATH}) and made["y"] == "{" and json.loads(made["a"])["Path"]["meta"]["track"] == {"file": "f"}
+    facts = D.path_facts(docs(spark, a=made["a"], g={"Graph": GRAPH}, s={"Step": step("s")}))
+    assert sorted((r.uri, r.path_id, r.n_steps, r.title, r.has_state) for r in facts.collect()) == [("a", "path-1", 4, 'A "path"', True), ("g", "path-1", 4, 'A "path"', False), ("g", "path-2", 1, None, False), ("s", "path-s", 1, None, False)]
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(raw") == 1 and "Exchange" not in plan
