@@ -306,29 +306,47 @@ KEY_TYPES = ("gpg", "ssh", "sigstore")
 SCOPES = ("author", "reviewer", "witness", "ci", "release")
 
 
+#: What the strict rules look at of a step, by one cast.
+STRICT_STEP = "struct<step:struct<id:string,parents:array<string>,actor:string,timestamp:string>,change:map<string,struct<raw:string,structural:variant>>>"
+
+
 def strict_findings(documents: DataFrame) -> DataFrame:
-    """(uri, path_id, step_id, finding): what the strict format forbids and parse() lets pass."""
-    from provmill.operators.dag import shared_dir
+    """(uri, path_id, step_id, finding): what the strict format forbids and parse() lets pass.
 
-    shared_dir(documents.sparkSession)  # the documents are parsed once for all rules
-    base_keys = F.map_keys(F.coalesce(_v("body", "$.path.base", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-    inline = scoped(paths(documents)).where("ref_url is null").select("uri", "path_id", "head", "base_uri", base_keys.alias("base_keys")).checkpoint()
-    s = scoped(steps(documents)).select("uri", "path_id", "step_id", "parents", "actor", "ts", "change").checkpoint()
-    none = F.lit(None).cast("string")
-    found = [
-        inline.where("base_uri is null").select("uri", "path_id", none.alias("step_id"), F.lit("path without base").alias("finding")),
-        s.where(~F.col("actor").rlike(ACTOR_RULE)).select("uri", "path_id", "step_id", F.lit("actor").alias("finding")),
-        s.where(F.try_to_timestamp("ts").isNull()).select("uri", "path_id", "step_id", F.lit("timestamp").alias("finding")),
-        s.where(F.exists(F.map_values("change"), lambda c: c["raw"].isNull() & (c["structural"].isNull() | (c["structural"] == "null")))).select("uri", "path_id", "step_id", F.lit("change without raw or structural").alias("finding")),
-        s.groupBy("uri", "path_id", "step_id").count().where("count > 1").select("uri", "path_id", "step_id", F.lit("step id not unique").alias("finding")),
-        inline.join(s.select("path_id", F.col("step_id").alias("head")), ["path_id", "head"], "left_anti").select("uri", "path_id", F.col("head").alias("step_id"), F.lit("head is no step").alias("finding")),
-        s.select("uri", "path_id", "step_id", F.explode("parents").alias("p")).join(s.select("path_id", F.col("step_id").alias("p")).distinct(), ["path_id", "p"], "left_anti").select("uri", "path_id", "step_id", F.lit("parent is no step").alias("finding")),
-        inline.select("uri", "path_id", F.explode("base_keys").alias("k")).where("k not in ('uri', 'ref')").select("uri", "path_id", none.alias("step_id"), F.concat(F.lit("base key "), "k").alias("finding")),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    All rules are about one path, so each is looked at in its document's row:
+    parsed once, nothing is shuffled or stored.  Only the steps of paths that
+    have an unknown parent are searched for it.
+    """
+    from provmill.operators.dag import marks
+
+    kind = f"path:struct<id:string,head:string,base:map<string,variant>>,steps:array<{STRICT_STEP}>"
+    names = F.struct(F.concat(F.lit("path-"), "id").alias("id"), F.col("id").alias("head"), F.lit(None).cast("map<string,variant>").alias("base"))
+    alone = lambda whole: F.struct(names.alias("path"), F.array(_v("doc", "$.Step", STRICT_STEP)).alias("steps")).cast(whole)
+    p = F.col("__path")
+    none, texts = F.lit(None).cast("string"), lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    inline = scoped(_each_path(_parsed(documents).where("error is null"), kind, alone).where("ref_url is null").withColumn("path_id", p["path"]["id"])).select("uri", "path_id", p["path"]["head"].alias("head"), p["path"]["base"].alias("base"), p["steps"].alias("steps"))
+    each = once(inline, F.transform("steps", lambda s: s["step"]["id"]).alias("ids"), F.transform("steps", lambda s: texts(s["step"]["parents"])).alias("parents"))
+    unknown = F.size(F.array_except(F.flatten("parents"), "ids")) > 0
+    marked = each.withColumn("marks", marks(F.when(unknown, F.col("head")), F.when(unknown, F.col("ids")), F.when(unknown, F.col("parents"))))
+    found = lambda step, finding: F.struct(step.alias("step_id"), finding.alias("finding"))
+    one = lambda bad, step, finding: F.when(F.coalesce(bad, F.lit(False)), F.array(found(step, F.lit(finding)))).otherwise(F.array().cast("array<struct<step_id:string,finding:string>>"))
+    of_steps = lambda bad, finding: F.transform(F.filter("steps", bad), lambda s: found(s["step"]["id"], F.lit(finding)))
+    in_order = F.array_sort("ids")
+    again = F.array_distinct(F.filter(in_order, lambda x, i: (i > 0) & (x == F.get(in_order, i - 1))))
+    lost = F.flatten(F.transform("marks", lambda m, i: F.transform(F.filter(m, lambda x, j: (j > 0) & (x == 0)), lambda _: found(F.get("ids", i), F.lit("parent is no step")))))
+    keys = F.filter(F.map_keys("base"), lambda k: ~k.isin("uri", "ref"))
+    empty = F.array().cast("array<struct<step_id:string,finding:string>>")
+    all_ = F.concat(*(F.coalesce(c, empty) for c in (
+        one(F.try_variant_get(F.element_at("base", "uri"), "$", "string").isNull(), none, "path without base"),
+        of_steps(lambda s: ~s["step"]["actor"].rlike(ACTOR_RULE), "actor"),
+        of_steps(lambda s: F.try_to_timestamp(s["step"]["timestamp"]).isNull(), "timestamp"),
+        of_steps(lambda s: F.exists(F.map_values(s["change"]), lambda c: c["raw"].isNull() & (c["structural"].isNull() | F.is_variant_null(c["structural"]))), "change without raw or structural"),
+        F.transform(again, lambda x: found(x, F.lit("step id not unique"))),
+        one(~F.array_contains("ids", F.col("head")), F.col("head"), "head is no step"),
+        lost,
+        F.transform(keys, lambda k: found(none, F.concat(F.lit("base key "), k))),
+    )))
+    return marked.select("uri", "path_id", F.inline(all_))
 
 
 def signatures(documents: DataFrame) -> DataFrame:

@@ -114,6 +114,21 @@ def test_strict_findings_and_signatures(spark):
     assert D.missing_scopes(d, ("author", "reviewer")).first().missing == ["reviewer"]
 
 
+def test_strict_rules_are_looked_at_in_a_documents_row(spark):
+    """Every rule, without a shuffle; a document is parsed once."""
+    odd = {"path": {"id": "o", "head": "gone", "base": {"uri": "u", "zip": 1}}, "steps": [step("a", ["x", "x"], actor="bad"), step("a", ["a", "y"], ts="no"), step("b", ["b", None]), step("c", change={"f": {}, "g": {"raw": None, "structural": None}}), step("a")]}
+    graph = {"graph": {"id": "g"}, "paths": [{"path": {"id": "e", "head": "h"}, "steps": []}, {"$ref": "q", "steps": [step("hidden", ["u"])]}, {"path": {"id": "o", "head": "s"}, "steps": [step("s", ["a"])]}]}
+    d = docs(spark, o={"Path": odd}, g={"Graph": graph}, s={"Step": step("alone")}, x="{")
+    found = D.strict_findings(d)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(raw") == 1 and "Exchange" not in plan
+    of = lambda uri: sorted((r.path_id, r.step_id or "", r.finding) for r in found.where(F.col("uri") == uri).collect())
+    lost, id_ = "parent is no step", "o#0#o"
+    assert of("o") == sorted([(id_, "", "base key zip"), (id_, "gone", "head is no step"), (id_, "a", "actor"), (id_, "a", "timestamp"), (id_, "a", "step id not unique"), (id_, "a", lost), (id_, "a", lost), (id_, "a", lost), (id_, "b", lost), (id_, "c", "change without raw or structural")])
+    assert of("g") == [("g#0#e", "", "path without base"), ("g#0#e", "h", "head is no step"), ("g#2#o", "", "path without base"), ("g#2#o", "s", lost)]
+    assert of("s") == [("s#0#path-alone", "", "path without base")] and of("x") == []
+
+
 def test_drawings(spark):
     d = docs(spark, b={"Path": PATH}, c={"Graph": GRAPH})
     steps, paths = D.scoped(D.steps(d)), D.scoped(D.paths(d))
