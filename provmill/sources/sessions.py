@@ -48,8 +48,11 @@ def with_state(documents: DataFrame, state: Column) -> DataFrame:
 
 
 def save(documents: DataFrame, folder: str) -> None:
-    """Write documents (uri, raw) to a folder, a line each; they are all there or none is."""
-    documents.select("raw").write.mode("overwrite").text(folder)
+    """Write documents (uri, raw) to a folder of compressed text, a line each; they are all there or none is.  Nothing else stays on the disk."""
+    from provmill.operators.dag import freed
+
+    with freed(documents.sparkSession):
+        documents.select("raw").write.mode("overwrite").option("compression", "gzip").text(folder)
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:

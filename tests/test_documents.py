@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -106,6 +107,21 @@ def test_sessions(spark, tmp_path):
     assert [r.session_id for r in sessions.listing(sessions.read(spark, str(tmp_path))).collect()] == ["path-1"]
 
 
+def test_saved_sessions_take_little_of_the_disk(spark, tmp_path):
+    """They are compressed and read again whole; the shuffles that made them are given up."""
+    from provmill.sources import sessions
+
+    whole = {"Path": PATH | {"steps": PATH["steps"] * 500}}
+    raw = json.dumps(whole, separators=(",", ":"))
+    shuffles = lambda: {f for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(p.getPath()).rglob("shuffle_*.data")}
+    before = shuffles()
+    sessions.save(spark.range(20).select(F.lit(raw).alias("raw"), "id").repartition(3, "id"), str(tmp_path / "s"))
+    assert shuffles() <= before
+    files = [f for f in (tmp_path / "s").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".txt.gz") for f in files) and sum(f.stat().st_size for f in files) < 20 * len(raw) / 10
+    assert [(r.uri, r.raw == raw) for r in sessions.load(spark, str(tmp_path / "s")).collect()] == [("path-1", True)] * 20
+
+
 def test_strict_findings_and_signatures(spark):
     d = docs(spark, b={"Path": PATH})
     found = {(r.step_id, r.finding) for r in D.strict_findings(d).collect()}
