@@ -518,3 +518,22 @@ def first_match(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def head_of_step(rows: DataFrame, all_paths: DataFrame, ids: DataFrame) -> DataFrame:
     """(uri, step_id, head): the head of the first path that has the step."""
     return first_match(rows, ids).select("uri", "step_id", "path_pos").join(all_paths.select("uri", "path_pos", "head"), ["uri", "path_pos"]).select("uri", "step_id", "head")
+
+
+def find_steps(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of each id asked for (uri, step_id) the first step of the document that has it, and the head of its path: uri, step_id, path_pos, head, parents, actor, ts, intent, revision.
+
+    first_match() and head_of_step() by document, for a few ids of each: a document
+    meets its ids once, so what is dealt by uri already is not dealt again.
+    """
+    asked = ids.select("uri", "step_id").where("step_id is not null").groupBy("uri").agg(F.collect_set("step_id").alias("__asked"))
+    return searched(path_rows(documents).join(asked, "uri"), "__asked")
+
+
+def searched(rows: DataFrame, asked: str) -> DataFrame:
+    """find_steps() in path_rows() that have the ids asked for (an array, column ``asked``) beside them."""
+    found = F.filter(F.transform("steps", lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: F.array_contains(asked, x["s"]["step_id"]))
+    each = rows.select("uri", "path_pos", "head", F.explode(found).alias("x"))
+    first = each.groupBy("uri", F.col("x.s.step_id").alias("step_id")).agg(F.min_by(F.struct("path_pos", "head", "x.s"), F.struct("path_pos", "x.pos")).alias("__first"))
+    field = lambda n: F.col(f"__first.s.{n}").alias(n)
+    return first.select("uri", "step_id", "__first.path_pos", "__first.head", *map(field, ("parents", "actor", "ts", "intent", "revision")))

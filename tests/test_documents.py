@@ -88,6 +88,22 @@ def test_first_match_and_its_head(spark):
     assert [tuple(r) for r in D.head_of_step(D.steps(d), D.paths(d), ids).collect()] == [("c", "first", "third")]
 
 
+def test_steps_are_found_in_their_documents(spark):
+    """As by first_match() and head_of_step(); the query stores no documents and deals neither them nor steps."""
+    again = {"graph": {"id": "h"}, "paths": [{"$ref": "r", "steps": [step("first")]}, {"path": {"id": "p", "head": "u"}, "steps": [step("first", ["u"], "ci:a"), step("u"), step("first", actor="ci:b")]}, PATH]}
+    d = docs(spark, c={"Graph": GRAPH}, h={"Graph": again}, s={"Step": step("alone")}, x="{")
+    ids = spark.createDataFrame([("c", "first"), ("c", "none"), ("c", "third"), ("h", "first"), ("h", "first"), ("h", "third"), ("s", "alone"), ("x", "first"), ("h", None)], "uri string, step_id string")
+    got = D.find_steps(d, ids)
+    assert sorted(map(tuple, got.select("uri", "step_id", "head").collect())) == sorted(map(tuple, D.head_of_step(D.steps(d), D.paths(d), ids).collect()))
+    own = ["uri", "step_id", "path_pos", "parents", "actor", "ts", "intent", "revision"]
+    assert sorted(map(str, got.select(*own).collect())) == sorted(map(str, D.first_match(D.steps(d), ids).select(*own).collect()))
+    assert [r.actor for r in got.where("uri = 'h' and step_id = 'first'").collect()] == ["ci:a"]
+    from __spark_entry__ import queries
+
+    plan = queries()["j_09_find_step"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and not [x for x in plan.splitlines() if "Exchange" in x and ("raw" in x or "step_id" in x)]
+
+
 def test_sessions(spark, tmp_path):
     from provmill.sources import sessions
 
