@@ -32,41 +32,96 @@ def _arriving(entries: DataFrame) -> DataFrame:
     return stream.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds")
 
 
-class _Calls:
-    """Open calls in a stream's state: by id the turns, the oldest first, and when each call expires."""
+#: So many uuids, and so many turns with open calls, of a segment lie in one value, which is read and written once a batch; more go to a map, where each is looked up by itself.
+HELD = 1000
 
-    def __init__(self, state, patience: int | None, timer: Callable[[int], None]) -> None:
-        self.state, self.patience, self.timer, self.now = state, patience, timer, 0
+
+class _Held:
+    """What is known of a segment: the uuids seen, and its open calls with, by id, their turns, the oldest first, and when each expires.
+
+    One trip to the state store brings all of a segment that is no longer than
+    ``HELD``, and one takes it back, where a trip for each entry took most of a
+    batch's time.  What is longer goes to the maps, an entry once.
+    """
+
+    def __init__(self, value, seen, calls, patience: int | None, timer: Callable[[int], None]) -> None:
+        self.value, self.seen_map, self.calls_map, self.patience, self.timer, self.now = value, seen, calls, patience, timer, 0
+        self.timers: set[int] = set()
+        held = value.get()
+        if held is None:  # new, or of a stream that began when there was nothing but the maps
+            held = ([], seen.exists(), [], [], [], calls.exists())
+        uuids, self.more, names, turns, until, self.more_calls = held
+        self.uuids, self.changed = dict.fromkeys(uuids), False
+        self.calls: dict[str, list[tuple[str, int]]] = {}
+        for name, turn, due in zip(names, turns, until, strict=True):
+            self.calls.setdefault(name, []).append((turn, due))
+
+    def see(self, uuid: str) -> bool:
+        """Whether it is new; from now on it isn't."""
+        if uuid in self.uuids or self.more and self.seen_map.containsKey((uuid,)):
+            return False
+        self.uuids[uuid] = None
+        self.changed = True
+        return True
 
     def open(self, call: str, turn: str) -> None:
-        turns, until = self.state.getValue((call,)) if self.state.containsKey((call,)) else ([], [])
         due = self.now + self.patience if self.patience is not None else 1 << 62
-        self.state.updateValue((call,), ([*turns, turn], [*until, due]))
-        if self.patience is not None:
+        self.calls.setdefault(call, []).append((turn, due))
+        self.changed = True
+        if self.patience is not None and due not in self.timers:
+            self.timers.add(due)
             self.timer(due)
 
     def close(self, call: str) -> str | None:
-        if not self.state.containsKey((call,)):
+        if call in self.calls:  # newer than what is in the map
+            turns = self.calls[call]
+            turn, _ = turns.pop()
+            if not turns:
+                del self.calls[call]
+            self.changed = True
+            return turn
+        if not (self.more_calls and self.calls_map.containsKey((call,))):
             return None
-        turns, until = self.state.getValue((call,))
+        turns, until = self.calls_map.getValue((call,))
         self._keep(call, list(zip(turns, until, strict=True))[:-1])
         return turns[-1]
 
     def expired(self, due: int) -> list[tuple[str, str]]:
         """(call, turn) of those that are due, which are open no more."""
+        stored = [(call, list(zip(turns, until, strict=True))) for (call,), (turns, until) in list(self.calls_map.iterator())] if self.more_calls else []
         out = []
-        for (call,), (turns, until) in list(self.state.iterator()):
-            gone = [t for t, u in zip(turns, until, strict=True) if u <= due]
-            if gone:
-                out += [(call, t) for t in gone]
-                self._keep(call, [(t, u) for t, u in zip(turns, until, strict=True) if u > due])
+        for call, turns in stored:
+            if any(u <= due for _, u in turns):
+                out += [(call, t) for t, u in turns if u <= due]
+                self._keep(call, [(t, u) for t, u in turns if u > due])
+        for call, turns in list(self.calls.items()):
+            out += [(call, t) for t, u in turns if u <= due]
+            self.calls[call] = [(t, u) for t, u in turns if u > due]
+            if not self.calls[call]:
+                del self.calls[call]
+        self.changed |= bool(out)
         return out
 
     def _keep(self, call: str, left: list[tuple[str, int]]) -> None:
         if left:
-            self.state.updateValue((call,), ([t for t, _ in left], [u for _, u in left]))
+            self.calls_map.updateValue((call,), ([t for t, _ in left], [u for _, u in left]))
         else:
-            self.state.removeKey((call,))
+            self.calls_map.removeKey((call,))
+
+    def store(self) -> None:
+        if not self.changed:
+            return
+        if len(self.uuids) > HELD:
+            for uuid in self.uuids:
+                self.seen_map.updateValue((uuid,), (1,))
+            self.uuids, self.more = {}, True
+        if sum(map(len, self.calls.values())) > HELD:
+            for call, turns in self.calls.items():
+                before = self.calls_map.getValue((call,)) if self.more_calls and self.calls_map.containsKey((call,)) else ([], [])
+                self._keep(call, [*zip(*before, strict=True), *turns])
+            self.calls, self.more_calls = {}, True
+        flat = [(call, turn, due) for call, turns in self.calls.items() for turn, due in turns]
+        self.value.update((list(self.uuids), self.more, [c for c, _, _ in flat], [t for _, t, _ in flat], [u for _, _, u in flat], self.more_calls))
 
 
 class _Watch(StatefulProcessor):
@@ -76,29 +131,40 @@ class _Watch(StatefulProcessor):
         self.patience, self.role, self.bridges = patience, role, bridges
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("held", "uuids array<string>, more boolean, calls array<string>, turns array<string>, until array<long>, more_calls boolean")
         self.seen = handle.getMapState("seen", "uuid string", "times int")
-        self.calls = _Calls(handle.getMapState("calls", "call string", "turns array<string>, until array<long>"), self.patience, handle.registerTimer)
+        self.calls = handle.getMapState("calls", "call string", "turns array<string>, until array<long>")
+        self.timer = handle.registerTimer
+
+    def _held(self) -> _Held:
+        return _Held(self.value, self.seen, self.calls, self.patience, self.timer)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        held = self._held()
         for uuid in initialState["uuid"]:
-            self.seen.updateValue((uuid,), (1,))
+            held.see(uuid)
+        held.store()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows)).sort_values(["file", "line_no"])
-        out = []
-        for r in whole.to_dict("records"):
-            if self.seen.containsKey((r["uuid"],)):
+        whole = [r for part in rows for r in part.to_dict("records")]
+        whole.sort(key=lambda r: (r["file"], r["line_no"]))
+        held, out = self._held(), []
+        for r in whole:
+            if not held.see(r["uuid"]):
                 continue
-            self.seen.updateValue((r["uuid"],), (1,))
             if not self.bridges and r["session_id"] and r["session_id"] != key[1]:
                 continue
-            self.calls.now = int(r["arrived"].timestamp() * 1000)
-            made = list(tail.fold(key, r, self.calls))
+            held.now = int(r["arrived"].timestamp() * 1000)
+            made = list(tail.fold(key, r, held))
             out += made if self.role is None or r["role"] == self.role else []
-        yield tail.frame(out)
+        held.store()
+        if out:
+            yield tail.frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        gone = self.calls.expired(expiredTimerInfo.getExpiryTimeInMs())
+        held = self._held()
+        gone = held.expired(expiredTimerInfo.getExpiryTimeInMs())
+        held.store()
         yield tail.frame([(*key, "call_expired", turn, None, None, call, None, None, None, None) for call, turn in gone])
 
     def close(self) -> None:

@@ -1,5 +1,6 @@
 import itertools
 import json
+import random
 import time
 
 import pytest
@@ -171,3 +172,71 @@ def test_events_as_a_stream_and_at_once_are_the_same(rocks, tmp_path):
     kept = rocks.read.schema(tail.EVENT + ", batch long").option("basePath", str(tmp_path / "kept")).parquet(str(tmp_path / "kept"))
     whole = logs.entries(raw(rocks, a=some, b=[e | {"sessionId": "b"} for e in TOOLS]))
     assert plain(kept.where("segment = 'a'")) == plain(tail.events(whole).where("segment = 'a'"))
+
+
+class _Store:
+    """A state variable of one segment in memory, which counts its trips."""
+
+    def __init__(self):
+        self.rows, self.whole, self.trips = {}, None, 0
+
+    def _trip(self, result=None):
+        self.trips += 1
+        return result
+
+    def get(self):
+        return self._trip(self.whole)
+
+    def update(self, value):
+        self.whole = self._trip(value)
+
+    def exists(self):
+        return self._trip(bool(self.rows))
+
+    def containsKey(self, key):
+        return self._trip(key in self.rows)
+
+    def getValue(self, key):
+        return self._trip(self.rows[key])
+
+    def updateValue(self, key, value):
+        self.rows[self._trip(key)] = value
+
+    def removeKey(self, key):
+        del self.rows[self._trip(key)]
+
+    def iterator(self):
+        return self._trip(iter(sorted(self.rows.items())))
+
+
+@pytest.mark.parametrize("held", [0, 2, 1000])
+def test_a_segment_is_held_in_one_value_or_goes_to_the_maps(monkeypatch, held):
+    """Whatever is held, the same entries are new and results find the same turns; what is held takes a trip each way a batch."""
+    monkeypatch.setattr(watcher, "HELD", held)
+    dice, value, seen, calls = random.Random(held), _Store(), _Store(), _Store()
+    known, open_, n, due_at = set(), tail.OpenCalls(), 0, []
+    for batch in range(60):
+        at = watcher._Held(value, seen, calls, 5, due_at.append)
+        at.now = batch
+        for _ in range(dice.randrange(8)):
+            uuid, call = f"u{dice.randrange(80)}", f"c{dice.randrange(6)}"
+            assert at.see(uuid) == (uuid not in known)
+            known.add(uuid)
+            if dice.random() < 0.6:
+                n += 1
+                at.open(call, f"{batch} {n}")
+                open_.open(call, f"{batch} {n}")
+            else:
+                assert at.close(call) == open_.close(call)
+        if batch % 7 == 6:
+            old = [(c, t) for c, ts in open_.turns.items() for t in ts if int(t.split()[0]) + 5 <= batch]
+            assert sorted(at.expired(batch)) == sorted(old) and len(due_at) == len(set(due_at))
+            open_.turns = {c: left for c, ts in open_.turns.items() if (left := [t for t in ts if (c, t) not in old])}
+        at.store()
+    if held == 1000:
+        assert value.trips <= 120 and seen.trips + calls.trips <= 2 * 60 and not seen.rows and not calls.rows
+    else:
+        assert seen.rows
+    older = _Store()
+    older.rows = {("u",): (1,)}
+    assert not watcher._Held(_Store(), older, _Store(), None, None).see("u")  # a stream that began with the maps alone
